@@ -9,6 +9,7 @@ _QUERIES = {
     1: ("token_counts", "op1_token_counts"),
     2: ("exact_dedup", "op2_exact_dedup"),
     4: ("mixing", "op4_mixing"),
+    7: ("substring_dedup", "op7_substring_dedup"),
     10: ("near_dedup", "op10_near_dedup"),
 }
 
