@@ -68,7 +68,7 @@ def mix_sources(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     bounds = find_bounds(sized, goals.select("source", "left"))
     plan = goals.join(bounds, goals["source"].eqNullSafe(bounds["s"]), "left").drop("s")
-    plan = plan.withColumnRenamed("source", "s")
+    plan = common.staged(plan.withColumnRenamed("source", "s").coalesce(1), "plan")  # its size is known: small enough is broadcast
     joined = sized.join(plan, sized["source"].eqNullSafe(plan["s"]), "left")
     once_more = (F.col("h") <= F.col("bound")).cast("long")
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + F.coalesce(once_more, F.lit(0)))).alias("taken"))
