@@ -8,8 +8,11 @@ from importlib import import_module
 _QUERIES = {
     1: ("token_counts", "op1_token_counts"),
     2: ("exact_dedup", "op2_exact_dedup"),
+    3: ("toxicity", "op3_toxicity"),
     4: ("mixing", "op4_mixing"),
+    5: ("language", "op5_language"),
     7: ("substring_dedup", "op7_substring_dedup"),
+    8: ("decontamination", "op8_decontamination"),
     10: ("near_dedup", "op10_near_dedup"),
 }
 
