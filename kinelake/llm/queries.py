@@ -11,8 +11,10 @@ _QUERIES = {
     3: ("toxicity", "op3_toxicity"),
     4: ("mixing", "op4_mixing"),
     5: ("language", "op5_language"),
+    6: ("warc", "op6_warc"),
     7: ("substring_dedup", "op7_substring_dedup"),
     8: ("decontamination", "op8_decontamination"),
+    9: ("html_extraction", "op9_html_extraction"),
     10: ("near_dedup", "op10_near_dedup"),
 }
 

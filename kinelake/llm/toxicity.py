@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are a text's lower-cased words and their first four and five letters,
+Terms are a text's lower-cased words and their first three to six letters,
 hashed into ``BUCKETS``. A text's score is a logistic function of a bias, the
 weights of its terms, and for each pair of terms the product of two learned
 vectors: a pair (an insult next to a mention of a group) can count for more
@@ -25,15 +25,17 @@ from pyspark.sql import functions as F
 
 from kinelake.llm import common
 
+#: Letters of the beginnings of words that are terms.
+PREFIXES = (3, 4, 5, 6)
 BUCKETS, FACTORS, LEAST_Z, MOST_TERMS, EPOCHS = 1 << 20, 8, 3.0, 1 << 15, 30
 _WORDS = re.compile(r"\w+").findall
 
 
 def buckets(word: str) -> list[int]:
-    """The buckets of a word and of its first four and five letters, which differ from words as terms."""
+    """The buckets of a word and of its beginnings, which differ from words as terms."""
     from xxhash import xxh3_64_intdigest
 
-    terms = [word, *(f"{word[:n]}-" for n in (4, 5) if len(word) > n)]
+    terms = [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) > n)]
     return [xxh3_64_intdigest(t) % BUCKETS for t in terms]
 
 
