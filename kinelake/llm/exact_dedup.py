@@ -65,8 +65,9 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when their bytes are; null counts as empty. The largest id
     of a group stays. Of rows that repeat both id and text all count in
-    ``group_size`` and all are kept or dropped alike. An empty table gives no
-    rows; columns other than the two are not read.
+    ``group_size`` and all are kept or dropped alike. A row without an id stays
+    only if no equal text has one. An empty table gives no rows; columns other
+    than the two are not read.
     """
     docs = common.documents(df, id_col, text_col).withColumn("key", F.xxhash64("text"))
     entries = common.staged(docs.select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha")), "entries")
@@ -94,7 +95,7 @@ def look_up(entries: DataFrame, index: DataFrame) -> DataFrame:
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("doc_id") == keep).alias("kept"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 

@@ -24,7 +24,7 @@ BITS, LEVELS, WHOLE = 12, 3, 60
 
 def id_hash(id_col: Column, seed: str) -> Column:
     """60 bits of the MD5 of the id and the seed: the same in any engine."""
-    return F.conv(F.substring(F.md5(F.concat(id_col.cast("string"), F.lit(f":{seed}"))), 1, WHOLE // 4), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, WHOLE // 4), 16, 10).cast("long")
 
 
 def fill_targets(sources: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -50,28 +50,48 @@ def fill_targets(sources: DataFrame, weights: list[float], share: float, most: f
     return leveled.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix_sources(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """One row a document: ``doc_id, size, source_size, target, taken``.
+def mix_plan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """The table of ids, sources, sizes and hashes, and the plan: a row a source.
 
-    ``size`` counts words; ``taken`` is the size times how often the mix takes
-    the document: every document of its source as often as the target holds the
-    source whole, and once more below the threshold at which the rest is nearest
-    to used up. Documents with one hash (repeated ids) go together. Null and
-    empty texts have size 0 and take nothing; null is a source of its own, the
-    last; an empty table gives no rows; other columns are not read.
+    The plan has ``s`` (the source), ``source_size``, ``target``, ``times`` (how
+    often the mix takes every document) and ``bound`` (the largest hash that it
+    takes once more).
     """
     words = F.regexp_count(F.coalesce(df[text_col].cast("string"), F.lit("")), F.lit(common.WORD))
     sized = common.staged(df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), words.cast("long").alias("size"), id_hash(df[id_col], seed).alias("h")), "sized")
     totals = common.staged(fill_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, most).coalesce(1), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    goals = totals.withColumn("times", whole).withColumn("left", F.col("target") - F.col("times") * F.col("source_size"))
+    goals = totals.withColumn("times", whole).withColumn("left", F.col("target") - F.col("times") * F.col("source_size")).withColumnRenamed("source", "g")
+    bounds = find_bounds(sized, goals.select(F.col("g").alias("source"), "left"))
+    plan = goals.join(bounds, goals["g"].eqNullSafe(bounds["s"]), "left").select(F.col("g").alias("s"), "source_size", "target", "times", "bound")
+    return sized, common.staged(plan.coalesce(1), "plan")  # its size is known: small enough is broadcast
+
+
+def copies(h: Column) -> Column:
+    """How often the mix takes a document of hash ``h``, on a row joined with the plan."""
+    return F.col("times") + F.coalesce((h <= F.col("bound")).cast("long"), F.lit(0))
+
+
+def mix_sources(df: DataFrame, **options) -> DataFrame:
+    """One row a document: ``doc_id, size, source_size, target, taken``. Options: as of ``mix_plan``.
 
-    bounds = find_bounds(sized, goals.select("source", "left"))
-    plan = goals.join(bounds, goals["source"].eqNullSafe(bounds["s"]), "left").drop("s")
-    plan = common.staged(plan.withColumnRenamed("source", "s").coalesce(1), "plan")  # its size is known: small enough is broadcast
+    ``size`` counts words; ``taken`` is the size times how often the mix takes
+    the document: every document of its source as often as the target holds the
+    source whole, and once more below the threshold at which the rest is nearest
+    to used up. Documents with one hash (repeated or missing ids) go together.
+    Null and empty texts have size 0 and take nothing; null is a source of its
+    own, the last; an empty table gives no rows; other columns are not read.
+    """
+    sized, plan = mix_plan(df, **options)
     joined = sized.join(plan, sized["source"].eqNullSafe(plan["s"]), "left")
-    once_more = (F.col("h") <= F.col("bound")).cast("long")
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + F.coalesce(once_more, F.lit(0)))).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("h"))).alias("taken"))
+
+
+def mixed(df: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", seed: str = "mix", **options) -> DataFrame:
+    """The rows of ``df`` that the mix takes, with ``copies``: how often. No text is shuffled."""
+    _, plan = mix_plan(df, id_col=id_col, source_col=source_col, seed=seed, **options)
+    joined = df.withColumn("__h", id_hash(F.col(id_col), seed)).join(plan.select("s", "times", "bound"), F.col(source_col).eqNullSafe(F.col("s")))
+    return joined.withColumn("copies", copies(F.col("__h"))).filter("copies > 0").select(*(c for c in df.columns if c != "copies"), "copies")
 
 
 def find_bounds(sized: DataFrame, goals: DataFrame) -> DataFrame:
@@ -106,7 +126,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':mix'), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 15))::BIGINT AS h
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::DOUBLE AS cap,

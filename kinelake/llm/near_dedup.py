@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from kinelake.llm import common
 from kinelake.llm.components import components
 
-MINIMA, BITS, BANDS, ROWS, SIGMAS = 128, 4, 20, 5, 4.5
+MINIMA, BITS, BANDS, ROWS, SIGMAS = 128, 4, 24, 5, 4.5
 #: A block holds about so many classes and so many shingles at most.
-BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1_000_000
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,13 +192,14 @@ def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Documents are linked if 100 * intersection >= ``percent`` * union of their
     sets of ``k``-word shingles (A-Z lower-cased); ``component_id`` is the
     smallest id reachable. Null, empty and blank texts have no shingles and are
-    linked with nothing; a text of fewer than ``k`` words is one shingle. Rows
-    that repeat an id are kept or dropped alike. An empty table gives no rows;
-    other columns are not read.
+    linked with nothing, as are rows without an id; a text of fewer than ``k``
+    words is one shingle. Rows that repeat an id and a text are kept or dropped
+    alike. An empty table gives no rows; other columns are not read.
     """
     docs = common.documents(df, id_col, text_col)
     signed = common.staged(signatures(docs, k), "signatures")
-    classes = common.staged(signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    classes = common.staged(signed.filter(linkable).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b")
     single = signed.select("doc_id", "set_a", "set_b", "n_shingles", "bands", "packed").join(reps, ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])
     single = common.staged(single, "representatives")
@@ -212,11 +213,11 @@ def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     large = common.large_enough(signed.count())
     hot, rest = F.broadcast(named.filter(F.col("n") >= large)), named.filter(F.col("n") < large)
     ids, key = signed.select("doc_id", "n_shingles", "set_a", "set_b"), ["set_a", "set_b"]
-    some = ids.filter("n_shingles > 0")
+    some = ids.filter(linkable)
     found = some.join(hot, key).select("doc_id", "n_shingles", "component_id")
     other = some.join(hot, key, "left_anti").join(rest, key).select("doc_id", "n_shingles", "component_id")
-    none = ids.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.unionByName(other).unionByName(none).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    none = ids.filter(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.unionByName(other).unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

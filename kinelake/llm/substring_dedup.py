@@ -38,6 +38,7 @@ from kinelake.llm import common
 #: Words in an anchor; rows that a task combines at a time; the share of a task's rows from which an anchor may be hot.
 GRAM, CHUNK_ROWS, HOT_SHARE = 6, 2_000_000, 2000
 FACTOR, REFERENCE, HOT = 0, 1, 2
+NO_ID = -(2**63)
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INVERSE = np.uint64(pow(int(_M), -1, 2**64))
@@ -200,9 +201,10 @@ def substring_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ``kept_text`` joins the words that stay by one space. Null and empty texts
     have no words; texts shorter than a window lose none. Ids are whole numbers;
     rows that repeat an id count as one document, and none makes another's
-    windows repeats. An empty table gives no rows; other columns are not read.
+    windows repeats; rows without an id count as one that comes before all
+    others. An empty table gives no rows; other columns are not read.
     """
-    docs = common.documents(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = common.documents(df, id_col, text_col).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     parsed = common.staged(parse(docs, length), "blocks")
     refs = parsed.filter(F.col("kind") == REFERENCE)
     least = max(10_000, refs.count() // HOT_SHARE)  # HOT_SHARE anchors at most
@@ -241,7 +243,8 @@ def substring_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    done = joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
