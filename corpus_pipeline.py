@@ -1,8 +1,70 @@
-"""A training corpus from ``documents``, in stages."""
+"""A training corpus from ``documents``, in five stages.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)``, works on all that its predecessor
+kept, and returns what it keeps itself; ``run`` writes that as a table in the
+shared folder and reads it again, so a lost executor costs a stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinelake.llm import common
+from kinelake.llm.decontamination import contaminated
+from kinelake.llm.exact_dedup import exact_dedup
+from kinelake.llm.language import held_out_fold, identify
+from kinelake.llm.mixing import mixed
+from kinelake.llm.near_dedup import near_dedup
+
+#: Smallest share of the main language, and similarity of near duplicates in per cent.
+LEAST_SHARE, PERCENT = 0.3, 80
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, and those in which no language has ``LEAST_SHARE``."""
+    found = identify(docs, docs.filter(F.coalesce(~held_out_fold(F.col("doc_id")), F.lit(True))))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but the rows whose id and text ``gone`` (doc_id, sha) names. What goes is the smaller side."""
+    gone = common.staged(gone.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct(), "gone")
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["__id"]) & (sha == gone["__sha"]), "left_anti")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest id stays."""
+    return _without(docs, exact_dedup(docs).filter("NOT kept").withColumnRenamed("text_sha256", "sha"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the one with the smallest id stays."""
+    gone = common.staged(near_dedup(docs, percent=PERCENT).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__id"], "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that cover half of any benchmark item."""
+    found = contaminated(docs, common.read(spark, sf_dir, "benchmark"))
+    gone = common.staged(found.select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__id"], "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with how often: ``copies``."""
+    return mixed(docs)
+
+
+STAGES = [("language ID", language_id), ("exact dedup", exact), ("MinHash near-dedup", near), ("benchmark decontamination", decontaminate), ("mixing", mix)]
+
+#: SQL can't express language ID; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
