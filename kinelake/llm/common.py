@@ -2,58 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinelake.sources.shared import new_path, shared_dir, staged  # noqa: F401
+
 #: White space between words: the space and U+0009 to U+000D. ``bytes.split()`` splits on just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_roots: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application inside ``spark.checkpoint.dir``.
-
-    A folder of this machine stands in only where the session names none, as in
-    tests. What is written there goes when the application ends.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kinelake-")
-        _roots[app] = root = f"{base.rstrip('/')}/kinelake-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, root)
-    return _roots[app]
-
-
-def _remove(spark: SparkSession, root: str) -> None:
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(conf).delete(path, True)
-    except Exception:  # the session has ended already; the folder's owner clears it
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again.
-
-    This cuts the lineage, survives the loss of executors, and gives the
-    planner the table's true size.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the columns ``doc_id`` and ``text`` (null: empty); other columns can't clash."""
     return df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
