@@ -129,15 +129,22 @@ def last_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def dense_positions(rows: DataFrame, key: str, n: int = 64) -> DataFrame:
-    """``pos``: the place of each key in sorted order, from 0, without sorting in one task.
+    """``pos``: the place of each row in the order of a numeric key, from 0, without sorting in one task.
 
-    Ranges of keys are numbered by themselves and moved by the sizes of those
-    before (a row a range).
+    Approximate quantiles cut the key into ``n`` ranges; ranges are numbered by
+    themselves and moved by the sizes of those before (``n`` counts on the
+    driver). The ranges depend on the key alone, so reruns agree.
     """
-    dealt = rows.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id())
-    placed = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1)
-    before = placed.groupBy("__part").count().withColumn("__before", F.sum("count").over(Window.orderBy("__part")) - F.col("count"))
-    return placed.join(F.broadcast(before.drop("count")), "__part").withColumn("pos", F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+    cuts = sorted(set(rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)])).first()[0] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    counts = {r["p"]: r["count"] for r in rows.groupBy(part.alias("p")).count().collect()}
+    before, offset = {}, 0
+    for p in sorted(counts):
+        before[p], offset = offset, offset + counts[p]
+    offsets = F.create_map(*(x for p, o in before.items() for x in (F.lit(p), F.lit(o).cast("long")))) if before else F.lit(None)
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
+    placed = rows.withColumn("__part", part)
+    return placed.withColumn("pos", offsets[F.col("__part")] + place if before else F.lit(0).cast("long")).drop("__part")
 
 
 def first_seen(rows: DataFrame, group: str, what: list[str], *order: str) -> DataFrame:

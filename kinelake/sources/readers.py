@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EPISODES = "episode_index bigint, tasks array<string>, length bigint"
 TASKS = "task_index bigint, task string"
@@ -87,7 +86,7 @@ def first_rule(age_of: Column, rules: list[tuple[str, int]]) -> Column:
 
 
 #: A sample as models take it; images are bytes with their size beside them.
-SAMPLE = T.StructType.fromDDL("image map<string,binary>, image_mask map<string,boolean>, state array<float>, tokenized_prompt array<int>, tokenized_prompt_mask array<boolean>, token_ar_mask array<int>, token_loss_mask array<boolean>, actions array<array<float>>")
+SAMPLE = "image map<string,binary>, image_mask map<string,boolean>, state array<float>, tokenized_prompt array<int>, tokenized_prompt_mask array<boolean>, token_ar_mask array<int>, token_loss_mask array<boolean>, actions array<array<float>>"
 
 
 def observation(df: DataFrame) -> DataFrame:
