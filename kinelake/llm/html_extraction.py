@@ -5,8 +5,8 @@ how much being learned from labelled pages: the log-odds of each kind of token
 (a tag by name, a word by the block and by whether it is linked) to stand in
 main text. One linear scan finds the contiguous region with the largest sum.
 Elements that never hold main text (menus, forms, scripts, notices, adverts,
-comments; by name, or by the words of class, id and role) score low as wholes
-and are left out where they lie inside the region.
+comments; by name, or by the words of class, id and role) cost a little as
+wholes and are left out where they lie inside the region.
 """
 
 from __future__ import annotations
@@ -105,22 +105,23 @@ def weights() -> dict[str, float]:
     return {k: max(0.05, v) if k[0] == "w" else min(-0.05, v) for k, v in learned.items()}
 
 
-#: Of words and tags that the labelled pages lack; of a word in an outside element.
-WORD, TAG, OUTSIDE_WORD = 0.5, -0.5, -3.0
+#: Of words and tags that the labelled pages lack; of a whole element that holds no main text.
+WORD, TAG, OUTSIDE_ELEMENT = 0.5, -0.5, -1.0
 
 
 def main_text(page: str) -> str:
     known, found = weights(), []
-    best, best_sum, run, start = (0, 0), 0.0, 0.0, 0
+    best, best_sum, run, start, was_out = (0, 0), 0.0, 0.0, 0, False
     for kind, s, out in tokens(page):
-        words = len(s.split())
-        if kind[0] == "t":
+        if out:  # a whole element costs little, so that an advert doesn't part an article, and gains nothing
+            score = 0.0 if was_out else OUTSIDE_ELEMENT
+        elif kind[0] == "t":
             score = known.get(kind, TAG)
         else:
-            score = words * (OUTSIDE_WORD if out else known.get(kind, WORD))
+            score = len(s.split()) * known.get(kind, WORD)
+        was_out = out
         found.append((kind, s, out))
-        # Menus and the like inside an article must not part it, so they cost what a few tags cost.
-        run += max(score, -6.0) if out else score
+        run += score
         if run <= 0:
             run, start = 0.0, len(found)
         elif run > best_sum:
