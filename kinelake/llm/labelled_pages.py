@@ -26,4 +26,11 @@ PAGES = [
     """<html><body><div class="topbar"><span>Welcome, guest</span><a href="/login">Log in</a></div><div class="menu"><a href="/a">Guides</a><a href="/b">Forum</a></div>
 <main-><div class="entry"><h2>Sharpening a kitchen knife</h2><div>Soak the stone in water until no more bubbles rise from it, which takes about ten minutes.</div><h3>The angle</h3><div>Hold the blade at a low angle and draw it over the stone <span>with even pressure</span>, from the heel to the tip.</div><pre>coarse stone, then fine stone</pre><section><h4>Last touch</h4><div>A strip of leather takes off the burr that is left at the edge.</div></section><dl><dt>Burr</dt><dd>The thin rim of metal that sharpening leaves.</dd></dl></div></main->
 <div class="comments"><div>First!</div><div>Use oil instead of water.</div></div><div class="bottom"><a href="/legal">Legal</a></div></body></html>""",
+    """<html><body><table class="nav"><tr><td><a href="/">Top</a></td><td><a href="/all">All pages</a></td></tr></table><div class="path"><a href="/x">Animals</a> &gt; <a href="/y">Birds</a></div>
+<main-><div class="text"><h1>The swift</h1><p>The <a href="/swift">swift</a> is a bird of the family of <a href="/apodidae">Apodidae</a> and spends most of its life in the <a href="/air">air</a>, where it eats, drinks and even <a href="/sleep">sleeps</a>.</p>
+<h2>Nests</h2><p>It nests under <a href="/roof">roofs</a> and in <i>walls</i>, as <a href="/gilbert">Gilbert White</a> had noted<sup><a href="#1">1</a></sup>.</p><blockquote>They seem to skim along like meteors.</blockquote><ul><li>Length: about <a href="/cm">17 cm</a></li><li>Weight: <a href="/gram">forty grams</a> or so</li></ul><ol><li>It feeds on insects.</li><li>It winters in <a href="/africa">Africa</a>.</li></ol></div></main->
+<div class="more"><a href="/1">Martin</a><a href="/2">Swallow</a><a href="/3">Nightjar</a><a href="/4">Random page</a></div></body></html>""",
+    """<html><body><div><a href="/">Home</a> | <a href="/news">News</a> | <a href="/mail">Contact</a></div>
+<main-><section><h1>Release notes</h1><p>This release mends three faults, of which <a href="/f1">the first</a> was reported by <a href="/u">a reader</a>; see <a href="/log">the log</a> for more.</p><dl><dt><a href="/f2">Second fault</a></dt><dd>Times were shown in the wrong zone.</dd></dl><p>Thanks to <a href="/a">Ann</a>, <a href="/b">Bo</a> and <a href="/c">Cy</a>, who tested it, and to all <a href="/d">who wrote in</a>.</p></section></main->
+<div><a href="/old">Older</a> <a href="/new">Newer</a></div><div>Powered by a small engine</div></body></html>""",
 ]
