@@ -128,23 +128,29 @@ def last_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
-def dense_positions(rows: DataFrame, key: str, n: int = 64) -> DataFrame:
-    """``pos``: the place of each row in the order of a numeric key, from 0, without sorting in one task.
+def running_total(rows: DataFrame, key: str, value: Column | None = None, out: str = "before", n: int = 64) -> DataFrame:
+    """``out``: the sum of ``value`` (None: the count) over the rows before each in the order of a numeric key.
 
-    Approximate quantiles cut the key into ``n`` ranges; ranges are numbered by
-    themselves and moved by the sizes of those before (``n`` counts on the
-    driver). The ranges depend on the key alone, so reruns agree.
+    Nothing is sorted in one task: approximate quantiles cut the key into ``n``
+    ranges; each is summed by itself and moved by the sums of those before
+    (``n`` numbers on the driver). Ranges depend on the key alone, so reruns agree.
     """
+    value = F.lit(1).cast("long") if value is None else value
     cuts = sorted(set(rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)])).first()[0] or []))
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    counts = {r["p"]: r["count"] for r in rows.groupBy(part.alias("p")).count().collect()}
-    before, offset = {}, 0
-    for p in sorted(counts):
-        before[p], offset = offset, offset + counts[p]
-    offsets = F.create_map(*(x for p, o in before.items() for x in (F.lit(p), F.lit(o).cast("long")))) if before else F.lit(None)
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
-    placed = rows.withColumn("__part", part)
-    return placed.withColumn("pos", offsets[F.col("__part")] + place if before else F.lit(0).cast("long")).drop("__part")
+    sums = {r["p"]: r["s"] for r in rows.groupBy(part.alias("p")).agg(F.sum(value).alias("s")).collect()}
+    moved, total = {}, 0
+    for p in sorted(sums):
+        moved[p], total = total, total + sums[p]
+    offsets = F.create_map(*(x for p, o in (moved or {0: 0}).items() for x in (F.lit(p), F.lit(o).cast("long"))))
+    w = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(value).over(w), F.lit(0).cast("long"))
+    return rows.withColumn("__part", part).withColumn(out, offsets[F.col("__part")] + within).drop("__part")
+
+
+def dense_positions(rows: DataFrame, key: str, n: int = 64) -> DataFrame:
+    """``pos``: the place of each row in the order of a numeric key, from 0."""
+    return running_total(rows, key, out="pos", n=n)
 
 
 def first_seen(rows: DataFrame, group: str, what: list[str], *order: str) -> DataFrame:

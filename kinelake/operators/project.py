@@ -140,12 +140,12 @@ def joined(*parts: Column) -> Column:
 
 
 #: Image slots by model type, and which of them have a true mask.
-DROID_SLOTS = {"pi0": (("base_0_rgb", True), ("left_wrist_0_rgb", True), ("right_wrist_0_rgb", False)), "fast": (("base_0_rgb", True), ("base_1_rgb", True), ("wrist_0_rgb", True))}
+DROID_SLOTS = {"flow": (("base_0_rgb", True), ("left_wrist_0_rgb", True), ("right_wrist_0_rgb", False)), "fast": (("base_0_rgb", True), ("base_1_rgb", True), ("wrist_0_rgb", True))}
 
 
 def droid_masks(model: str) -> Column:
     """``map<slot, mask>``; the slot that has no camera is masked off, except for the fast model."""
-    return F.create_map(*(x for slot, on in DROID_SLOTS["fast" if model == "fast" else "pi0"] for x in (F.lit(slot), F.lit(on))))
+    return F.create_map(*(x for slot, on in DROID_SLOTS["fast" if model == "fast" else "flow"] for x in (F.lit(slot), F.lit(on))))
 
 
 def libero_masks(model: str) -> Column:

@@ -2,8 +2,7 @@
 
 What the reference draws at random is here a function of keys and a seed, so
 that reruns agree. Dense positions come from ``aggregates.dense_positions``
-where a whole table is numbered; a window without keys is used only over
-small tables (a row an episode or a work item).
+where a whole table is numbered.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.operators.aggregates import dense_positions
@@ -40,9 +39,9 @@ def subset_size(n: Column, ratio: float) -> Column:
 
 def nested_subsets(order: DataFrame, ratios: Mapping[str, float], place: str = "new_episode") -> DataFrame:
     """``subset`` and row for prefixes of one order: smaller subsets lie in larger ones."""
-    counted = order.withColumn("__n", F.count("*").over(Window.partitionBy()))  # a row an episode
-    names = F.filter(F.array(*(F.when(F.col(place) < subset_size(F.col("__n"), r), F.lit(name)) for name, r in ratios.items())), lambda x: x.isNotNull())
-    return counted.withColumn("subset", F.explode(names)).drop("__n")
+    n = F.lit(order.count())
+    names = F.filter(F.array(*(F.when(F.col(place) < subset_size(n, r), F.lit(name)) for name, r in ratios.items())), lambda x: x.isNotNull())
+    return order.withColumn("subset", F.explode(names))
 
 
 def quota_mixture(df: DataFrame, weights: Mapping[str, float], total: int, *, dataset: str = "dataset", position: str = "pos") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions import vectors
+from kinelake.operators.aggregates import running_total
 
 
 def action_chunks(frames: DataFrame, horizon: int, *, episode: str = "episode", t: str = "t", action: str = "action", out: str = "chunk") -> DataFrame:
@@ -64,17 +65,18 @@ def range_lists(ranges: DataFrame, episodes: DataFrame, *, episode: str = "episo
 def reindex(frames: DataFrame, order: DataFrame, *, episode: str = "episode", t: str = "t") -> DataFrame:
     """New dense numbers: ``order`` has ``episode, new_episode``; ``index`` runs over all frames.
 
-    The running offset is taken over one row an episode, not over frames.
+    The running offset is taken over one row an episode, not over frames, and by
+    ranges of numbers, not in one task.
     """
     lengths = frames.groupBy(episode).agg(F.count("*").alias("length")).join(order, episode)
-    offsets = lengths.withColumn("offset", F.sum("length").over(Window.orderBy("new_episode")) - F.col("length"))
+    offsets = running_total(lengths, "new_episode", F.col("length"), "offset")
     place = F.row_number().over(Window.partitionBy(episode).orderBy(t)) - 1
     return frames.withColumn("frame_index", place.cast("long")).join(offsets.drop("length"), episode).withColumn("index", F.col("offset") + F.col("frame_index")).drop("offset")
 
 
 def spread_picks(episodes: DataFrame, n: int, *, episode: str = "episode", length: str = "length") -> DataFrame:
     """``n`` evenly spread frames of each episode, with their global index: at (k + 1/2)(L - 1)/n, cut to whole frames; the first for n = 1."""
-    offsets = episodes.withColumn("offset", F.sum(length).over(Window.orderBy(episode)) - F.col(length)).filter(F.col(length) >= 1)
+    offsets = running_total(episodes, episode, F.col(length), "offset").filter(F.col(length) >= 1)
     k = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")
     at = F.lit(0) if n == 1 else F.least(F.floor((F.col("k") + 0.5) * (F.col(length) - 1) / n), F.col(length) - 1)
     return offsets.select(episode, "offset", length, k).withColumn("frame", at.cast("long")).select(episode, F.col("k").cast("long").alias("k"), "frame", (F.col("offset") + F.col("frame")).alias("index"))

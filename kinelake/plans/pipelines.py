@@ -62,11 +62,11 @@ def prompted(default: str | None) -> Transform:
 
 
 def model_inputs(model: str, dim: int, default: str | None = None) -> Transform:
-    """``pi0``: the cleaned prompt; ``pi05``: with the digitised state, before padding; ``fast``: the same, lower-cased, without padding."""
+    """``flow``: the cleaned prompt; ``flow_state``: with the digitised state, before padding; ``fast``: the same, lower-cased, without padding."""
 
     def text(df: DataFrame) -> DataFrame:
         p, s = F.col("prompt"), F.col("state")
-        return df.withColumn("prompt_text", {"pi0": texts.clean_prompt(p), "pi05": texts.state_prompt(texts.clean_prompt(p), s, True), "fast": texts.state_prompt(texts.clean_prompt_lower(p), s, False)}[model])
+        return df.withColumn("prompt_text", {"flow": texts.clean_prompt(p), "flow_state": texts.state_prompt(texts.clean_prompt(p), s, True), "fast": texts.state_prompt(texts.clean_prompt_lower(p), s, False)}[model])
 
     return compose(prompted(default), text, *([] if model == "fast" else [pad_to(dim)]))
 
@@ -105,10 +105,10 @@ DELTA_DIMS = {"aloha": (6, -1, 6, -1), "libero": (6, -1), "droid_position": (7,
 
 
 def robot_config(robot: str, model: str, stats: dict, *, extra_delta: bool = True, dim: int = 32, prompt: str | None = None) -> DataConfig:
-    """The usual configuration of a robot; quantiles normalise for every model but ``pi0``."""
+    """The usual configuration of a robot; quantiles normalise for every model but ``flow``."""
     dims = DELTA_DIMS[robot]
     data = delta_group(*dims) if dims and (robot != "libero" or extra_delta) else Group()
-    return DataConfig(data=data, model=Group(inputs=(model_inputs(model, dim, prompt),)), stats=stats, quantile=model != "pi0")
+    return DataConfig(data=data, model=Group(inputs=(model_inputs(model, dim, prompt),)), stats=stats, quantile=model != "flow")
 
 
 def training_frames(frames: DataFrame, ranges: DataFrame | None, horizon: int, *, path: str | None = None) -> DataFrame:

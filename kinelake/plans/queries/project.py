@@ -71,13 +71,13 @@ def prj10_first_dims(spark, d):
     return rows.select("vec_id", long("row").alias("row"), F.posexplode("a").alias("pos", "v")).select("vec_id", "row", long("pos").alias("pos"), r6("v").alias("v"))
 
 
-@query("""SELECT * FROM (VALUES ('libero_pi0', 'base_0_rgb', true), ('libero_pi0', 'left_wrist_0_rgb', true), ('libero_pi0', 'right_wrist_0_rgb', false),
+@query("""SELECT * FROM (VALUES ('libero_flow', 'base_0_rgb', true), ('libero_flow', 'left_wrist_0_rgb', true), ('libero_flow', 'right_wrist_0_rgb', false),
 ('libero_fast', 'base_0_rgb', true), ('libero_fast', 'left_wrist_0_rgb', true), ('libero_fast', 'right_wrist_0_rgb', true),
-('droid_pi05', 'base_0_rgb', true), ('droid_pi05', 'left_wrist_0_rgb', true), ('droid_pi05', 'right_wrist_0_rgb', false),
+('droid_flow', 'base_0_rgb', true), ('droid_flow', 'left_wrist_0_rgb', true), ('droid_flow', 'right_wrist_0_rgb', false),
 ('droid_fast', 'base_0_rgb', true), ('droid_fast', 'base_1_rgb', true), ('droid_fast', 'wrist_0_rgb', true)) v(config, slot, mask)""")
 def prj11_prj12_masks(spark, d):
     one = spark.range(1)
-    parts = [one.select(F.lit(name).alias("config"), F.explode(m).alias("slot", "mask")) for name, m in (("libero_pi0", P.libero_masks("pi0")), ("libero_fast", P.libero_masks("fast")), ("droid_pi05", P.droid_masks("pi05")), ("droid_fast", P.droid_masks("fast")))]
+    parts = [one.select(F.lit(name).alias("config"), F.explode(m).alias("slot", "mask")) for name, m in (("libero_flow", P.libero_masks("flow")), ("libero_fast", P.libero_masks("fast")), ("droid_flow", P.droid_masks("flow")), ("droid_fast", P.droid_masks("fast")))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
@@ -140,7 +140,7 @@ def pipe1_chunk_delta_normalize(spark, d):
 def pipe2_round_trip(spark, d):
     """Inference inputs and then outputs give the actions back."""
     stats = {"actions": {"mean": [0.01] * 7, "std": [0.2] * 7, "q01": [-0.3] * 7, "q99": [0.35] * 7}}
-    config = pipelines.robot_config("libero", "pi05", stats)
+    config = pipelines.robot_config("libero", "flow_state", stats)
     s = vectors(spark, d, 7).select("vec_id", F.col("x").alias("state"), F.array("x").alias("actions"), F.lit("Pick_up ").alias("prompt"))
     got = s.transform(config.training()).transform(config.inference_outputs())
     return exploded(got.select("vec_id", F.slice(F.col("actions")[0], 1, 7).alias("a")), "a", "vec_id").withColumn("v", F.round("v", 5))
