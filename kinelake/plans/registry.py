@@ -33,9 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def traj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    """Episodes; the key has its name before it is shuffled by, so that later windows share the shuffle."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("episode"), t.cast("long").alias("t"), "value", k.alias("k"), "event_id", "event_type", "ts")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode"), "value", k.alias("k"), "event_id", "event_type", "ts")
+    t = F.row_number().over(Window.partitionBy("episode").orderBy("ts", "event_id")) - 1
+    return e.withColumn("t", t.cast("long")).select("episode", "t", "value", "k", "event_id", "event_type", "ts")
 
 
 def vectors(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
