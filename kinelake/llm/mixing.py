@@ -67,9 +67,9 @@ def mix_plan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     return sized, common.staged(plan.coalesce(1), "plan")  # its size is known: small enough is broadcast
 
 
-def copies(h: Column) -> Column:
-    """How often the mix takes a document of hash ``h``, on a row joined with the plan."""
-    return F.col("times") + F.coalesce((h <= F.col("bound")).cast("long"), F.lit(0))
+def copies(h: Column, times: Column, bound: Column) -> Column:
+    """How often the mix takes a document of hash ``h``, by its source's plan."""
+    return times + F.coalesce((h <= bound).cast("long"), F.lit(0))
 
 
 def mix_sources(df: DataFrame, **options) -> DataFrame:
@@ -84,14 +84,16 @@ def mix_sources(df: DataFrame, **options) -> DataFrame:
     """
     sized, plan = mix_plan(df, **options)
     joined = sized.join(plan, sized["source"].eqNullSafe(plan["s"]), "left")
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("h"))).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("h"), F.col("times"), F.col("bound"))).alias("taken"))
 
 
 def mixed(df: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", seed: str = "mix", **options) -> DataFrame:
     """The rows of ``df`` that the mix takes, with ``copies``: how often. No text is shuffled."""
     _, plan = mix_plan(df, id_col=id_col, source_col=source_col, seed=seed, **options)
-    joined = df.withColumn("__h", id_hash(F.col(id_col), seed)).join(plan.select("s", "times", "bound"), F.col(source_col).eqNullSafe(F.col("s")))
-    return joined.withColumn("copies", copies(F.col("__h"))).filter("copies > 0").select(*(c for c in df.columns if c != "copies"), "copies")
+    plan = plan.select(F.col("s").alias("__s"), F.col("times").alias("__times"), F.col("bound").alias("__bound"))
+    joined = df.withColumn("__h", id_hash(F.col(id_col), seed)).join(plan, F.col(source_col).eqNullSafe(F.col("__s")))
+    often = copies(F.col("__h"), F.col("__times"), F.col("__bound"))
+    return joined.withColumn("copies", often).filter("copies > 0").select(*(c for c in df.columns if c != "copies"), "copies")
 
 
 def find_bounds(sized: DataFrame, goals: DataFrame) -> DataFrame:

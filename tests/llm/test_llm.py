@@ -190,6 +190,11 @@ def test_mix_is_near_its_targets(spark):
         assert abs(taken - target) <= 40
 
 
+def test_mixed_keeps_columns_of_any_name(spark):
+    docs = table(spark, [(i, sentence(5, i), "en", "s") for i in range(30)]).withColumns({c: F.lit(7) for c in ("s", "times", "bound", "h")})
+    assert mixing.mixed(docs).columns == [*docs.columns, "copies"]
+
+
 def test_mixes_are_nested(spark):
     docs = table(spark, [(i, sentence(5, i), "en", "s") for i in range(300)])
     ids = [{r["doc_id"] for r in mixing.mixed(docs, share=s).collect()} for s in (0.2, 0.5, 0.8)]
