@@ -161,7 +161,8 @@ def match_windows(wanted: DataFrame, length: int) -> DataFrame:
                 pos = np.unique(np.concatenate([np.arange(r["pos"], r["pos"] + r["n"]) for r in runs]))
                 pos = pos[pos + length <= len(h)]
                 w = range_hashes(h, pos, pos + length)
-                parts.append((common.mix64(w + _M), w, np.full(len(pos), doc, np.int64), pos))
+                again = range_hashes(common.mix64(h ^ _M), pos, pos + length)  # 128 bits with the first
+                parts.append((again, w, np.full(len(pos), doc, np.int64), pos))
                 rows += len(pos)
                 if rows >= CHUNK_ROWS:
                     yield combined(parts)
@@ -170,7 +171,7 @@ def match_windows(wanted: DataFrame, length: int) -> DataFrame:
             yield combined(parts)
 
     found = common.staged(wanted.mapInArrow(run, "kind tinyint, a bigint, w bigint, doc_id bigint, pos int"), "windows")
-    order = Window.partitionBy("w").orderBy("doc_id", "pos")
+    order = Window.partitionBy("a", "w").orderBy("doc_id", "pos")
     later = found.filter(F.col("kind") == REFERENCE).withColumn("r", F.rank().over(order)).filter("r > 1")
     return found.filter(F.col("kind") == FACTOR).select("doc_id", "pos").unionByName(later.select("doc_id", "pos")).withColumn("n", F.lit(1))
 
