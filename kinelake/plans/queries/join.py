@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kinelake.operators import joins as J
-from kinelake.plans.registry import long, query, r6, table, traj
+from kinelake.plans.registry import long, query, table, traj
 
 
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, p_name AS prompt, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from kinelake.operators import sampling as S
 from kinelake.operators.aggregates import category_rank, dense_positions
 from kinelake.plans.queries.window import ORDER, episode_order
-from kinelake.plans.registry import long, query, r6, table, traj, vectors
+from kinelake.plans.registry import long, query, table, traj, vectors
 
 KEY = "(event_id * 7919 + 42 * 104729 + event_id % 97 * 15485863) % 2147483647"
 

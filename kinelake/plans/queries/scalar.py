@@ -232,6 +232,14 @@ def str6_masks(spark, d):
     return a.select("episode", "pos", "v.ar", "v.loss")
 
 
+@query("SELECT p_partkey, i - 1 AS pos, ('0x' || substr(hex(encode(p_name || ' é')), 2 * i - 1, 2))::BIGINT AS v FROM part, range(1, 60) r(i) WHERE i <= strlen(p_name || ' é')")
+def str7_tokens(spark, d):
+    from kinelake.plans.pipelines import TOKENIZERS
+
+    t = TOKENIZERS["bytes"](F.concat("p_name", F.lit(" é")))
+    return exploded(table(spark, d, "part").withColumn("a", t), "a", "p_partkey")
+
+
 @query("SELECT event_id, 257152 - 1 - 128 - event_id AS token, event_id AS back FROM events")
 def str8_action_tokens(spark, d):
     t = X.action_token(F.col("event_id"), 257152)

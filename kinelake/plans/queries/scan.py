@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from kinelake.operators import aggregates, windows
 from kinelake.plans.queries.aggregate import SHARDS, action_values, shards, sums
-from kinelake.plans.queries.window import IDLE, KEPT, ORDER, episode_order, ranges
-from kinelake.plans.registry import exploded, long, query, r6, table, traj
+from kinelake.plans.queries.window import KEPT, ORDER, episode_order, ranges
+from kinelake.plans.registry import long, query, table, traj
 from kinelake.sources import readers, shared, sinks
 
 
