@@ -30,7 +30,11 @@ RAW = {"script", "style", "noscript", "textarea", "title", "template", "iframe",
 #: Elements that hold no main text.
 OUTSIDE = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "menu", "dialog", "label", "input"}
 #: Words in class, id or role of such elements.
-OUTSIDE_WORDS = {*"ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice alert popup modal newsletter subscribe signup comment comments disqus replies respond related recommended share sharing social toolbar pagination pager widget copyright skip contentinfo search complementary".split()}
+OUTSIDE_WORDS = {*"ad ads adbox adsense adslot adunit advert adverts advertisement advertising sponsored sponsor promo promotion banner breadcrumb breadcrumbs masthead cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup signin login comment comments commentlist disqus replies respond related recommended share sharing social toolbar topbar pagination pager copyright skip contentinfo search complementary".split()}
+#: As those, but a frame of the page may bear them, too: an article or main element within is not outside.
+FRAME_WORDS = {*"menu nav navbar navigation sidebar aside footer header".split()}
+COMMENT_WORDS = {"comment", "comments", "commentlist", "replies", "respond"}
+FIRM, FRAME = 2, 1
 VOID = {*"area base br col embed hr img input link meta param source track wbr".split()}
 #: Elements inside a line; every other tag parts blocks.
 INLINE = {*"a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()}
@@ -38,29 +42,50 @@ INLINE = {*"a abbr acronym b bdi bdo big cite code data del dfn em font i img in
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def outside(name: str, attributes: str, open_names: list[str]) -> bool:
-    if name in OUTSIDE:
-        return True
-    if name == "header":  # a page's header; an article's own holds its heading
-        return "article" not in open_names and "main" not in open_names
-    if name in ("html", "body", "main", "article"):
-        return False
+def words_of(attributes: str) -> set[str]:
+    """The words in class, id and role, also those that capitals part."""
+    found: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[1] or m[2] or m[3] or ""
-        if OUTSIDE_WORDS & {*re.split(r"[\s_\-:]+|(?<=[a-z])(?=[A-Z])", value), *re.split(r"[\s_\-:]+", value.lower())}:
+        found.update(w.lower() for w in re.split(r"[\s_\-:]+|(?<=[a-z])(?=[A-Z])", value))
+    return found
+
+
+def outside(name: str, attributes: str, open_names: list[str]) -> int:
+    """Whether an element holds no main text: ``FIRM``, ``FRAME`` (but for an article within), or 0."""
+    if name in OUTSIDE:
+        return FIRM
+    words = words_of(attributes)
+    if name in ("html", "body", "main"):
+        return 0
+    if name == "article":
+        return FIRM if words & COMMENT_WORDS else 0
+    if words & OUTSIDE_WORDS:
+        return FIRM
+    if name == "header" or "header" in words and not words & (FRAME_WORDS - {"header"}):
+        # A page's header; an article's own holds its heading.
+        return 0 if "article" in open_names or "main" in open_names else FRAME
+    return FRAME if words & FRAME_WORDS else 0
+
+
+def is_outside(stack: list[tuple[str, int]]) -> bool:
+    state = False
+    for name, kind in stack:
+        if kind == FIRM:
             return True
-    return False
+        state = kind == FRAME or state and name not in ("article", "main")
+    return state
 
 
 def tokens(page: str):
     """(kind, text, in an outside element): kind names a tag, or a text's block, with ``+a`` if linked."""
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []
     at, n = 0, len(page)
 
     def text(s: str):
         names = [x for x, _ in stack]
         block = next((x for x in reversed(names) if x not in INLINE), "body")
-        return f"w:{block}" + "+a" * ("a" in names), html.unescape(s), any(o for _, o in stack)
+        return f"w:{block}" + "+a" * ("a" in names), html.unescape(s), is_outside(stack)
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -77,13 +102,13 @@ def tokens(page: str):
             if any(x == name for x, _ in stack):
                 while stack.pop()[0] != name:
                     pass
-            yield f"t:{name}", "", any(o for _, o in stack)
+            yield f"t:{name}", "", is_outside(stack)
             continue
         shut = CLOSES.get(name, ())
         while stack and stack[-1][0] in shut:
             stack.pop()
         out = outside(name, m[3] or "", [x for x, _ in stack])
-        yield f"t:{name}", "", out or any(o for _, o in stack)
+        yield f"t:{name}", "", is_outside([*stack, (name, out)])
         if name in RAW:  # to its end tag, or to the end of the page
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else n

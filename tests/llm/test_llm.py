@@ -389,6 +389,7 @@ HTML = [
     (None, ""), ("", ""), ("<p>hello world, all is &lt;well&gt; here", "hello world, all is <well> here"),
     ('<html><body><nav><a href="/">Home</a></nav><article><h1>T</h1><p>one <b>two</b> three\n four&nbsp;five</p><div class="ad">buy now</div><p>six</p></article><div class="comments"><p>I like it very much, thank you for all the words</p></div><footer>x</footer></body></html>', "T one two three four five six"),
     ("<body><script>if (a < b) { document.write('<p>no</p>') }</script><style>p{}</style><div>only this text stays here</div><form>name <input> <button>go</button></form></body>", "only this text stays here"),
+    ('<body><div class="content-sidebar-wrap"><article><div class="entry-header"><h1>A title</h1></div><p>Words of the article are here.</p></article><div class="sidebar"><p>Not this text at all.</p></div></div><ol class="commentlist"><li><article class="comment-body"><p>I disagree with all of it, every word.</p></article></ol></body>', "A title Words of the article are here."),
     ("<p>a word and<script>x", "a word and"), ("<ul><li>one item<li>two items</ul><!-- never closed <p>no</p>", "one item two items"),
 ]
 
