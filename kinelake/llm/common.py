@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.sources.shared import new_path, shared_dir, staged  # noqa: F401
+from kinelake.sources.shared import new_path, shared_dir, ship, staged  # noqa: F401
 
 #: White space between words: the space and U+0009 to U+000D. ``bytes.split()`` splits on just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the columns ``doc_id`` and ``text`` (null: empty); other columns can't clash."""
+    ship(df.sparkSession)
     return df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
