@@ -69,6 +69,7 @@ class Machine:
 
 def fit(terms: list[np.ndarray], toxic: np.ndarray, share: np.ndarray, seed: int = 3) -> Machine:
     """A factorization machine from each document's buckets; ``share``: how many documents each stands for."""
+    share = share / share.mean() if len(share) else share  # their ratio counts, not the size of the input
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     flat = np.concatenate([*terms, np.empty(0, np.int64)]).astype(np.int64)
     row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
@@ -90,7 +91,7 @@ def fit(terms: list[np.ndarray], toxic: np.ndarray, share: np.ndarray, seed: int
             t = own[i]
             s = v[t].sum(0)
             y = bias + w[t].sum() + 0.5 * ((s**2).sum() - (v[t] ** 2).sum())
-            g = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - toxic[i]) * min(share[i], 20.0)
+            g = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - toxic[i]) * share[i]
             gb += g * g
             bias -= 0.1 * g / gb**0.5
             if len(t):

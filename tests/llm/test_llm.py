@@ -138,6 +138,15 @@ def test_pairs_count_for_more_than_their_parts():
     assert v(10, 20) > 0 > max(v(10), v(20))
 
 
+def test_scores_follow_the_true_shares_of_classes():
+    """The classes are sampled 1:1 out of 1130:144, as at 30 GB, and nothing tells them apart."""
+    toxic = np.arange(600) % 2
+    share, terms = np.where(toxic == 1, 144.0, 1130.0), [np.array([7])] * 600
+    m = toxicity.fit(terms, toxic, share)
+    assert abs(m.score("") - 144 / 1274) < 0.05
+    assert toxicity.fit(terms, toxic, share * 1000).bias == pytest.approx(m.bias)
+
+
 def test_toxicity_edges(spark, edges, empty):
     labels = spark.createDataFrame([(4, 1), (7, 0), (9, None), (13, 0), (12, 0)], "doc_id bigint, toxic int")
     fold = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
