@@ -8,9 +8,12 @@ than its parts do.
 
 Training is bounded: at most about ``per_class`` labelled documents of each
 class (chosen by a hash of the id, weighted back to the true shares) send their
-hashed terms to the driver, equal texts once. Terms that tell the classes apart
-by more than ``LEAST_Z`` deviations carry parameters; the rest are neutral.
-Scoring is a scan and a map, with the model (some hundred kilobytes) broadcast.
+hashed terms to the driver, equal texts once. Every term of two documents or
+more carries a weight and a vector. Terms that tell the classes apart by less
+than ``SURE_Z`` deviations take smaller steps, but never less than ``SHORT``
+such terms of full steps would take in a text together: else long texts would be
+learned by heart. Scoring is a scan and a map, with the model (36 bytes a term,
+``BUCKETS`` terms at most) broadcast.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from kinelake.llm import common
 
 #: Letters of the beginnings of words that are terms.
 PREFIXES = (3, 4, 5, 6)
-BUCKETS, FACTORS, LEAST_Z, MOST_TERMS, EPOCHS = 1 << 20, 8, 3.0, 1 << 15, 30
+BUCKETS, FACTORS, SURE_Z, SHORT, DECAY, EPOCHS = 1 << 20, 8, 3.0, 2, np.float32(1e-3), 30
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -43,12 +46,13 @@ class Machine:
     """The model: for the buckets it knows, weights and vectors."""
 
     def __init__(self, known: np.ndarray, bias: float, weight: np.ndarray, vectors: np.ndarray):
-        self.at = {b: i for i, b in enumerate(known.tolist())}
+        self.at = np.full(BUCKETS, -1, np.int32)
+        self.at[known] = np.arange(len(known))
         self.bias, self.weight, self.vectors = bias, weight, vectors
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def __reduce__(self):
-        return Machine, (np.fromiter(self.at, np.int64, len(self.at)), self.bias, self.weight, self.vectors)
+        return Machine, (np.flatnonzero(self.at >= 0), self.bias, self.weight, self.vectors)
 
     def score(self, text: str) -> float:
         if len(self.cache) > 500_000:
@@ -58,7 +62,7 @@ class Machine:
         for word in set(_WORDS(text.lower())):
             terms = cache.get(word)
             if terms is None:
-                cache[word] = terms = tuple(at[b] for b in buckets(word) if b in at)
+                cache[word] = terms = tuple(i for i in at[buckets(word)].tolist() if i >= 0)
             if terms:
                 found.update(terms)
         terms = np.fromiter(found, np.int64, len(found))
@@ -71,35 +75,37 @@ def fit(terms: list[np.ndarray], toxic: np.ndarray, share: np.ndarray, seed: int
     """A factorization machine from each document's buckets; ``share``: how many documents each stands for."""
     share = share / share.mean() if len(share) else share  # their ratio counts, not the size of the input
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    flat = np.concatenate([*terms, np.empty(0, np.int64)]).astype(np.int64)
-    row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    c1 = np.bincount(flat[toxic[row] == 1], minlength=BUCKETS) + 0.5
-    c0 = np.bincount(flat[toxic[row] == 0], minlength=BUCKETS) + 0.5
-    p1, p0 = c1 / (n1 + 1), c0 / (n0 + 1)
-    z = (np.log(p1) - np.log(p0)) / np.sqrt(1 / c1 + 1 / c0)
-    known = np.argsort(-np.abs(z), kind="stable")[:MOST_TERMS]
-    known = np.sort(known[(np.abs(z[known]) >= LEAST_Z) & (c1[known] + c0[known] >= 4)])
+    found = np.bincount(np.concatenate([*terms, np.empty(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
+    known = np.flatnonzero(found >= 2)
     at = np.full(BUCKETS, -1)
     at[known] = np.arange(len(known))
     own = [x[x >= 0] for x in (at[t.astype(np.int64)] for t in terms)]
+    flat = np.concatenate([*own, np.empty(0, np.int64)]).astype(np.int64)
+    row = np.repeat(np.arange(len(own)), [len(t) for t in own])
+    c1 = np.bincount(flat[toxic[row] == 1], minlength=len(known)) + 0.5
+    c0 = np.bincount(flat[toxic[row] == 0], minlength=len(known)) + 0.5
+    z = (np.log(c1 / (n1 + 1)) - np.log(c0 / (n0 + 1))) / np.sqrt(1 / c1 + 1 / c0)
+    sure = np.minimum(1, (z / SURE_Z) ** 2).astype(np.float32)
 
     rng = np.random.default_rng(seed)
-    w, v, bias = np.zeros(len(known)), rng.normal(0, 0.01, (len(known), FACTORS)), np.log(share[toxic == 1].sum() + 1) - np.log(share[toxic == 0].sum() + 1)
-    gw, gv, gb = np.full(len(known), 1e-6), np.full((len(known), FACTORS), 1e-6), 1e-6
+    w, v, bias = np.zeros(len(known), np.float32), rng.normal(0, 0.01, (len(known), FACTORS)).astype(np.float32), np.log(share[toxic == 1].sum() + 1) - np.log(share[toxic == 0].sum() + 1)
+    gw, gv, gb = np.full(len(known), 1e-6, np.float32), np.full((len(known), FACTORS), 1e-6, np.float32), 1e-6
     for _ in range(EPOCHS):  # AdaGrad, a document at a time
         for i in rng.permutation(len(own)):
             t = own[i]
-            s = v[t].sum(0)
-            y = bias + w[t].sum() + 0.5 * ((s**2).sum() - (v[t] ** 2).sum())
-            g = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - toxic[i]) * share[i]
+            wt, vt = w[t], v[t]
+            s = vt.sum(0)
+            y = bias + wt.sum() + 0.5 * ((s**2).sum() - (vt**2).sum())
+            g = np.float32((1 / (1 + np.exp(-np.clip(y, -30, 30))) - toxic[i]) * share[i])
             gb += g * g
             bias -= 0.1 * g / gb**0.5
             if len(t):
-                dw, dv = g + 1e-4 * w[t], g * (s - v[t]) + 1e-4 * v[t]
+                step = np.maximum(sure[t], np.float32(min(1, SHORT / len(t))))
+                dw, dv = g + DECAY * wt, g * (s - vt) + DECAY * vt
                 gw[t] += dw**2
                 gv[t] += dv**2
-                w[t] -= 0.1 * dw / np.sqrt(gw[t])
-                v[t] -= 0.02 * dv / np.sqrt(gv[t])
+                w[t] = wt - np.float32(0.1) * step * dw / np.sqrt(gw[t])
+                v[t] = vt - np.float32(0.02) * step[:, None] * dv / np.sqrt(gv[t])
     return Machine(known, float(bias), w, v)
 
 

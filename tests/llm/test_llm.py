@@ -138,6 +138,26 @@ def test_pairs_count_for_more_than_their_parts():
     assert v(10, 20) > 0 > max(v(10), v(20))
 
 
+def test_pairs_of_balanced_terms_are_learned():
+    """Either term alone is toxic, both or none aren't: neither tells the classes apart by itself."""
+    terms = [np.array(t, np.int64) for t in ([10], [20], [10, 20], [])] * 300
+    m = toxicity.fit(terms, np.array([1, 1, 0, 0] * 300), np.ones(1200))
+    v = lambda *bs: m.bias + sum(m.weight[m.at[b]] for b in bs) + (m.vectors[m.at[10]] @ m.vectors[m.at[20]] if len(bs) == 2 else 0)
+    assert min(v(10), v(20)) > 0 > max(v(), v(10, 20))
+
+
+def test_rare_insults_count():
+    """Found in 30 of 3000 toxic documents and no clean one, which were too few to get a weight."""
+    rng = np.random.default_rng(0)
+    plain = lambda: " ".join(f"w{i}" for i in rng.choice(90, 8, replace=False))
+    texts = [plain() + (" grumblewort" if i < 60 else " vile") * (i % 2) for i in range(6000)]
+    toxic = np.arange(6000) % 2
+    m = toxicity.fit([np.unique([b for w in t.split() for b in toxicity.buckets(w)]) for t in texts], toxic, np.where(toxic == 1, 144.0, 1130.0))
+    new = [plain() for _ in range(200)]
+    assert np.mean([m.score(t + " grumblewort") >= 0.5 for t in new]) > 0.9
+    assert np.mean([m.score(t) < 0.5 for t in new]) > 0.9
+
+
 def test_scores_follow_the_true_shares_of_classes():
     """The classes are sampled 1:1 out of 1130:144, as at 30 GB, and nothing tells them apart."""
     toxic = np.arange(600) % 2
