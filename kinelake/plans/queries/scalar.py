@@ -226,8 +226,8 @@ def str5_fit_tokens(spark, d):
 
 @query("WITH {traj} SELECT episode, t AS pos, CASE WHEN t < 10 THEN 0 ELSE 1 END::BIGINT AS ar, CASE WHEN t < 10 THEN 0 ELSE 1 END::BIGINT AS loss FROM traj")
 def str6_masks(spark, d):
-    s = traj(spark, d).groupBy("episode").agg(F.collect_list("k").alias("s"))
-    ar, loss = X.token_masks(F.slice("s", 1, 10), F.slice("s", 11, 10_000))
+    s = traj(spark, d).groupBy("episode").agg(F.collect_list(F.struct("k")).alias("s"))
+    ar, loss = X.token_masks(F.slice("s", 1, 10), F.slice("s", 11, F.greatest(F.size("s") - 10, F.lit(0))))
     a = exploded(s.withColumn("a", F.arrays_zip(ar.alias("ar"), loss.alias("loss"))), "a", "episode")
     return a.select("episode", "pos", "v.ar", "v.loss")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinelake.operators import filters, project, windows
 from kinelake.plans import queries as _filled  # noqa: F401
 from kinelake.plans.registry import QUERIES, table, traj
+from kinelake.sources import shared
 
 
 def plan(df) -> str:
@@ -44,3 +45,12 @@ def test_ranges_join_by_key(spark, sf_dir):
 def test_no_nested_loops(spark, sf_dir, name):
     p = plan(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in p and "BroadcastNestedLoop" not in p
+
+
+def test_masks_of_long_episodes_are_whole(spark):
+    """10,020 events of one user, the first without k; and a user with fewer than the prefix."""
+    d = shared.new_path(spark, "sf")
+    e = spark.range(10_023).selectExpr("id AS event_id", "if(id < 10020, 1, 2) AS user_id", "timestamp_seconds(id) AS ts", "'view' AS event_type", "0.5D AS value", """if(id = 0, '{}', '{"k": 1}') AS props""")
+    e.write.parquet(f"{d}/events.parquet")
+    got = sorted(tuple(r) for r in QUERIES["str6_masks"](spark, d).collect())
+    assert got == [(u, t, int(t >= 10), int(t >= 10)) for u, n in ((1, 10_020), (2, 3)) for t in range(n)]
