@@ -45,8 +45,9 @@ def opened(path: str):
     return FileSystem.from_uri(path)
 
 
-def record_name(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def record_name(page_id: int | None) -> str:
+    """A page without an id gets a name that no other record has."""
+    return f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else f"<urn:page:{page_id}>"
 
 
 def encode(row, date: str) -> bytes:
@@ -183,7 +184,7 @@ class WarcReader(DataSourceReader):
         own = dict(x.split(": ", 1) for x in head[: start - 4].decode().split("\r\n")[1:])
         body = head.index(b"\r\n\r\n", start) + 4
         http = dict(x.lower().split(": ", 1) for x in head[start : body - 4].decode().split("\r\n")[1:])
-        number = lambda name: int(own[name].removeprefix("<urn:page:").rstrip(">")) if name in own else None
+        number = lambda name: int(own[name].removeprefix("<urn:page:").rstrip(">")) if own.get(name, "").startswith("<urn:page:") else None
         row = {"record_id": own["WARC-Record-ID"], "record_type": own["WARC-Type"], "target_uri": own.get("WARC-Target-URI"), "warc_date": own["WARC-Date"], "page_id": number("WARC-Record-ID"), "payload_digest": own["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(http["content-length"]), "refers_to": number("WARC-Refers-To"), "payload": None}
         if any(row[k] not in v for k, v in self.wanted.items()):
             return None
@@ -236,8 +237,10 @@ def write_warc(df: DataFrame, path: str, *, id_col: str = "page_id", html_col: s
 
     Of records whose payloads (the page in UTF-8; null: empty) are equal and of
     ``least_bytes`` or more, the one with the largest id is the response and the
-    others revisit it; rows that repeat that id are responses, too. An empty
-    table gives no records; columns other than the three are not read.
+    others revisit it; rows that repeat that id are responses, too. Pages without
+    an id are read back without one; if none of equal pages has one, all are
+    responses. An empty table gives no records; columns other than the three are
+    not read.
     """
     register(df.sparkSession)
     payload = F.coalesce(df[html_col].cast("string"), F.lit("")).cast("binary")
@@ -249,7 +252,7 @@ def write_warc(df: DataFrame, path: str, *, id_col: str = "page_id", html_col: s
     large, key = common.large_enough(df.count()), ["sha1", "payload_bytes"]
     hot, rest = F.broadcast(groups.filter(F.col("n") >= large)), groups.filter(F.col("n") < large)
     found = pages.join(hot, key).unionByName(pages.join(hot, key, "left_anti").join(rest, key, "left"), allowMissingColumns=True)
-    refers = F.when(F.col("keep") != F.col("page_id"), F.col("keep")).alias("refers_to")
+    refers = F.when(~F.col("keep").eqNullSafe(F.col("page_id")), F.col("keep")).alias("refers_to")
     records = found.select("page_id", "target_uri", "payload_bytes", "sha1", refers, F.when(refers.isNull(), F.col("payload")).alias("payload"))
     records.write.format("warc").mode("append").save(path)
 

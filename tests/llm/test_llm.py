@@ -312,6 +312,15 @@ def test_warc_without_an_index(spark):
     assert warc.read_warc(spark, path, "verify").count() == len(PAGES)
 
 
+def test_pages_without_an_id(spark):
+    path = common.new_path(spark, "warc")
+    warc.write_warc(pages(spark, [(None, "http://a", "x"), (None, "http://b", "x"), (None, "http://c", "y"), (5, "http://d", "y")]), path)
+    rows = warc.read_warc(spark, path).collect()
+    got = [(r["target_uri"][-1], r["page_id"], r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"])) for r in rows]
+    assert sorted(got) == [("a", None, "response", None, b"x"), ("b", None, "response", None, b"x"), ("c", None, "revisit", 5, None), ("d", 5, "response", None, b"y")]
+    assert len({r["record_id"] for r in rows}) == 4
+
+
 def test_small_and_no_pages(spark):
     path = common.new_path(spark, "warc")
     warc.write_warc(pages(spark, PAGES), path, least_bytes=5)
