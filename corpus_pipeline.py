@@ -7,7 +7,7 @@ shared folder and reads it again, so a lost executor costs a stage at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.llm import common
@@ -40,16 +40,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the one with the smallest id stays."""
-    gone = common.staged(near_dedup(docs, percent=PERCENT).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__id"], "left_anti")
+    """Of each group of near duplicates, the one with the smallest id stays; one without an id only if none has one."""
+    keyed = docs.select(_key(docs).alias("doc_id"), "text")
+    gone = common.staged(near_dedup(keyed, percent=PERCENT).filter("NOT kept").select(F.col("doc_id").alias("__key")).distinct(), "gone")
+    return docs.join(gone.hint("shuffle_hash"), _key(docs) == gone["__key"], "left_anti")
+
+
+def _key(docs: DataFrame) -> Column:
+    """25 bytes, never null, that sort by id and then by 128 bits of the text's SHA-256; null ids come last."""
+    i = F.lpad(F.hex(docs["doc_id"].cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    sha = F.substring(F.sha2(F.coalesce(docs["text"], F.lit("")), 256), 1, 32)
+    return F.unhex(F.concat(F.when(docs["doc_id"].isNull(), "01" + "0" * 16).otherwise(F.concat(F.lit("00"), i)), sha))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that cover half of any benchmark item."""
-    found = contaminated(docs, common.read(spark, sf_dir, "benchmark"))
-    gone = common.staged(found.select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__id"], "left_anti")
+    """Drops documents that cover half of any benchmark item, which the text alone decides."""
+    sha = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
+    found = contaminated(docs.select(sha.alias("doc_id"), "text"), common.read(spark, sf_dir, "benchmark"))
+    gone = common.staged(found.select(F.col("doc_id").alias("__sha")).distinct(), "gone")
+    return docs.join(gone.hint("shuffle_hash"), sha == gone["__sha"], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,6 +59,20 @@ def test_run(spark, sf):
     assert first == again and first
 
 
+def test_null_and_repeated_ids(spark, sf):
+    """Decisions hit the row they are about: rows without an id too, and not another row of the same id."""
+    near = [sentence(80, 5), sentence(80, 5) + " more", sentence(80, 6), sentence(80, 7), sentence(80, 7) + " end", sentence(80, 8)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip([-1, 4, 4, None, None, None], near, strict=True)], schema)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, docs, sf[0]).collect()]
+    assert {(-1, near[0]), (4, near[2]), (None, near[5])} <= set(got) and len(got) == 4 and (4, near[1]) not in got
+
+    dirty = f"{sentence(20, 900)} {BENCH}"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(None, dirty), (1, dirty), (1, near[2]), (None, near[5])]], schema)
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate(spark, docs, sf[0]).collect()}
+    assert got == {(1, near[2]), (None, near[5])}
+
+
 def test_empty(spark):
     d = common.new_path(spark, "sf")
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{d}/documents.parquet")
