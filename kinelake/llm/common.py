@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.sources.shared import new_path, shared_dir, ship, staged  # noqa: F401
@@ -11,6 +14,7 @@ from kinelake.sources.shared import new_path, shared_dir, ship, staged  # noqa:
 #: White space between words: the space and U+0009 to U+000D. ``bytes.split()`` splits on just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the columns ``doc_id`` and ``text`` (null: empty); other columns can't clash."""
     ship(df.sparkSession)
@@ -51,6 +55,41 @@ def gram_hashes(h: np.ndarray, k: int, salt: int = 0x9E3779B97F4A7C15) -> np.nda
     return mix64(g)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: list[str], hot: Column, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, whose rows of distinct ``key`` for which ``hot`` holds are few by construction.
+
+    Those are broadcast, so that the many rows of ``left`` that share one stay where they are; the rest meet by key.
+    """
+    few, rest = F.broadcast(right.filter(hot)), right.filter(~hot)
+    return left.join(few, key).unionByName(left.join(few.select(*key), key, "left_anti").join(rest, key, how), allowMissingColumns=True)
+
+
+def only(df: DataFrame, ids: DataFrame, key: str, most: int = 200_000) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the table ``ids`` (one column, distinct).
+
+    Up to ``most`` ids, which is counted, are broadcast and ``df`` isn't moved; more meet it by key.
+    """
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids.hint("shuffle_hash"), key, "left_semi")
+
+
+def runs_of_keys(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows that agree in the first ``keys`` columns (whole numbers), of sorted batches, a table at a time."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+        edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(edges, edges[1:], strict=False):
+            if held and tuple(k[:, i]) != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(i, j - i))
+            last = tuple(k[:, i])
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def large_enough(rows: int, share: int = 1000, least: int = 1000) -> int:
     """From so many rows on, a group counts as hot; no more than ``share`` groups can be."""
     return max(least, -(-rows // share))

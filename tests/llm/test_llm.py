@@ -474,10 +474,12 @@ def near_groups(rows, percent=85):
     return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_near_dedup(spark, block, monkeypatch):
-    """Chains of edits around the threshold, copies, and short texts, in one block and in many."""
+@pytest.mark.parametrize(("block", "stars"), [(4096, 8), (3, 8), (5, 0)])
+def test_near_dedup(spark, block, stars, monkeypatch):
+    """Chains of edits around the threshold, copies, and short texts, in one block and in many, with stars and without."""
     monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(near_dedup, "STAR_BANDS", stars)
     rng, rows = np.random.default_rng(0), []
     for base in range(6):
         words = sentence(int(60 + 40 * base), base).split()
@@ -504,9 +506,10 @@ def test_near_dedup_edges(edges, empty):
 def test_packed_estimates_are_near_the_similarity():
     a = np.unique(common.mix64(np.arange(1, 1001, dtype=np.uint64)))
     b = np.unique(np.r_[np.random.default_rng(1).permutation(a)[:900], common.mix64(np.arange(5000, 5100, dtype=np.uint64))])
-    word = lambda s: np.frombuffer(near_dedup.pack(near_dedup.minima(s)), np.uint64)[None]
-    assert abs(near_dedup.estimates(word(a), word(b))[0, 0] - 900 / 1100) < 0.12
-    assert abs(near_dedup.estimates(word(a), word(common.mix64(np.arange(9000, 9999, dtype=np.uint64))))[0, 0]) < 0.12
+    word = lambda s: near_dedup.pack(near_dedup.minima(s))[None]
+    similar = lambda x, y: near_dedup.estimate(near_dedup.equal_minima(word(x), word(y))[0, 0])
+    assert abs(similar(a, b) - 900 / 1100) < 0.12
+    assert abs(similar(a, common.mix64(np.arange(9000, 9999, dtype=np.uint64)))) < 0.12
 
 
 def test_registered():
