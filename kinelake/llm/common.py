@@ -72,6 +72,12 @@ def only(df: DataFrame, ids: DataFrame, key: str, most: int = 200_000) -> DataFr
     return df.join(F.broadcast(ids) if ids.count() <= most else ids.hint("shuffle_hash"), key, "left_semi")
 
 
+def each(column: pa.Array) -> Iterator:
+    """The values of a column, of which few are Python's at a time."""
+    for i in range(0, len(column), 256):
+        yield from column.slice(i, 256).to_pylist()
+
+
 def runs_of_keys(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Rows that agree in the first ``keys`` columns (whole numbers), of sorted batches, a table at a time."""
     held, last = [], None
@@ -93,3 +99,26 @@ def runs_of_keys(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Ta
 def large_enough(rows: int, share: int = 1000, least: int = 1000) -> int:
     """From so many rows on, a group counts as hot; no more than ``share`` groups can be."""
     return max(least, -(-rows // share))
+
+
+_M = np.uint64(0x9E3779B97F4A7C15)
+_M_INVERSE = np.uint64(pow(int(_M), -1, 2**64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    """Powers of the multiplier and of its inverse, up to ``n`` at least."""
+    if len(_powers[0]) <= n:
+        for i, m in enumerate((_M, _M_INVERSE)):
+            p = np.full(2 * n + 2, m)
+            p[0] = 1
+            _powers[i] = np.multiply.accumulate(p)
+    return _powers
+
+
+def range_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words ``start`` to ``end`` (without it) for each pair; equal words, equal hash."""
+    up, down = _tables(len(h))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))

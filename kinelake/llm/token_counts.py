@@ -109,7 +109,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(key, *b.value, cache_entries)
         for batch in batches:
-            n = [count(t) for t in batch.column(2).to_pylist()]
+            n = [count(t) for t in common.each(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     docs = common.documents(df, id_col, text_col).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")

@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int) -> Machine:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [sorted({b for w in set(_WORDS(t.lower())) for b in buckets(w)}) for t in batch.column(0).to_pylist()]
+            terms = [sorted({b for w in set(_WORDS(t.lower())) for b in buckets(w)}) for t in common.each(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(terms, pa.list_(pa.int32()))], ["toxic", "terms"])
 
     table = docs.join(chosen, "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, terms array<int>").toArrow()
@@ -149,7 +149,7 @@ def toxicity(df: DataFrame, labels: DataFrame, held_out: Column, *, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.value.score
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(score, batch.column(2).to_pylist()), pa.float64())], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(score, common.each(batch.column(2))), pa.float64())], ["doc_id", "held_out", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
