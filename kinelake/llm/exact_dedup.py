@@ -1,31 +1,33 @@
 """Exact duplicates through an extendible-hash index on shared files.
 
-* Entries: one small row a document (id, 64-bit key, SHA-256, bytes), written
-  to the shared folder. Everything but the comparison of bytes reads these.
+* Keys: a 64-bit hash of each text, counted. Everything that plans the index
+  reads these counts, not texts.
 * Directory: buckets are ranges of keys. It starts with one bucket and is
   doubled while any bucket holds more distinct keys than ``capacity``; buckets
   that fit keep their shorter prefix, so several slots of the directory name
   the same bucket.
-* Owners: rows meet by (bucket, key, text). Spark's hash aggregate chains what
-  collides and compares whole byte strings, and it combines copies on the map
-  side first, so that a group with a third of all rows arrives as one row a
-  task. The chains of several rows are written to the shared folder, dealt out
-  and sorted by bucket and key: the index.
-* Look-up: entries join the chains. Groups with over a thousandth of all rows
-  (so a thousand at most) are broadcast; the rest meet by key.
+* Owners: the directory deals rows out, a bucket to one task. The owner sorts
+  its buckets by key, chains what has one key, and compares the texts of a chain
+  byte by byte. It writes its buckets to the shared folder, in order of bucket
+  and key: the index.
+* Keys with over a thousandth of all rows (so a thousand at most) aren't dealt
+  out, as one owner would get a third of the corpus: their texts are compared
+  and counted where they stand, combined on the map side, and the few chains
+  that result are broadcast back to their rows.
 
 Only DataFrame functions run on the data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinelake.llm import common
 
-#: The directory has at most two to this power slots.
-MOST_DEPTH = 16
+#: The directory has at most two to this power slots; beyond them buckets grow, and their owners spill.
+MOST_DEPTH = 18
 
 
 def prefix(key: Column, depth: int) -> Column:
@@ -38,18 +40,19 @@ def grow_directory(keys: DataFrame, capacity: int) -> list[int]:
     A histogram over the longest prefixes (bounded by 2^MOST_DEPTH rows, whatever
     the data) says how full a bucket of any depth is.
     """
-    fine = dict(keys.groupBy(prefix(F.col("key"), MOST_DEPTH).alias("p")).count().collect())
-    slots, full, depth = [(0, 0)], True, 0  # (local depth, prefix)
+    fine = keys.groupBy(prefix(F.col("key"), MOST_DEPTH).alias("p")).count().toArrow()
+    upto = np.zeros(2**MOST_DEPTH + 1, np.int64)
+    upto[1 + fine.column("p").to_numpy()] = fine.column("count").to_numpy()
+    upto = upto.cumsum()
+    slots, depth = [(0, 0)], 0  # (local depth, prefix)
 
-    def held(local: int, p: int) -> int:
+    def is_over(local: int, p: int) -> bool:
         step = MOST_DEPTH - local
-        return sum(fine.get(x, 0) for x in range(p << step, (p + 1) << step))
+        return upto[(p + 1) << step] - upto[p << step] > capacity
 
-    while full and depth < MOST_DEPTH:
-        over = {s for s in set(slots) if held(*s) > capacity}
-        if full := bool(over):
-            depth += 1
-            slots = [(s[0] + 1, 2 * s[1] + bit) if s in over else s for s in slots for bit in (0, 1)]
+    while depth < MOST_DEPTH and (over := {s for s in set(slots) if is_over(*s)}):
+        depth += 1
+        slots = [(s[0] + 1, 2 * s[1] + bit) if s in over else s for s in slots for bit in (0, 1)]
     order = {s: i for i, s in enumerate(dict.fromkeys(slots))}
     return [order[s] for s in slots]
 
@@ -60,42 +63,46 @@ def bucket(key: Column, directory: list[int]) -> Column:
     return F.element_at(slots, (prefix(key, depth) + 1).cast("int"))
 
 
-def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4_000_000) -> DataFrame:
+def build_index(docs: DataFrame, directory: list[int]) -> DataFrame:
+    """``bucket, key, doc_id, sha, keep_id, group_size`` of ``doc_id, key, text``: each bucket sorted by one owner."""
+    chain = Window.partitionBy("bucket", "key", "text")
+    owned = docs.withColumn("bucket", bucket(F.col("key"), directory)).repartition("bucket")
+    owned = owned.select("bucket", "key", "doc_id", sha256(), F.max("doc_id").over(chain).alias("keep_id"), F.count("*").over(chain).alias("group_size"))
+    return common.staged(owned, "index")
+
+
+def sha256() -> Column:
+    return F.unhex(F.sha2("text", 256)).alias("sha")
+
+
+def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1000) -> DataFrame:
     """One row a document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when their bytes are; null counts as empty. The largest id
     of a group stays. Of rows that repeat both id and text all count in
     ``group_size`` and all are kept or dropped alike. A row without an id stays
     only if no equal text has one. An empty table gives no rows; columns other
-    than the two are not read.
+    than the two are not read. ``capacity``: distinct keys in a bucket.
     """
     docs = common.documents(df, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    entries = common.staged(docs.select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha")), "entries")
-    directory = grow_directory(entries.select("key").distinct(), capacity)
-
-    chains = (
-        docs.groupBy(bucket(F.col("key"), directory).alias("bucket"), "key", "text")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .filter("group_size > 1")
-        .select("bucket", "key", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
-    )
-    index = common.staged(chains.repartition("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
-    return look_up(entries, index)
-
-
-def look_up(entries: DataFrame, index: DataFrame) -> DataFrame:
-    """Entries with their chains; those without one stand alone."""
-    large = common.large_enough(entries.count())
-    hot = F.broadcast(index.filter(F.col("group_size") >= large).drop("bucket"))  # a thousand rows at most
-    rest = index.filter(F.col("group_size") < large).drop("bucket")
-    found = entries.join(hot, ["key", "sha"])
-    other = entries.join(hot, ["key", "sha"], "left_anti").join(rest, ["key", "sha"], "left")
-    keep = F.coalesce("keep_id", "doc_id")
-    return found.unionByName(other).select(
+    keys = common.staged(docs.groupBy("key").agg(F.count("*").alias("n")), "keys")
+    directory = grow_directory(keys, capacity)
+
+    large = common.large_enough(keys.agg(F.sum("n")).first()[0] or 0)
+    hot = F.broadcast(keys.filter(F.col("n") >= large).select("key"))  # a thousand at most
+    index = build_index(docs.join(hot, "key", "left_anti"), directory)
+
+    same = docs.join(hot, "key")
+    chains = same.groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).select("key", sha256(), "keep_id", "group_size")
+    chains = common.staged(chains, "chains")
+    found = same.select("doc_id", "key", sha256()).join(chains, ["key", "sha"])
+
+    columns = ["doc_id", "sha", "keep_id", "group_size"]
+    return index.select(*columns).unionByName(found.select(*columns)).select(
         "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        "keep_id",
+        F.col("group_size").cast("long").alias("group_size"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
