@@ -35,33 +35,11 @@ from pyspark.sql import functions as F
 
 from kinelake.llm import common
 
-#: Words in an anchor; rows that a task combines at a time; the share of a task's rows from which an anchor may be hot.
-GRAM, CHUNK_ROWS, HOT_SHARE = 6, 2_000_000, 2000
+#: Words in an anchor; rows that a task combines at a time; an anchor with more than one in HOT_SHARE of all blocks is hot for sure.
+GRAM, CHUNK_ROWS, HOT_SHARE = 6, 2_000_000, 20_000
 FACTOR, REFERENCE, HOT = 0, 1, 2
 NO_ID = -(2**63)
 
-_M = np.uint64(0x9E3779B97F4A7C15)
-_M_INVERSE = np.uint64(pow(int(_M), -1, 2**64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the multiplier and of its inverse, up to ``n`` at least."""
-    if len(_powers[0]) <= n:
-        for i, m in enumerate((_M, _M_INVERSE)):
-            p = np.full(2 * n + 2, m)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers
-
-
-def range_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the words ``start`` to ``end`` (without it) for each pair; equal words, equal hash."""
-    up, down = _tables(len(h))
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return common.mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-
 
 def blocks(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one document: anchor, hash of all words, first window and number of windows of each block."""
@@ -74,44 +52,50 @@ def blocks(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     at = np.arange(windows) + np.lib.stride_tricks.sliding_window_view(grams, length - k + 1).argmin(1)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     n = np.diff(np.r_[first, windows])
-    body = range_hashes(h, first, first + n + length - 1)
+    body = common.range_hashes(h, first, first + n + length - 1)
     return grams[at[first]], common.mix64(body ^ (at[first] - first).astype(np.uint64)), first, n
 
 
-def earliest(keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by keys, document and position, and whether each row there is its key's earliest (ties too)."""
-    order = np.lexsort([pos, doc, *keys[::-1]])
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-        for k in keys:
-            new[1:] |= k[order][1:] != k[order][:-1]
-        group = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        d, p = doc[order], pos[order]
-        new |= (d == d[group]) & (p == p[group])
-    return order, new
-
+def earliest(keys: list[np.ndarray], doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by keys, document, row and position, and whether nothing with the same keys comes before each there.
 
-def merged(doc: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    Earlier are smaller documents, and smaller positions in the same row; rows of one document id aren't earlier than each other.
+    """
+    order = np.lexsort([pos, row, doc, *keys[::-1]])
+    new = np.zeros(len(order), bool)
+    if not len(order):
+        return order, new
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    at = np.arange(len(order))
+    group = np.maximum.accumulate(np.where(new, at, 0))
+    d, r, p = doc[order], row[order], pos[order]
+    new[1:] |= (d[1:] != d[:-1]) | (r[1:] != r[:-1])
+    same = np.maximum.accumulate(np.where(new, at, 0))
+    return order, (d == d[group]) & (p == p[same])
+
+
+def merged(doc: np.ndarray, row: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows in fewer rows: those that touch become one."""
-    order = np.lexsort([pos, doc])
-    doc, pos, n = doc[order], pos[order], n[order]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + n[:-1])] if len(doc) else np.empty(0, bool)
+    order = np.lexsort([pos, row, doc])
+    doc, row, pos, n = doc[order], row[order], pos[order], n[order]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + n[:-1])] if len(doc) else np.empty(0, bool)
     at = np.flatnonzero(new)
     last = np.r_[at[1:], len(doc)] - 1 if len(at) else at
-    return doc[at], pos[at], pos[last] + n[last] - pos[at]
+    return doc[at], row[at], pos[at], pos[last] + n[last] - pos[at]
 
 
 def parse(docs: DataFrame, length: int) -> DataFrame:
     """Factors among a task's own blocks, its references, and the anchors that may be hot (n: their rows)."""
 
     def combined(parts: list[tuple]) -> pa.RecordBatch:
-        a, b, doc, pos, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, first = earliest([a, b], doc, pos)
+        a, b, doc, row, pos, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, first = earliest([a, b], doc, row, pos)
         factor, ref = order[~first], order[first]
-        fd, fp, fn = merged(doc[factor], pos[factor], n[factor])
+        fd, fr, fp, fn = merged(doc[factor], row[factor], pos[factor], n[factor])
         anchors, counts = np.unique(a[ref], return_counts=True)
-        hot = counts >= max(16, len(ref) // HOT_SHARE)
+        hot = counts >= max(4, len(ref) // (4 * HOT_SHARE))
         anchors, counts = anchors[hot], counts[hot]
         zero = lambda k: np.zeros(k, np.int64)
         x, y, z = len(fd), len(ref), len(anchors)
@@ -120,18 +104,19 @@ def parse(docs: DataFrame, length: int) -> DataFrame:
             np.r_[zero(x), a[ref].view(np.int64), anchors.view(np.int64)],
             np.r_[zero(x), b[ref].view(np.int64), zero(z)],
             np.r_[fd, doc[ref], zero(z)],
+            np.r_[fr, row[ref], zero(z)],
             np.r_[fp, pos[ref], zero(z)].astype(np.int32),
             np.r_[fn, n[ref], counts].astype(np.int32),
         ]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "doc_id", "pos", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "doc_id", "row", "pos", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, row, text in zip(*map(common.each, batch.columns), strict=True):
                 a, b, pos, n = blocks(common.word_hashes(text.encode("utf-8", "surrogatepass").split()), length)
                 if len(a):
-                    parts.append((a, b, np.full(len(a), doc, np.int64), pos, n))
+                    parts.append((a, b, np.full(len(a), doc, np.int64), np.full(len(a), row, np.int64), pos, n))
                     rows += len(a)
                 if rows >= CHUNK_ROWS:
                     yield combined(parts)
@@ -139,30 +124,30 @@ def parse(docs: DataFrame, length: int) -> DataFrame:
         if parts:
             yield combined(parts)
 
-    return docs.mapInArrow(run, "kind tinyint, a bigint, b bigint, doc_id bigint, pos int, n int")
+    return docs.mapInArrow(run, "kind tinyint, a bigint, b bigint, doc_id bigint, row bigint, pos int, n int")
 
 
 def match_windows(wanted: DataFrame, length: int) -> DataFrame:
-    """``doc_id, pos, n`` of windows that start earlier elsewhere, from ``doc_id, runs, packed``."""
+    """``doc_id, row, pos, n`` of windows that start earlier elsewhere, from ``doc_id, row, runs, packed``."""
 
     def combined(parts: list[tuple]) -> pa.RecordBatch:
-        a, w, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, first = earliest([a, w], doc, pos)
+        a, w, doc, row, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, first = earliest([a, w], doc, row, pos)
         repeat, ref = order[~first], order[first]
         x, y = len(repeat), len(ref)
         both = np.r_[repeat, ref]
-        return pa.RecordBatch.from_arrays([pa.array(np.r_[np.full(x, FACTOR), np.full(y, REFERENCE)].astype(np.int8)), pa.array(a[both].view(np.int64)), pa.array(w[both].view(np.int64)), pa.array(doc[both]), pa.array(pos[both].astype(np.int32))], ["kind", "a", "w", "doc_id", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[np.full(x, FACTOR), np.full(y, REFERENCE)].astype(np.int8)), pa.array(a[both].view(np.int64)), pa.array(w[both].view(np.int64)), pa.array(doc[both]), pa.array(row[both]), pa.array(pos[both].astype(np.int32))], ["kind", "a", "w", "doc_id", "row", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = [], 0
         for batch in batches:
-            for doc, runs, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc, row, runs, packed in zip(*map(common.each, batch.columns), strict=True):
                 h = common.word_hashes(unpack(packed).split())
                 pos = np.unique(np.concatenate([np.arange(r["pos"], r["pos"] + r["n"]) for r in runs]))
                 pos = pos[pos + length <= len(h)]
-                w = range_hashes(h, pos, pos + length)
-                again = range_hashes(common.mix64(h ^ _M), pos, pos + length)  # 128 bits with the first
-                parts.append((again, w, np.full(len(pos), doc, np.int64), pos))
+                w = common.range_hashes(h, pos, pos + length)
+                again = common.range_hashes(common.mix64(h ^ np.uint64(0x9E3779B97F4A7C15)), pos, pos + length)  # 128 bits with the first
+                parts.append((again, w, np.full(len(pos), doc, np.int64), np.full(len(pos), row, np.int64), pos))
                 rows += len(pos)
                 if rows >= CHUNK_ROWS:
                     yield combined(parts)
@@ -170,24 +155,24 @@ def match_windows(wanted: DataFrame, length: int) -> DataFrame:
         if parts:
             yield combined(parts)
 
-    found = common.staged(wanted.mapInArrow(run, "kind tinyint, a bigint, w bigint, doc_id bigint, pos int"), "windows")
-    order = Window.partitionBy("a", "w").orderBy("doc_id", "pos")
+    found = common.staged(wanted.mapInArrow(run, "kind tinyint, a bigint, w bigint, doc_id bigint, row bigint, pos int"), "windows")
+    order = Window.partitionBy("a", "w").orderBy("doc_id")  # a task names a row's earliest window only
     later = found.filter(F.col("kind") == REFERENCE).withColumn("r", F.rank().over(order)).filter("r > 1")
-    return found.filter(F.col("kind") == FACTOR).select("doc_id", "pos").unionByName(later.select("doc_id", "pos")).withColumn("n", F.lit(1))
+    return found.filter(F.col("kind") == FACTOR).select("doc_id", "row", "pos").unionByName(later.select("doc_id", "row", "pos")).withColumn("n", F.lit(1))
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """``doc_id, packed``: texts in UTF-8 under Zstandard, for a smaller shuffle."""
+    """``doc_id, row, packed``: texts in UTF-8 under Zstandard, for a smaller shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            packed = [z.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+            packed = [z.compress(t.encode("utf-8", "surrogatepass")) for t in common.each(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "row", "packed"])
 
-    return docs.mapInArrow(run, "doc_id bigint, packed binary")
+    return docs.mapInArrow(run, "doc_id bigint, row bigint, packed binary")
 
 
 def unpack(packed: bytes) -> bytes:
@@ -200,36 +185,41 @@ def substring_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """One row a document: ``doc_id, n_words, n_removed, kept_text``.
 
     ``kept_text`` joins the words that stay by one space. Null and empty texts
-    have no words; texts shorter than a window lose none. Ids are whole numbers;
-    rows that repeat an id count as one document, and none makes another's
-    windows repeats; rows without an id count as one that comes before all
-    others. An empty table gives no rows; other columns are not read.
+    have no words; texts shorter than a window lose none. Ids are whole numbers.
+    Rows that repeat an id are told apart by their texts and aren't earlier than
+    each other; rows without an id come before all others and aren't earlier than
+    each other either. An empty table gives no rows; other columns are not read.
     """
     docs = common.documents(df, id_col, text_col).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    # Where every id is one row's, it names the row; else the text's hash does, too.
+    unique = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    docs = docs.select("doc_id", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("row"), "text")
     parsed = common.staged(parse(docs, length), "blocks")
     refs = parsed.filter(F.col("kind") == REFERENCE)
-    least = max(10_000, refs.count() // HOT_SHARE)  # HOT_SHARE anchors at most
+    least = max(10_000, refs.count() // (2 * HOT_SHARE))  # so 2 * HOT_SHARE anchors at most
     hot = F.broadcast(parsed.filter(F.col("kind") == HOT).groupBy("a").agg(F.sum("n").alias("rows")).filter(F.col("rows") >= least).select("a"))
 
-    by_block, by_anchor = Window.partitionBy("a", "b").orderBy("doc_id", "pos"), Window.partitionBy("a")
+    by_block, by_anchor = Window.partitionBy("a", "b").orderBy("doc_id"), Window.partitionBy("a")
     ranked = refs.join(hot, "a", "left_anti").drop("kind").repartition("a").withColumn("r", F.rank().over(by_block))
+    # A block of several rows of one id counts more than once: that only means more windows to compare.
     ranked = ranked.withColumn("others", F.sum((F.col("r") == 1).cast("int")).over(by_anchor))
-    decided = common.staged(ranked.filter("r > 1 OR others > 1").select("doc_id", "pos", "n", (F.col("r") == 1).alias("boundary")), "factors")
+    own = ["doc_id", "row", "pos", "n"]
+    decided = common.staged(ranked.filter("r > 1 OR others > 1").select(*own, (F.col("r") == 1).alias("boundary")), "factors")
 
-    boundary = decided.filter("boundary").select("doc_id", "pos", "n").unionByName(refs.join(hot, "a", "left_semi").select("doc_id", "pos", "n"))
-    runs = boundary.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
+    boundary = decided.filter("boundary").select(*own).unionByName(refs.join(hot, "a", "left_semi").select(*own))
+    runs = boundary.groupBy("doc_id", "row").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
     texts = pack(docs)
-    once = runs.join(texts, "doc_id").select("doc_id", "runs", "packed")
+    once = runs.join(texts, ["doc_id", "row"]).select("doc_id", "row", "runs", "packed")
     windows = match_windows(once, length)
 
-    spans = parsed.filter(F.col("kind") == FACTOR).select("doc_id", "pos", "n").unionByName(decided.filter("NOT boundary").select("doc_id", "pos", "n")).unionByName(windows)
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
-    joined = texts.join(lists, "doc_id", "left").select("doc_id", "packed", F.col("runs.pos").alias("pos"), F.col("runs.n").alias("n"))
+    spans = parsed.filter(F.col("kind") == FACTOR).select(*own).unionByName(decided.filter("NOT boundary").select(*own)).unionByName(windows)
+    lists = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
+    joined = texts.join(lists, ["doc_id", "row"], "left").select("doc_id", "packed", F.col("runs.pos").alias("pos"), F.col("runs.n").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, kept = [], [], []
-            for packed, pos, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for packed, pos, n in zip(*map(common.each, batch.columns[1:]), strict=True):
                 words = unpack(packed).split()
                 total.append(len(words))
                 if pos:
