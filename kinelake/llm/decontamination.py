@@ -1,15 +1,18 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts are compared as lower-cased words. A document and a benchmark item become
-a pair if they share a seed of ``SEED`` words. On each pair, running Karp-Rabin
-finds matches of a search length, extends them, and marks the longest ones that
-do not overlap earlier ones as tiles; the search length then shrinks to the
-seed's. As tiles may come in any order, reordered passages are found as well.
-The share of the item's words under tiles is its coverage.
-
-The benchmark is cut into blocks of bounded size by a hash of its ids; each is
-broadcast, and the documents are scanned once for each block. A benchmark of
-any size is thus covered in full with bounded memory, and documents never move.
+a pair if they share a seed of ``SEED`` words. On each pair, the longest match
+between words that no tile covers yet becomes a tile, again and again, until
+none has the seed's length. Running Karp-Rabin hashes tell whether there are
+matches of a given length; the greatest such length is found by bisection, and
+all tiles of that length are marked at once, so texts that repeat one word cost
+no more than others. As tiles may come in any order, reordered passages are
+found as well. The share of the item's words under tiles is its coverage.
+
+The benchmark is cut into blocks of about ``BLOCK_BYTES`` by a hash of its ids.
+One at a time is broadcast; the documents are scanned once for each block. A
+benchmark of any size is thus covered in full, memory holds a block, and
+documents never move.
 """
 
 from __future__ import annotations
@@ -30,38 +33,55 @@ SEED, BLOCK_BYTES = 5, 16 << 20
 _WORDS = re.compile(r"\w+").findall
 
 
+def windows(hashes: np.ndarray, free: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and Karp-Rabin hashes of the windows in which every word is free."""
+    marked = np.r_[0, np.cumsum(~free)]
+    at = np.flatnonzero(marked[length:] == marked[: len(marked) - length]) if len(free) >= length else np.empty(0, np.int64)
+    return at, common.range_hashes(hashes, at, at + length)
+
+
+def matches(doc, item, free_doc, free_item, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of the document that equal one of the item, and the item's own, with their hashes."""
+    j, of_item = windows(item, free_item, length)
+    i, of_doc = windows(doc, free_doc, length)
+    hit = np.isin(of_doc, of_item)
+    return i[hit], of_doc[hit], j, of_item
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (start in doc, start in item, length) of ``least`` words and more."""
-    free_doc, free_item = np.ones(len(doc) + 1, bool), np.ones(len(item) + 1, bool)
-    free_doc[-1] = free_item[-1] = False
-    found, length = [], max(least, min(20, len(item)))
-    while True:
-        matches, longest = [], 0
-        where = defaultdict(list)
-        for j, h in enumerate(common.gram_hashes(item, length).tolist()):
-            if free_item[j : j + length].all():
-                where[h].append(j)
-        grams = common.gram_hashes(doc, length)
-        for i in np.flatnonzero(np.isin(grams, np.fromiter(where, np.uint64, len(where)))).tolist():
-            if not free_doc[i : i + length].all():
+    """Greedy tiles (start in doc, start in item, length) of ``least`` words and more, longest first, then by start."""
+    free_doc, free_item, found = np.ones(len(doc), bool), np.ones(len(item), bool), []
+    most = min(len(doc), len(item))  # no match is longer
+    while most >= least:
+        low, high, at = least - 1, most, None  # a match of ``low`` words exists, or none at all
+        while low < high:
+            middle = (low + high + 1) // 2
+            now = matches(doc, item, free_doc, free_item, middle)
+            if len(now[0]):
+                low, at = middle, now
+            else:
+                high = middle - 1
+        if at is None:
+            break
+        places = defaultdict(list)
+        for j, h in zip(at[2].tolist(), at[3].tolist(), strict=True):
+            places[h].append(j)
+        after, taken = 0, 0  # where the next tile may start; the item's words taken in this round
+        for i, h in zip(at[0].tolist(), at[1].tolist(), strict=True):
+            if i < after:
                 continue
-            for j in where[int(grams[i])]:
-                k = 0
-                while free_doc[i + k] and free_item[j + k] and doc[i + k] == item[j + k]:
-                    k += 1
-                if k >= length:
-                    matches.append((k, i, j))
-                    longest = max(longest, k)
-        if longest > 2 * length:
-            length = longest
-            continue
-        for k, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free_doc[i : i + k].all() and free_item[j : j + k].all():
-                free_doc[i : i + k] = free_item[j : j + k] = False
-                found.append((i, j, k))
-        if length == least:
+            own = places[h]
+            while own and not (free_item[own[0] : own[0] + low].all() and np.array_equal(doc[i : i + low], item[own[0] : own[0] + low])):
+                own.pop(0)  # taken for good, as are those before it
+            if own:
+                j = own.pop(0)
+                free_doc[i : i + low] = free_item[j : j + low] = False
+                found.append((i, j, low))
+                after, taken = i + low, taken + low
+        if not taken:  # only where hashes collide
             return found
-        length = max(least, length // 2)
+        most = low - 1
+    return found
 
 
 class Index:
@@ -84,17 +104,28 @@ class Index:
         """(item, coverage, tiles) of the items of which ``text`` covers a share of ``least`` or more."""
         get = self.number.get
         doc = np.array([get(w, 0) for w in _WORDS(text.lower())], np.uint64)
-        hits = set()
+        hits: dict[object, list] = defaultdict(list)  # item: where its seeds start, and their length
         for k, own in self.sorted.items():
             if len(doc) >= k:
                 grams = common.gram_hashes(doc, k)
                 at = np.minimum(np.searchsorted(own, grams), len(own) - 1)
-                for h in np.unique(grams[own[at] == grams]).tolist():
-                    hits |= self.seeds[k][h]
+                start = np.flatnonzero(own[at] == grams)
+                values, number = np.unique(grams[start], return_inverse=True)
+                for x, h in enumerate(values.tolist()):
+                    for item in self.seeds[k][h]:
+                        hits[item].append((start[number == x], k))
         found = []
         for item in sorted(hits):
             own = self.items[item]
-            t = tiles(doc, own, min(SEED, len(own)))
+            # Only words under seeds can be in tiles; a 0 parts those that aren't neighbours.
+            near = np.zeros(len(doc) + 2, np.int64)
+            for start, k in hits[item]:
+                near[start] += 1
+                near[start + k] -= 1
+            inside = near.cumsum()[:-1] > 0
+            doc0 = np.r_[doc, np.uint64(0)]
+            keep = inside | np.r_[False, inside[:-1]]
+            t = tiles(np.where(inside, doc0, np.uint64(0))[keep], own, min(SEED, len(own)))
             if (share := sum(k for _, _, k in t) / len(own)) >= least:
                 found.append((item, share, len(t)))
         return found
@@ -105,7 +136,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     Null and empty texts, and items without words, match nothing; an item of
     fewer words than a seed must occur whole. Repeated rows give repeated rows;
-    an empty table on either side gives none; other columns are not read.
+    an empty table on either side gives none, and a document that covers no item
+    so far has no row; other columns are not read.
     """
     spark = df.sparkSession
     docs = common.documents(df, id_col, text_col)
@@ -122,11 +154,16 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
             for batch in batches:
-                rows = [(d, *f) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in index.covered(t, least)]
+                rows = [(d, *f) for d, t in zip(*map(common.each, batch.columns), strict=True) for f in index.covered(t, least)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "coverage", "tiles"])
 
-        return docs.mapInArrow(run, schema)
+        found = docs.mapInArrow(run, schema)
+        if blocks == 1:
+            return found
+        found = common.staged(found, "covered")  # done before the next block is loaded
+        shared.destroy()
+        return found
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
