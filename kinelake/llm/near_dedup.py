@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b, bands, packed = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in common.each(batch.column(1)):
                 s = shingle_set(text, k)
                 n.append(len(s))
                 digest = xxhash.xxh3_128_digest(s.tobytes())
@@ -183,7 +183,7 @@ def star_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, large:
         at, hubs = None, []
         for batch in batches:
             found = []
-            for row, (a, part, side, text) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True)):
+            for row, (a, part, side, text) in enumerate(zip(*(common.each(batch.column(i)) for i in (0, 1, 2, 4)), strict=True)):
                 if side == 0:
                     if at != (a, part):
                         at, hubs = (a, part), []
