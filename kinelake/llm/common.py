@@ -72,6 +72,33 @@ def only(df: DataFrame, ids: DataFrame, key: str, most: int = 200_000) -> DataFr
     return df.join(F.broadcast(ids) if ids.count() <= most else ids.hint("shuffle_hash"), key, "left_semi")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name = f"_{name}"
+    return name
+
+
+def threshold(wanted: int, rows: int) -> int | None:
+    """Of ``rows`` signed 64-bit hashes, about ``wanted`` are less than this; none: all are taken."""
+    return None if wanted >= rows else wanted * 2**64 // rows - 2**63
+
+
+def drawn(key: str, wanted: int, rows: int) -> Column:
+    """Whether a row's key is among about ``wanted`` of ``rows``, by its hash."""
+    t = threshold(wanted, rows)
+    return F.lit(True) if t is None else F.xxhash64(key) < F.lit(t).cast("long")
+
+
+def without(df: DataFrame, gone: DataFrame, same: Column, most: int = 200_000) -> DataFrame:
+    """``df`` but the rows for which ``same`` holds with a row of the table ``gone``.
+
+    Up to ``most`` rows of that, which are counted, are broadcast and ``df`` isn't moved; more meet it by key.
+    """
+    return df.join(F.broadcast(gone) if gone.count() <= most else gone.hint("shuffle_hash"), same, "left_anti")
+
+
 def each(column: pa.Array) -> Iterator:
     """The values of a column, of which few are Python's at a time."""
     for i in range(0, len(column), 256):

@@ -78,15 +78,15 @@ def learn(known: DataFrame, per_language: int) -> tuple[list[str], np.ndarray]:
     """The languages, and each bucket's probability in each. ``known``: doc_id, text, lang."""
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(counts)
-    draw, some = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), F.lit(False)
+    some = F.lit(False)
     for x in langs:
-        some = some | ((F.col("lang") == x) & (draw < int(min(1.0, per_language / counts[x]) * 1_000_000)))
+        some = some | ((F.col("lang") == x) & common.drawn("doc_id", per_language, counts[x]))
     at = {x: i for i, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(at), BUCKETS), np.int64)
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text in zip(*map(common.each, batch.columns), strict=True):
                 g, n = trigrams(text)
                 total[at[lang], g] += n
         x, y = np.nonzero(total)
@@ -98,8 +98,8 @@ def learn(known: DataFrame, per_language: int) -> tuple[list[str], np.ndarray]:
     return langs, table / table.sum(0)
 
 
-def identify(df: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_language: int = 2000) -> DataFrame:
-    """All columns of ``df`` and ``lang_pred``, ``lang_score``.
+def identify(df: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_language: int = 2000, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """All columns of ``df`` and two more: by ``names``, the language and its share, in place of columns of those names.
 
     ``known``: rows with ``doc_id``, ``text``, ``lang`` to learn from (null text
     or language: not used). ``und`` with score 0 stands for null texts, texts
@@ -118,8 +118,10 @@ def identify(df: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_co
         found = [infer(t, p) if t else (-1, 0.0) for t in texts]
         return pd.DataFrame({"lang": [names[i] if i >= 0 else "und" for i, _ in found], "score": [s for _, s in found]})
 
-    judged = df.withColumn("__judged", judge(F.coalesce(df[text_col].cast("string"), F.lit(""))))
-    return judged.withColumns({"lang_pred": F.col("__judged.lang"), "lang_score": F.col("__judged.score")}).drop("__judged")
+    found = judge(F.coalesce(df[text_col].cast("string"), F.lit("")))
+    own = [c for c in df.columns if c not in names]
+    judged = df.select(F.struct(*own).alias("own"), found.alias("judged"))
+    return judged.select("own.*", F.col("judged.lang").alias(names[0]), F.col("judged.score").alias(names[1]))
 
 
 def held_out_fold(id_col: Column) -> Column:

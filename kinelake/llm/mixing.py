@@ -90,9 +90,10 @@ def mix_sources(df: DataFrame, **options) -> DataFrame:
 def mixed(df: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", seed: str = "mix", **options) -> DataFrame:
     """The rows of ``df`` that the mix takes, with ``copies``: how often. No text is shuffled."""
     _, plan = mix_plan(df, id_col=id_col, source_col=source_col, seed=seed, **options)
-    plan = plan.select(F.col("s").alias("__s"), F.col("times").alias("__times"), F.col("bound").alias("__bound"))
-    joined = df.withColumn("__h", id_hash(F.col(id_col), seed)).join(plan, F.col(source_col).eqNullSafe(F.col("__s")))
-    often = copies(F.col("__h"), F.col("__times"), F.col("__bound"))
+    of, times, bound, h = (common.free(df, x) for x in ("of_source", "times", "bound", "h"))
+    plan = plan.select(F.col("s").alias(of), F.col("times").alias(times), F.col("bound").alias(bound))
+    joined = df.withColumn(h, id_hash(F.col(id_col), seed)).join(plan, F.col(source_col).eqNullSafe(F.col(of)))
+    often = copies(F.col(h), F.col(times), F.col(bound))
     return joined.withColumn("copies", often).filter("copies > 0").select(*(c for c in df.columns if c != "copies"), "copies")
 
 

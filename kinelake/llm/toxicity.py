@@ -113,10 +113,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int) -> Machine:
     """``docs``: doc_id, text. ``labels``: doc_id, toxic (0 or 1), only rows to learn from."""
     counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
     keep = {y: min(1.0, per_class / max(1, n)) for y, n in counts.items()}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     some = F.lit(False)
-    for y, p in keep.items():
-        some = some | ((F.col("toxic") == y) & (draw < int(p * 1_000_000)))
+    for y, n in counts.items():
+        some = some | ((F.col("toxic") == y) & common.drawn("doc_id", per_class, n))
     # About per_class rows of each class, so it can be broadcast.
     chosen = F.broadcast(labels.filter(some).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
 

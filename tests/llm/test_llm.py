@@ -279,6 +279,21 @@ def test_language_edges(spark, edges, empty):
     assert {r["lang_pred"] for r in language.identify(edges, empty).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("rows", [2001, 10**6, 10**10, 3 * 10**15])
+def test_draws_are_as_large_as_wanted_at_any_size(spark, rows):
+    assert common.threshold(2000, 2000) is None and common.threshold(2000, 10) is None
+    share = (common.threshold(2000, rows) + 2**63) / 2**64
+    assert share * rows == pytest.approx(2000, rel=1e-3)
+    if rows < 10**7:
+        assert 1700 < spark.range(rows).filter(common.drawn("id", 2000, rows)).count() < 2300
+
+
+def test_identified_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two three", "en", "mine", 2)], "doc_id bigint, text string, lang string, lang_pred string, judged int")
+    got = language.identify(docs, docs, names=("a", "b")).collect()[0].asDict()
+    assert got == {"doc_id": 1, "text": "one two three", "lang": "en", "lang_pred": "mine", "judged": 2, "a": "en", "b": 1.0}
+
+
 # 6. WARC.
 
 

@@ -1,6 +1,7 @@
 """The pipeline against the same stages by brute force."""
 
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,20 @@ def test_null_and_repeated_ids(spark, sf):
     assert got == {(1, near[2]), (None, near[5])}
 
 
+def test_columns_of_any_name_pass_through(spark, sf):
+    """Names that stages use themselves, very long texts, and rows that repeat."""
+    extra = "lang_pred string, main_lang int, key string, gone int, n_chars bigint, kept string, component_id int"
+    long = sentence(20_000, 12)
+    rows = [(i, t, "en", "s", "mine", 1, "k", 2, 3, "x", 4) for i, t in [(1, long), (1, long), (2, sentence(60, 1)), (None, sentence(60, 2)), (None, None)]]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, source string, {extra}")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        found = stage(spark, docs, sf[0])
+        got = Counter(tuple(r)[:11] for r in found.collect())
+        assert set(got) <= set(rows) and found.columns[:11] == docs.columns
+        if k < 4:
+            assert got == Counter(rows if k else rows[:4])
+
+
 def test_empty(spark):
     d = common.new_path(spark, "sf")
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{d}/documents.parquet")
