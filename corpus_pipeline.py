@@ -3,6 +3,12 @@
 Each stage takes ``(spark, docs, sf_dir)``, works on all that its predecessor
 kept, and returns what it keeps itself; ``run`` writes that as a table in the
 shared folder and reads it again, so a lost executor costs a stage at most.
+
+A stage decides about rows, not ids: rows without an id or with one that repeats
+are told apart by their texts, and rows that repeat both are kept or dropped
+alike. Null texts count as empty. Other columns, whatever their names, pass
+through as they are; an empty table gives an empty one. What is dropped is
+broadcast if it is counted to be small; else rows meet it by key.
 """
 
 from __future__ import annotations
@@ -22,28 +28,31 @@ LEAST_SHARE, PERCENT = 0.3, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those in which no language has ``LEAST_SHARE``."""
-    found = identify(docs, docs.filter(F.coalesce(~held_out_fold(F.col("doc_id")), F.lit(True))))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
+    """Drops documents without a letter (null and empty texts, too), and those in which no language has ``LEAST_SHARE``.
+
+    If no row has a language to learn from, nothing is identified and nothing stays.
+    """
+    lang, share = common.free(docs, "main_lang"), common.free(docs, "main_share")
+    found = identify(docs, docs.filter(F.coalesce(~held_out_fold(F.col("doc_id")), F.lit(True))), names=(lang, share))
+    return found.filter((F.col(lang) != "und") & (F.col(share) >= LEAST_SHARE)).select(*docs.columns)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but the rows whose id and text ``gone`` (doc_id, sha) names. What goes is the smaller side."""
-    gone = common.staged(gone.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct(), "gone")
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["__id"]) & (sha == gone["__sha"]), "left_anti")
+def _sha(docs: DataFrame) -> Column:
+    return F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest id stays."""
-    return _without(docs, exact_dedup(docs).filter("NOT kept").withColumnRenamed("text_sha256", "sha"))
+    """Of equal texts, the one with the largest id stays; one without an id only if none has one."""
+    found = exact_dedup(docs).filter("NOT kept")
+    gone = common.staged(found.select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")).distinct(), "gone")
+    return common.without(docs, gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (_sha(docs) == gone["__sha"]))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the one with the smallest id stays; one without an id only if none has one."""
     keyed = docs.select(_key(docs).alias("doc_id"), "text")
     gone = common.staged(near_dedup(keyed, percent=PERCENT).filter("NOT kept").select(F.col("doc_id").alias("__key")).distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), _key(docs) == gone["__key"], "left_anti")
+    return common.without(docs, gone, _key(docs) == gone["__key"])
 
 
 def _key(docs: DataFrame) -> Column:
@@ -55,14 +64,13 @@ def _key(docs: DataFrame) -> Column:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that cover half of any benchmark item, which the text alone decides."""
-    sha = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
-    found = contaminated(docs.select(sha.alias("doc_id"), "text"), common.read(spark, sf_dir, "benchmark"))
+    found = contaminated(docs.select(_sha(docs).alias("doc_id"), "text"), common.read(spark, sf_dir, "benchmark"))
     gone = common.staged(found.select(F.col("doc_id").alias("__sha")).distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), sha == gone["__sha"], "left_anti")
+    return common.without(docs, gone, _sha(docs) == gone["__sha"])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often: ``copies``."""
+    """The documents that the mix takes, with how often: ``copies``, in place of a column of that name. Documents of one hash go together."""
     return mixed(docs)
 
 
