@@ -33,4 +33,7 @@ PAGES = [
     """<html><body><div><a href="/">Home</a> | <a href="/news">News</a> | <a href="/mail">Contact</a></div>
 <main-><section><h1>Release notes</h1><p>This release mends three faults, of which <a href="/f1">the first</a> was reported by <a href="/u">a reader</a>; see <a href="/log">the log</a> for more.</p><dl><dt><a href="/f2">Second fault</a></dt><dd>Times were shown in the wrong zone.</dd></dl><p>Thanks to <a href="/a">Ann</a>, <a href="/b">Bo</a> and <a href="/c">Cy</a>, who tested it, and to all <a href="/d">who wrote in</a>.</p></section></main->
 <div><a href="/old">Older</a> <a href="/new">Newer</a></div><div>Powered by a small engine</div></body></html>""",
+    """<html><body><div class="login"><a href="/in">Log in</a></div><div class="promo">Two for the price of one until Friday.</div>
+<div class="notice"><main-><h1>How the old clock was mended</h1><p>The clock in the tower had stood still for eleven years when the town found a maker who knew its works.</p><p>She cut two wheels anew and hung the weights on <a href="/rope">rope</a> instead of wire, and it has gone well since.</p></main-></div>
+<div class="share"><a href="#">Send</a> <a href="#">Save</a></div><div class="notice">This site will be closed for repairs tonight.</div><footer>Town paper</footer></body></html>""",
 ]

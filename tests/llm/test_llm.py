@@ -577,8 +577,49 @@ def test_html_pages(spark):
     assert html_extraction.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["page no-sidebar", "layout has-sidebar", "site with-banner", "promo", "post search-result", "content related-topic", "col share-4", "notice", "comments-open", "plain"])
+def test_a_telling_class_of_the_frame_keeps_the_article(kind):
+    article = "<h1>A title</h1><p>The first paragraph has some words in it.</p><div class='ad'>buy now</div><p>And here is the second one.</p>"
+    text = "A title The first paragraph has some words in it. And here is the second one."
+    for page in (f"<nav><a href='/'>Home</a></nav><div class='{kind}'>{article}</div><footer>x</footer>", f"<div>Hello guest</div><article><div class='{kind}'>{article}</div></article><div class='comments'><p>{'I like it very much. ' * 9}</p></div>"):
+        assert html_extraction.main_text(page) == text
+
+
+def test_pages_without_an_article_have_no_text():
+    for page in ("<nav><ul><li>Home</ul></nav><footer>Imprint of the firm</footer>", "<div class='ad'>Buy two, get one for free this week only.</div><form>Name <input></form>", "<div class='comments'><p>I agree with this</p></div>"):
+        assert html_extraction.main_text(page) == ""
+
+
+def test_values_without_quotes():
+    assert html_extraction.main_text("<div id=a><p title=it's class=x'y>All of this is text, <a href=/a?b=c>and this</a> too.</p></div>") == "All of this is text, and this too."
+    assert html_extraction.main_text('<p title="a > b">All of this is text.</p><p title="never closed>And this</p>') == "All of this is text. And this"
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    start = time.time()
+    for tag in ("div", "b", 'div class="ad"'):
+        n = 50_000
+        page = f"<{tag}>" * n + "some words" + f"</{tag.split()[0]}>" * n + "<p>All of this is text, which is longer.</p>"
+        assert html_extraction.main_text(page).endswith("All of this is text, which is longer.")
+    assert time.time() - start < 12
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-4, 4), max_size=30))
+def test_the_scan_finds_the_largest_sum(scores):
+    scan = html_extraction.Scan()
+    for x in scores:
+        scan.add(x, "w:p", "x")
+    i, j = scan.best
+    assert sum(scores[i:j]) == scan.sum == max([0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a, len(scores) + 1))])
+
+
 def test_weights_are_positive_for_words_and_negative_for_tags():
-    assert all(v > 0 if k[0] == "w" else v < 0 for k, v in html_extraction.weights().items())
+    kinds, shares = html_extraction.weights()
+    assert all(v > 0 if k[0] == "w" else v < 0 for k, v in kinds.items())
+    assert all(0 < v < 1 for v in shares.values()) and shares["notice"] > shares["comments"]
 
 
 # 10. Near duplicates.
