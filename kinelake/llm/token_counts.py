@@ -2,23 +2,25 @@
 
 A text's tokens are those of its pre-tokens, so its count is a sum of lengths.
 Tier one is a compact hash table that is broadcast once: the lengths of the
-tokenizer's own vocabulary entries, which are the pre-tokens that were frequent
-where the vocabulary was made. Its size is bounded by the vocabulary (some
-50,000 short strings), whatever the corpus. Tier two is a cache in each Python
-worker: a pre-token that the table lacks is encoded once by the library and
-kept; the cache is emptied when it holds ``cache_entries``. No pre-token is
-ever shuffled, and the plan is a scan and a map.
+``table_entries`` most frequent pre-tokens in a sample of ``sample_rows``
+documents, the first that Spark finds. The sample decides what is looked up
+quickly, never what is counted. Tier two is a cache in each Python worker: a
+pre-token that the table lacks is encoded once by the library and kept; the
+cache is emptied when it holds ``cache_entries``. No pre-token is ever shuffled,
+and the plan is a scan and a map.
 
 Pre-tokens are found with the pattern of byte-level vocabularies, written out
 for the characters of everyday texts. Texts with any other character (controls,
-marks, rare scripts) or with a special string go to the library whole, so
-counts are the library's for every text.
+marks, rare scripts) or with a special string go to the library whole, as do
+all texts if the file splits or normalises them in another way, so counts are
+the library's for every text and every file.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,14 +42,48 @@ VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTES = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in VISIBLE)}
 
 
-def vocabulary_lengths(spec: str) -> dict[str, int]:
-    """Tier one: tokens of each vocabulary entry that is a single pre-token, with its length."""
+def loaded(spec: str):
+    """The tokenizer, without the truncation and padding that its file may ask for."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(spec)
-    entries = [tok.decode([i], skip_special_tokens=False) for i in range(tok.get_vocab_size())]
-    entries = [e for e in dict.fromkeys(entries) if "�" not in e and PLAIN.fullmatch(e) and PATTERN.findall(e) == [e]]
-    return {e: len(x.ids) for e, x in zip(entries, tok.encode_batch(entries, add_special_tokens=False), strict=True)}
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
+def splits_by_pattern(spec: str) -> bool:
+    """Whether the file takes texts as they are and splits them by ``PATTERN``."""
+    file = json.loads(spec)
+    split = file.get("pre_tokenizer") or {}
+    return not file.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+
+
+def written(piece: str) -> str:
+    """A pre-token as byte-level vocabularies write it."""
+    return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTES)
+
+
+def frequent(texts: DataFrame, entries: int) -> list[str]:
+    """The pre-tokens (of 64 characters at most) that are most frequent in a few ``texts``, counted in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        for batch in batches:
+            for text in common.each(batch.column(0)):
+                if PLAIN.fullmatch(text):
+                    found.update(p for p in PATTERN.findall(text) if len(p) <= 64)
+                if len(found) > 20 * entries:
+                    found = Counter(dict(found.most_common(10 * entries)))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found.most_common(entries)], pa.string())], ["piece"])
+
+    return texts.coalesce(1).mapInArrow(run, "piece string").toArrow().column("piece").to_pylist()
+
+
+def lengths_of(spec: str, pieces: list[str]) -> dict[str, int]:
+    """Tier one: the number of tokens of each pre-token."""
+    encode = loaded(spec).model.tokenize
+    return {p: len(encode(written(p))) for p in pieces}
 
 
 class Lengths(dict):
@@ -61,7 +97,7 @@ class Lengths(dict):
         if len(self) >= self.most:
             self.clear()
             self.update(self.table)
-        self[piece] = n = len(self.encode(piece.encode().decode("latin-1").translate(BYTES)))
+        self[piece] = n = len(self.encode(written(piece)))
         return n
 
 
@@ -71,18 +107,18 @@ _worker: dict[str, tuple] = {}
 def _lookup(key: str, spec, table, cache_entries: int) -> tuple:
     """The tokenizer, its special strings and the lengths of this worker process."""
     if key not in _worker:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_str(spec)
-        special = [t["content"] for t in json.loads(spec)["added_tokens"]]
+        tok = loaded(spec)
+        special = [t["content"] for t in json.loads(spec).get("added_tokens") or []]
         _worker.clear()
-        _worker[key] = tok, re.compile("|".join(map(re.escape, special)) or "(?!)"), Lengths(table, tok, cache_entries)
+        _worker[key] = tok, re.compile("|".join(map(re.escape, special)) or "(?!)"), splits_by_pattern(spec) and Lengths(table, tok, cache_entries)
     return _worker[key]
 
 
 def counter(key: str, spec, table, cache_entries: int):
     """A function from a text to its number of tokens."""
     tok, special, lengths = _lookup(key, spec, table, cache_entries)
+    if lengths is False:
+        return lambda text: len(tok.encode(text, add_special_tokens=False).ids)
     findall, length, plain, found = PATTERN.findall, lengths.__getitem__, PLAIN.fullmatch, special.search
 
     def count(text: str) -> int:
@@ -93,18 +129,19 @@ def counter(key: str, spec, table, cache_entries: int):
     return count
 
 
-def token_counts(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 1_000_000) -> DataFrame:
+def token_counts(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 1_000_000, table_entries: int = 50_000, sample_rows: int = 2000) -> DataFrame:
     """Tokens of every whole text: ``doc_id, n_bytes, n_tokens``.
 
-    ``tokenizer_path``: a byte-level BPE file for the tokenizers library, on the
-    driver. Null and empty texts have 0 bytes and 0 tokens; repeated rows give
+    ``tokenizer_path``: a BPE file for the tokenizers library, on the driver; the
+    two tiers serve byte-level ones. Null and empty texts have 0 bytes and 0 tokens; repeated rows give
     repeated rows; an empty table gives none; other columns are not read.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    sc = df.sparkSession.sparkContext
-    b = sc.broadcast((spec, vocabulary_lengths(spec)))
-    key = f"{tokenizer_path}:{hash(spec)}:{cache_entries}"
+    docs = common.documents(df, id_col, text_col)
+    pieces = frequent(docs.select("text").limit(sample_rows), table_entries) if splits_by_pattern(spec) else []
+    b = df.sparkSession.sparkContext.broadcast((spec, lengths_of(spec, pieces)))
+    key = f"{hash(spec)}:{hash(tuple(pieces))}:{cache_entries}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(key, *b.value, cache_entries)
@@ -112,7 +149,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
             n = [count(t) for t in common.each(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    docs = common.documents(df, id_col, text_col).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    docs = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
 
 
