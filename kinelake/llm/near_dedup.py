@@ -66,6 +66,12 @@ def pack(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=1)
 
 
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """A hash of the whole minima of each band."""
+    rows = (low[: BANDS * ROWS].reshape(BANDS, ROWS) * _BAND_FACTORS).sum(1, dtype=np.uint64)
+    return common.mix64(rows + np.arange(BANDS, dtype=np.uint64))
+
+
 def equal_minima(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """In how many minima the low bits are equal, rows of ``a`` by rows of ``b``."""
     same = np.zeros((len(a), len(b)), np.uint16)
@@ -116,8 +122,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 b.append(int.from_bytes(digest[8:], "little", signed=True))
                 if len(s):
                     low = minima(s)
-                    keys = common.mix64((low[: BANDS * ROWS].reshape(BANDS, ROWS) * _BAND_FACTORS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                    bands.append(keys.view(np.int64))
+                    bands.append(band_keys(low).view(np.int64))
                     packed.append(pack(low).view(np.int64))
                 else:
                     bands.append([])

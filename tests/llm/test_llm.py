@@ -69,9 +69,9 @@ def tokenizer():
 
 def test_token_counts(edges, empty, tokenizer):
     path, tok = tokenizer
-    got = sorted(tuple(r) for r in token_counts.token_counts(edges.na.fill(-1, ["doc_id"]), path).collect())
-    want = sorted((-1 if i is None else i, len(t.encode()), len(tok.encode(t, add_special_tokens=False).ids)) for i, t in texts())
-    assert got == want
+    want = Counter((i, len(t.encode()), len(tok.encode(t, add_special_tokens=False).ids)) for i, t in texts())
+    for options in ({}, {"sample_rows": 1, "table_entries": 2, "cache_entries": 3}):
+        assert Counter(map(tuple, token_counts.token_counts(edges, path, **options).collect())) == want
     assert token_counts.token_counts(empty, path).count() == 0
 
 
@@ -86,11 +86,29 @@ def test_any_text_counts_as_the_library_does(text):
     try:
         tok = _tok
     except NameError:
-        tok = _tok = Tokenizer.from_str(spec), token_counts.vocabulary_lengths(spec)
+        tok = _tok = Tokenizer.from_str(spec), token_counts.lengths_of(spec, ["a", " the", "\n", "don"])
     count = token_counts.counter("test", spec, tok[1], 50)
     assert count(text) == len(tok[0].encode(text, add_special_tokens=False).ids)
 
 
+def test_files_that_split_in_another_way(spark, edges, tokenizer, tmp_path):
+    """Digits one by one, a blank before each text, lower case, and a limit, none of which the pattern knows."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(tokenizer[0], encoding="utf-8"))
+    level = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    for change in ({"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, level]}}, {"pre_tokenizer": level}, {"normalizer": {"type": "Lowercase"}}, {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        tok = Tokenizer.from_file(str(path))
+        tok.no_truncation()
+        more = edges.unionByName(table(spark, [(100 + k, t, "en", "a") for k, t in enumerate(["12345 hello", "x 100000", "Anno 1789"])]))
+        got = {(r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(more, str(path)).collect()}
+        assert got == {(r["doc_id"], len(tok.encode(r["text"] or "", add_special_tokens=False).ids)) for r in more.collect()}
+
+
 # 2. Exact dedup.
 
 
@@ -174,6 +192,17 @@ def test_rare_insults_count():
     assert np.mean([m.score(t) < 0.5 for t in new]) > 0.9
 
 
+def test_scores_are_sums_over_all_pairs():
+    """A score by the plain formula: bias, weights, and a product of vectors for each pair of known terms."""
+    rng = np.random.default_rng(1)
+    texts_ = [sentence(int(n), i) + " vile" * (i % 2) for i, n in enumerate(rng.integers(1, 25, 120))]
+    m = toxicity.fit([np.unique([b for w in set(t.split()) for b in toxicity.buckets(w)]) for t in texts_], np.arange(120) % 2, np.ones(120))
+    for t in [*texts_[:20], "", "unknown words"]:
+        at = sorted({int(i) for w in set(t.split()) for i in m.at[toxicity.buckets(w)] if i >= 0})
+        y = m.bias + sum(float(m.weight[i]) for i in at) + sum(float(m.vectors[i] @ m.vectors[j]) for n, i in enumerate(at) for j in at[:n])
+        assert m.score(t) == pytest.approx(1 / (1 + math.exp(-y)), abs=1e-4)
+
+
 def test_scores_follow_the_true_shares_of_classes():
     """The classes are sampled 1:1 out of 1130:144, as at 30 GB, and nothing tells them apart."""
     toxic = np.arange(600) % 2
@@ -271,6 +300,28 @@ def test_mixture_finds_both_languages():
     assert language.infer("12 --", table_) == (-1, 0.0)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 11), min_size=1, max_size=60), st.integers(1, 4), st.integers(0, 10))
+def test_shares_are_those_of_plain_expectation_maximisation(grams, langs, seed):
+    """One trigram at a time, in loops."""
+    p = np.random.default_rng(seed).dirichlet(np.ones(12), langs).T
+    g, n = np.unique(grams, return_counts=True)
+    pi = [1 / langs] * langs
+    for _ in range(language.STEPS if langs > 1 else 0):
+        new = [0.0] * langs
+        for x in grams:
+            whole = sum(pi[k] * p[x, k] for k in range(langs))
+            for k in range(langs):
+                new[k] += pi[k] * p[x, k] / whole / len(grams)
+        done = max(abs(a - b) for a, b in zip(new, pi, strict=True)) < 1e-4
+        pi = new
+        if done:
+            break
+    got, fit = language.shares(p[g], n)
+    assert got == pytest.approx(pi, abs=1e-9)
+    assert fit == pytest.approx(sum(math.log(sum(pi[k] * p[x, k] for k in range(langs))) for x in grams))
+
+
 def test_language_edges(spark, edges, empty):
     got = {(r["doc_id"], r["text"]): r for r in language.identify(edges, edges).collect()}
     assert all(got[k]["lang_pred"] == "und" for k in [(1, None), (2, ""), (3, " \t\n"), (11, "12345 ---")])
@@ -686,6 +737,38 @@ def test_packed_estimates_are_near_the_similarity():
     assert abs(similar(a, common.mix64(np.arange(9000, 9999, dtype=np.uint64)))) < 0.12
 
 
+@pytest.mark.parametrize(("percent", "least"), [(85, 0.999), (80, 0.998)])
+def test_recall_at_the_threshold(percent, least):
+    """Of 1500 pairs just at the threshold, how many share a band and pass the estimate."""
+    found, shared_bands = 0, 0
+    for i in range(1500):
+        n = 400
+        both = round(n * percent / 100)
+        pool = common.mix64(np.arange(i * 1000, i * 1000 + n, dtype=np.uint64))
+        half = (n - both) // 2
+        a, b = np.sort(pool[: both + half]), np.sort(np.r_[pool[:both], pool[both + half :]])
+        assert 100 * both >= percent * n and len(np.union1d(a, b)) == n
+        x, y = near_dedup.minima(a), near_dedup.minima(b)
+        shares = bool((near_dedup.band_keys(x) == near_dedup.band_keys(y)).any())
+        passes = near_dedup.equal_minima(near_dedup.pack(x)[None], near_dedup.pack(y)[None])[0, 0] >= near_dedup.least_equal(percent / 100)
+        shared_bands += shares
+        found += shares and passes
+    assert shared_bands / 1500 >= least and found / 1500 >= least
+
+
+def test_near_dedup_of_one_large_group(spark):
+    """Several hundred near copies of one text and of another that is just too far from it: hubs, parts and blocks."""
+    base = sentence(150, 1).split()
+    rng, rows = np.random.default_rng(4), []
+    for i in range(500):
+        words = list(base)
+        for at in rng.integers(0, 150, 1 + i % 3):
+            words[int(at)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == near_groups(rows)
+
+
 def test_registered():
     names = list(queries.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(names, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 11))
