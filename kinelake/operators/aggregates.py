@@ -11,6 +11,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelake.sources.shared import staged
+
 BINS, PADDING = 5000, 1e-10
 #: The order in which categories are shown; others follow by name.
 CATEGORY_ORDER = ("Camera Viewpoints", "Robot Initial States", "Language Instructions", "Light Conditions", "Background Textures", "Sensor Noise", "Objects Layout")
@@ -34,6 +36,19 @@ def moments(values: DataFrame) -> DataFrame:
     return values.groupBy("key", "dim").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n"))
 
 
+def merged_moments(parts: DataFrame) -> DataFrame:
+    """Moments of all data from those of its parts: rows as of ``moments``, any number for each (key, dim).
+
+    So new data adds to old statistics without the old data. Deviations are
+    merged around the common mean, not as sums of squares, which would cancel.
+    """
+    mean = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    whole = parts.groupBy("key", "dim").agg(mean.alias("__mean"))
+    off = F.col("mean") - F.col("__mean")
+    spread = F.sqrt(F.sum(F.col("n") * (F.col("std") * F.col("std") + off * off)) / F.sum("n"))
+    return parts.join(whole, ["key", "dim"]).groupBy("key", "dim").agg(F.first("__mean").alias("mean"), spread.alias("std"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+
+
 def histogram_quantiles(values: DataFrame, quantiles: dict[str, float], bins: int = BINS) -> DataFrame:
     """The left edge of the first of ``bins`` equal bins in which the count reaches the quantile's share.
 
@@ -52,7 +67,7 @@ def histogram_quantiles(values: DataFrame, quantiles: dict[str, float], bins: in
 def norm_stats(values: DataFrame) -> DataFrame:
     """A row a key: ``mean, std, q01, q99`` as vectors. Fewer than two vectors are an error."""
     both = moments(values).join(histogram_quantiles(values, {"q01": 0.01, "q99": 0.99}), ["key", "dim"])
-    few = F.raise_error(F.lit("Cannot compute statistics for less than 2 vectors.")).cast("double")
+    few = F.raise_error(F.lit("statistics need two vectors at least")).cast("double")
     both = both.withColumn("mean", F.when(F.col("n") < 2, few).otherwise(F.col("mean")))
     lists = F.array_sort(F.collect_list(F.struct("dim", "mean", "std", "q01", "q99")))
     rows = both.groupBy("key").agg(lists.alias("s"))
@@ -128,29 +143,40 @@ def last_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
-def running_total(rows: DataFrame, key: str, value: Column | None = None, out: str = "before", n: int = 64) -> DataFrame:
-    """``out``: the sum of ``value`` (None: the count) over the rows before each in the order of a numeric key.
+#: Rows in a range of ``running_total``, and the most ranges (a number each reaches the driver).
+RANGE_ROWS, MOST_RANGES = 1_000_000, 10_000
+
+
+def running_total(rows: DataFrame, key: str | list[str], value: Column | None = None, out: str = "before", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``out``: the sum of ``value`` (None: the count) over the rows before each in the order of a key.
 
-    Nothing is sorted in one task: approximate quantiles cut the key into ``n``
-    ranges; each is summed by itself and moved by the sums of those before
-    (``n`` numbers on the driver). Ranges depend on the key alone, so reruns agree.
+    Nothing is sorted in one task: Spark deals the rows out by ranges of about
+    ``range_rows``, each is summed by itself, and moved by the sums of those
+    before. Rows of one key are in the order of a hash of all columns, so a key
+    that repeats very often is parted, too, and reruns agree. The rows are written
+    to the shared folder first, so they are computed once.
     """
+    keys = [key] if isinstance(key, str) else key
     value = F.lit(1).cast("long") if value is None else value
-    cuts = sorted(set(rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)])).first()[0] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    sums = {r["p"]: r["s"] for r in rows.groupBy(part.alias("p")).agg(F.sum(value).alias("s")).collect()}
-    moved, total = {}, 0
-    for p in sorted(sums):
-        moved[p], total = total, total + sums[p]
-    offsets = F.create_map(*(x for p, o in (moved or {0: 0}).items() for x in (F.lit(p), F.lit(o).cast("long"))))
-    w = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    within = F.coalesce(F.sum(value).over(w), F.lit(0).cast("long"))
-    return rows.withColumn("__part", part).withColumn(out, offsets[F.col("__part")] + within).drop("__part")
-
-
-def dense_positions(rows: DataFrame, key: str, n: int = 64) -> DataFrame:
-    """``pos``: the place of each row in the order of a numeric key, from 0."""
-    return running_total(rows, key, out="pos", n=n)
+    rows = staged(rows, "rows")
+    n = max(1, min(MOST_RANGES, -(-rows.count() // range_rows)))
+    order = [*keys, "__tie"]
+    dealt = rows.withColumns({"__tie": F.xxhash64(*rows.columns), "__value": value}).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = staged(dealt.withColumn("__part", F.spark_partition_id()), "ranges")
+    total, before = 0, []
+    for r in dealt.groupBy("__part").agg(F.sum("__value").alias("s")).orderBy("__part").collect():  # a row a range
+        before.append((r["__part"], total))
+        total += r["s"] or 0
+    offsets = rows.sparkSession.createDataFrame(before, "__part int, __offset bigint")
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("__value").over(w), F.lit(0).cast("long"))
+    placed = dealt.withColumn("__within", within).join(F.broadcast(offsets), "__part")  # MOST_RANGES rows at most
+    return placed.select(*rows.columns, (F.col("__offset") + F.col("__within")).alias(out))
+
+
+def dense_positions(rows: DataFrame, key: str | list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``pos``: the place of each row in the order of a key, from 0."""
+    return running_total(rows, key, out="pos", range_rows=range_rows)
 
 
 def first_seen(rows: DataFrame, group: str, what: list[str], *order: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,9 +44,21 @@ def merge_parameters(loaded: DataFrame, reference: DataFrame, missing: str) -> D
 
 
 def nearest(targets: DataFrame, values: DataFrame, key: str) -> DataFrame:
-    """For each (key, target), the value nearest to it; of equals the one at the first position."""
-    best = F.min_by("value", F.struct(F.abs(F.col("value") - F.col("target")), "position"))
-    return targets.join(values, key).groupBy(key, "target").agg(best.alias("nearest"))
+    """For each (key, target), the value nearest to it; of equals the one at the first position.
+
+    Targets and values are sorted together once a key: only the last value up to
+    a target and the next one can be nearest.
+    """
+    v = values.filter("value IS NOT NULL").groupBy(key, "value").agg(F.min("position").alias("position"))
+    v = v.select(key, F.col("value").cast("double").alias("__at"), F.lit(True).alias("__is_value"), F.struct("value", "position").alias("__v"))
+    t = targets.select(key, "target").distinct().select(key, F.col("target").cast("double").alias("__at"), F.lit(False).alias("__is_value"), "target")
+    both = v.unionByName(t, allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy("__at", F.desc("__is_value"))
+    low = F.last("__v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    high = F.first("__v", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    near = both.withColumns({"__low": low, "__high": high}).filter("NOT __is_value")
+    ranked = F.array_sort(F.filter(F.array(*(F.struct(F.abs(F.col(c)["value"] - F.col("target")).alias("d"), F.col(c)["position"].alias("p"), F.col(c)["value"].alias("value")) for c in ("__low", "__high"))), lambda x: x["value"].isNotNull()))
+    return near.filter(F.size(ranked) > 0).select(key, "target", ranked[0]["value"].alias("nearest"))
 
 
 def once_each(df: DataFrame, text: str, compute) -> DataFrame:

@@ -40,7 +40,7 @@ def nest(columns: Mapping[str, Column]) -> list[Column]:
             if not isinstance(at, dict):
                 raise ValueError(f"'{p}' is both a value and a group")
         if name in at:
-            raise ValueError(f"Key '{path}' already exists in output")
+            raise ValueError(f"two values for '{path}'")
         at[name] = c
 
     def built(node: dict) -> list[Column]:
@@ -87,7 +87,7 @@ def rename(df: DataFrame, patterns: Mapping[str, str | None]) -> DataFrame:
         if target is None:
             continue
         if target in out:
-            raise ValueError(f"Key '{target}' already exists in output")
+            raise ValueError(f"two values for '{target}'")
         out[target] = c
     for a in out:
         if any(b.startswith(f"{a}/") for b in out):
@@ -99,7 +99,7 @@ def apply_to(df: DataFrame, selected: Mapping[str, object], fn: Callable[[Column
     """``fn(column, selected[path])`` on each leaf that ``selected`` names; ``strict``: all of these must be there."""
     own = leaves(df.schema)
     if strict and (missing := [k for k in selected if k not in own]):
-        raise ValueError(f"Selector keys {missing} are not in the data")
+        raise ValueError(f"nothing to apply to at {missing}")
     return df.select(*nest({p: fn(c, selected[p]) if p in selected else c for p, c in own.items()}))
 
 
@@ -165,8 +165,9 @@ def aloha_masks(images: Column) -> Column:
 
 
 def pick_per_episode(episode: Column, seed: int, k: int) -> Column:
-    """One of ``k`` for a whole episode: a function of its key and the seed."""
-    return F.pmod(F.xxhash64(episode.cast("string"), F.lit(seed)), F.lit(k)).cast("long")
+    """One of ``k`` for a whole episode: a function of its key and the seed, the same in any engine."""
+    h = F.conv(F.substring(F.md5(F.concat(episode.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")
+    return F.pmod(h, F.lit(k))
 
 
 def spread(vector: Column, names: Sequence[tuple[str, int]]) -> list[Column]:

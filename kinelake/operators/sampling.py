@@ -17,7 +17,11 @@ from kinelake.operators.aggregates import dense_positions
 
 
 def permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """``episode, new_episode``: NumPy's permutation of ``n`` episodes (two longs each, made on the driver)."""
+    """``episode, new_episode``: NumPy's permutation of ``n`` episodes.
+
+    It is made on the driver, as only NumPy's generator gives it: 16 bytes an
+    episode, so up to some hundred million of them. ``shuffle_key`` has no bound.
+    """
     p = np.random.default_rng(seed).permutation(n)
     return spark.createDataFrame([(int(old), new) for new, old in enumerate(p)], "episode bigint, new_episode bigint")
 
@@ -47,12 +51,16 @@ def nested_subsets(order: DataFrame, ratios: Mapping[str, float], place: str = "
 def quota_mixture(df: DataFrame, weights: Mapping[str, float], total: int, *, dataset: str = "dataset", position: str = "pos") -> DataFrame:
     """``round(weight * total)`` rows of each dataset, repeating it from the start when it is too short.
 
-    ``position``: each row's place in its dataset, from 0. Weights must add up to one.
+    ``position``: each row's place in its dataset, from 0. Weights must add up to
+    one, and a dataset with a quota must have rows; else the mix would be short.
     """
     if abs(sum(weights.values()) - 1.0) > 1e-9:
-        raise ValueError("Sampling weights must sum to 1")
+        raise ValueError(f"weights add up to {sum(weights.values())}, not to one")
     quota = F.create_map(*(x for k, w in weights.items() for x in (F.lit(k), F.lit(int(round(w * total))).cast("long"))))[F.col(dataset)]
-    sizes = df.groupBy(dataset).agg(F.count("*").alias("__size"))
+    sizes = df.filter(F.col(dataset).isin(*weights)).groupBy(dataset).agg(F.count("*").alias("__size"))
+    found = {r[0] for r in sizes.select(dataset).collect()}  # no more than there are weights
+    if missing := [k for k, w in weights.items() if round(w * total) > 0 and k not in found]:
+        raise ValueError(f"no rows to draw from in {missing}")
     times = F.ceil((quota - F.col(position)) / F.col("__size")).cast("long")
     rows = df.join(sizes, dataset).filter(quota > F.col(position))
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).drop("__size")
@@ -73,8 +81,8 @@ def batches(df: DataFrame, size: int, *, position: str = "pos", drop_last: bool
     return out
 
 
-def numbered(df: DataFrame, key: str, n: int = 64) -> DataFrame:
-    return dense_positions(df, key, n)
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    return dense_positions(df, key)
 
 
 def strided(df: DataFrame, world: int, position: str = "pos") -> DataFrame:

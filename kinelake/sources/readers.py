@@ -69,7 +69,7 @@ def fake_samples(spark: SparkSession, n: int, dims: dict[str, tuple[str, int]])
 
     def column(name: str, kind: str, size: int) -> Column:
         def at(i: Column) -> Column:
-            h = F.pmod(F.xxhash64("index", i, F.lit(name)), F.lit(1 << 24))
+            h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("index").cast("string"), i.cast("string"), F.lit(name))), 1, 6), 16, 10).cast("long")
             return h / float(1 << 23) - 1.0 if kind == "float" else F.pmod(h, F.lit(2048)).cast("long") if kind == "int" else F.lit(0).cast("long")
 
         return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at).alias(name)
@@ -95,5 +95,5 @@ def observation(df: DataFrame) -> DataFrame:
         if name not in df.columns:
             raise ValueError(f"{name} is required")
     if ("tokenized_prompt" in df.columns) != ("tokenized_prompt_mask" in df.columns):
-        raise ValueError("tokenized_prompt and tokenized_prompt_mask must be provided together")
+        raise ValueError("a tokenized prompt needs its mask, and a mask its prompt")
     return df.withColumnsRenamed({"image": "images", "image_mask": "image_masks"})

@@ -17,12 +17,16 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application inside ``spark.checkpoint.dir``.
 
-    A folder of this machine stands in only where the session names none, as in
-    tests. What is written there goes when the application ends.
+    A folder of this machine stands in only where the session names none and all
+    tasks run on this machine, as in tests; a cluster's session must name one.
+    What is written there goes when the application ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kinelake-")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and (spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = base or tempfile.mkdtemp(prefix="kinelake-")
         _roots[app] = root = f"{base.rstrip('/')}/kinelake-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, root)
     return _roots[app]

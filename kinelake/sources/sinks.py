@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,15 +64,17 @@ def write_norm_stats(stats: DataFrame, path: str) -> None:
 def read_norm_stats(spark, path: str) -> dict:
     try:
         rows = spark.read.text(path, wholetext=True).collect()
-    except Exception as e:
-        raise FileNotFoundError(f"Norm stats not found at {path}") from e
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from e
+        raise
     return json.loads("".join(r[0] for r in rows))["norm_stats"]
 
 
 def numbered_frames(steps: DataFrame, *, order: str, key: str) -> DataFrame:
     """Appended frames: ``episode_index`` by ``order`` of episodes, ``frame_index`` within each."""
     episodes = steps.groupBy(key).agg(F.min(order).alias("__first"))
-    numbers = episodes.withColumn("episode_index", (F.row_number().over(Window.orderBy("__first", key)) - 1).cast("long")).drop("__first")
+    numbers = aggregates.dense_positions(episodes, ["__first", key]).select(key, F.col("pos").alias("episode_index"))
     within = (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("long")
     return steps.withColumn("frame_index", within).join(numbers, key)
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -38,18 +39,50 @@ def replanned(steps: DataFrame, replan: int, *, chunk: str = "chunk", session: s
     return broker_actions(steps.withColumn(chunk, F.when(F.size(chunk) >= replan, F.col(chunk)).otherwise(short.cast(kind))), replan, chunk=chunk, session=session, t=t)
 
 
-def stream_broker(stream: DataFrame, horizon: int, *, session: str = "session", t: str = "t") -> DataFrame:
-    """The broker over a stream: ``session, t, position, infers``. State is one counter a session."""
-    kind = stream.schema[session].dataType.simpleString()
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (n,) = state.get if state.exists else (0,)
-        rows = pd.concat(batches).sort_values(t)
-        at = (n + pd.RangeIndex(len(rows))) % horizon
-        state.update(((n + len(rows)) % horizon,))
-        yield pd.DataFrame({session: key[0], t: rows[t].to_numpy(), "position": at.to_numpy(), "infers": at.to_numpy() == 0})
+def stream_broker(stream: DataFrame, horizon: int, *, session: str = "session", t: str = "t", ts: str | None = None, late: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """The broker over a stream: ``session, t, position, infers``.
 
-    return stream.groupBy(session).applyInPandasWithState(step, f"{session} {kind}, {t} bigint, position bigint, infers boolean", "n bigint", "append", GroupStateTimeout.NoTimeout)
+    Without ``ts`` steps must arrive in order from one micro-batch to the next;
+    state is one counter a session. With ``ts`` (event time, not null) they may be
+    ``late``: a step waits until the watermark has passed it, so positions are
+    those of the batch form; later ones are dropped by the watermark. A session
+    without steps for ``idle_ms`` is forgotten and starts anew.
+    """
+    kind = stream.schema[session].dataType.simpleString()
+    out = f"{session} {kind}, {t} bigint, position bigint, infers boolean"
+
+    def placed(key: tuple, steps: list[int], n: int) -> pd.DataFrame:
+        at = [(n + i) % horizon for i in range(len(steps))]
+        return pd.DataFrame({session: [key[0]] * len(steps), t: pd.Series(steps, dtype="int64"), "position": pd.Series(at, dtype="int64"), "infers": [x == 0 for x in at]})
+
+    if ts is None:
+
+        def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            (n,) = state.get if state.exists else (0,)
+            steps = pd.concat(batches)[t].sort_values().tolist()
+            state.update(((n + len(steps)) % horizon,))
+            yield placed(key, steps, n)
+
+        return stream.groupBy(session).applyInPandasWithState(step, out, "n bigint", "append", GroupStateTimeout.NoTimeout)
+
+    def ordered(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, times, steps = state.get if state.exists else (0, [], [])
+        held = list(zip(times, steps, strict=True))
+        if not state.hasTimedOut:
+            for b in batches:
+                held += zip(b["__ms"].tolist(), b[t].tolist(), strict=True)
+        mark = state.getCurrentWatermarkMs()
+        ready, held = sorted(x for x in held if x[0] <= mark), sorted(x for x in held if x[0] > mark)
+        if ready:
+            yield placed(key, [x for _, x in ready], n)
+        elif not held:  # nothing waits and nothing came: idle
+            state.remove()
+            return
+        state.update(((n + len(ready)) % horizon, [x for x, _ in held], [x for _, x in held]))
+        state.setTimeoutTimestamp(held[0][0] if held else mark + idle_ms)
+
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).select(session, t, ts, F.unix_millis(ts).alias("__ms"))
+    return timed.groupBy(session).applyInPandasWithState(ordered, out, "n bigint, times array<bigint>, steps array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def limited(steps: DataFrame, most: int, done: str, *, session: str = "session", t: str = "t") -> DataFrame:
@@ -75,20 +108,49 @@ def with_hooks(stream: DataFrame, on_batch: Callable[[DataFrame, int], None]):
 
 
 class StreamStats:
-    """Running mean and deviation over micro-batches: count, sum and sum of squares a dimension, merged."""
-
-    def __init__(self) -> None:
-        self.sums: dict[tuple[str, int], tuple[int, float, float]] = {}
-
-    def update(self, values: DataFrame, _epoch: int = 0) -> None:
+    """Running moments over micro-batches, merged around the common mean.
+
+    A micro-batch that Spark hands over again (``foreachBatch`` does so after a
+    failure) counts once, as its number has been seen. With a ``path``, each
+    update is a small table there, and a new driver goes on from what it finds.
+    """
+
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None) -> None:
+        self.path, self.epoch, self.parts = path, -1, {}
+        if path and spark:
+            self.restore(spark)
+
+    def restore(self, spark: SparkSession) -> None:
+        try:
+            rows = spark.read.parquet(self.path).collect()  # a row a dimension and update
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return
+        self.epoch = max((r["epoch"] for r in rows), default=-1)
+        for r in rows:
+            if r["epoch"] == self.epoch:
+                self.parts[r["key"], r["dim"]] = (r["n"], r["mean"], r["std"])
+
+    def update(self, values: DataFrame, epoch: int | None = None) -> None:
         """``values``: ``key, dim, value``. A row a dimension reaches the driver."""
+        epoch = self.epoch + 1 if epoch is None else epoch
+        if epoch <= self.epoch:
+            return
         v = F.col("value")
-        for r in values.groupBy("key", "dim").agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q")).collect():
-            n, s, q = self.sums.get((r["key"], r["dim"]), (0, 0.0, 0.0))
-            self.sums[r["key"], r["dim"]] = n + r["n"], s + r["s"], q + r["q"]
+        for r in values.groupBy("key", "dim").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")).filter("n > 0").collect():
+            n, mean, std = self.parts.get((r["key"], r["dim"]), (0, 0.0, 0.0))
+            total, off = n + r["n"], r["mean"] - mean
+            spread = n * std**2 + r["n"] * r["std"] ** 2 + off**2 * n * r["n"] / total
+            self.parts[r["key"], r["dim"]] = total, mean + off * r["n"] / total, (spread / total) ** 0.5
+        self.epoch = epoch
+        if self.path:
+            rows = [(epoch, *k, *p) for k, p in self.parts.items()]
+            state = values.sparkSession.createDataFrame(rows, "epoch bigint, key string, dim bigint, n bigint, mean double, std double")
+            state.coalesce(1).write.mode("append").parquet(self.path)
 
     def moments(self) -> dict[tuple[str, int], tuple[float, float]]:
-        return {k: (s / n, max(0.0, q / n - (s / n) ** 2) ** 0.5) for k, (n, s, q) in self.sums.items()}
+        return {k: (mean, std) for k, (_, mean, std) in self.parts.items()}
 
 
 def windowed_counts(stream: DataFrame, *, ts: str = "ts", late: str = "10 minutes", length: str = "1 hour") -> DataFrame:
