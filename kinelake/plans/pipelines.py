@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.functions import texts, vectors
@@ -16,7 +18,7 @@ from kinelake.operators.project import Group, Transform, compose
 def normalize(stats: dict[str, dict[str, Sequence[float]]], quantile: bool, *, inverse: bool = False) -> Transform:
     """Of the columns that have statistics. Inward, statistics without a column are ignored; outward they are an error."""
     if quantile and any(s.get("q01") is None or s.get("q99") is None for s in stats.values()):
-        raise ValueError("quantile stats must be provided if use_quantile_norm is True")
+        raise ValueError("normalising by quantiles needs q01 and q99 of every key")
     names = ("q01", "q99") if quantile else ("mean", "std")
     fn = {(False, False): vectors.normalize_z, (True, False): vectors.normalize_q, (False, True): vectors.unnormalize_z, (True, True): vectors.unnormalize_q}[quantile, inverse]
 
@@ -25,7 +27,7 @@ def normalize(stats: dict[str, dict[str, Sequence[float]]], quantile: bool, *, i
 
     def run(df: DataFrame) -> DataFrame:
         if inverse and (missing := [k for k in stats if k not in df.columns]):
-            raise ValueError(f"Selector keys {missing} are not in the data")
+            raise ValueError(f"statistics of {missing}, which the data lack")
         out = {}
         for key, s in stats.items():
             if key in df.columns:
@@ -129,6 +131,48 @@ def byte_tokens(text):
     return F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), one))
 
 
+def library_tokenizer(spark: SparkSession, path: str) -> tuple[Callable, Callable]:
+    """``encode`` and ``decode`` as Arrow-batched column functions, from a tokenizers or SentencePiece file on the driver.
+
+    No special tokens are added. The file's bytes are broadcast, and each worker loads them once.
+    """
+    with open(path, "rb") as f:
+        data = f.read()
+    shared = spark.sparkContext.broadcast((hashlib.sha256(data).hexdigest(), path.endswith(".model"), data))
+
+    def loaded():
+        key, is_model, data = shared.value
+        if key not in _loaded:
+            _loaded.clear()
+            if is_model:
+                from sentencepiece import SentencePieceProcessor
+
+                sp = SentencePieceProcessor(model_proto=data)
+                _loaded[key] = sp.encode, sp.decode
+            else:
+                from tokenizers import Tokenizer
+
+                tok = Tokenizer.from_str(data.decode("utf-8"))
+                tok.no_truncation()
+                tok.no_padding()
+                _loaded[key] = (lambda t: tok.encode(t, add_special_tokens=False).ids), (lambda ids: tok.decode(ids, skip_special_tokens=False))
+        return _loaded[key]
+
+    @F.pandas_udf("array<int>")
+    def encode(texts: pd.Series) -> pd.Series:
+        fn = loaded()[0]
+        return texts.map(lambda t: None if t is None else fn(t))
+
+    @F.pandas_udf("string")
+    def decode(tokens: pd.Series) -> pd.Series:
+        fn = loaded()[1]
+        return tokens.map(lambda x: None if x is None else fn([int(i) for i in x]))
+
+    return encode, decode
+
+
+_loaded: dict = {}
+
 #: Tokenizers by name: a function from a text column to an array of tokens.
 TOKENIZERS = {"bytes": byte_tokens}
 

@@ -1,5 +1,8 @@
 """Statistics and roll-ups over the test tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.functions import vectors as V
@@ -20,25 +23,42 @@ def agg1_agg3_moments(spark, d):
     return A.moments(action_values(spark, d)).withColumns({"mean": r6("mean"), "std": r6("std")})
 
 
-@query("WITH {traj}, " + LONG + """, b AS (SELECT key, dim, min(v) - 1e-10 AS low, max(v) + 1e-10 AS high, count(*) AS n FROM l GROUP BY key, dim),
-c AS (SELECT key, dim, least(4999, floor((v - low) / ((high - low) / 5000))) AS bin, count(*) AS c FROM l JOIN b USING (key, dim) GROUP BY 1, 2, 3),
-u AS (SELECT *, sum(c) OVER (PARTITION BY key, dim ORDER BY bin) AS upto FROM c)
-SELECT key, dim::BIGINT AS dim, round(any_value(low) + min(CASE WHEN upto >= 0.01 * n THEN bin END) * any_value((high - low) / 5000), 6) AS q01,
-round(any_value(low) + min(CASE WHEN upto >= 0.99 * n THEN bin END) * any_value((high - low) / 5000), 6) AS q99 FROM u JOIN b USING (key, dim) GROUP BY key, dim""")
+QUANTILES = """b AS (SELECT key, dim, min(v) - 1e-10 AS low, max(v) + 1e-10 AS high, count(*) AS n FROM l GROUP BY key, dim),
+h AS (SELECT key, dim, least(4999, floor((v - low) / ((high - low) / 5000))) AS bin, count(*) AS c FROM l JOIN b USING (key, dim) GROUP BY 1, 2, 3),
+u AS (SELECT *, sum(c) OVER (PARTITION BY key, dim ORDER BY bin) AS upto FROM h),
+q AS (SELECT key, dim, round(any_value(low) + min(CASE WHEN upto >= 0.01 * n THEN bin END) * any_value((high - low) / 5000), 6) AS q01,
+round(any_value(low) + min(CASE WHEN upto >= 0.99 * n THEN bin END) * any_value((high - low) / 5000), 6) AS q99 FROM u JOIN b USING (key, dim) GROUP BY key, dim)"""
+
+
+@query("WITH {traj}, " + LONG + ", " + QUANTILES + " SELECT key, dim::BIGINT AS dim, q01, q99 FROM q")
 def agg2_histogram_quantiles(spark, d):
     return A.histogram_quantiles(action_values(spark, d), {"q01": 0.01, "q99": 0.99}).withColumns({"q01": r6("q01"), "q99": r6("q99")})
 
 
-@query("WITH {traj}, n AS (SELECT episode, max(t) AS last FROM traj GROUP BY episode), rows AS (SELECT event_id, episode, t, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM traj)\n"
-       "SELECT count(*) AS n, round(avg(b.value), 6) AS mean, round(stddev_pop(b.value), 6) AS std FROM rows a JOIN n USING (episode), range(4) k(k), traj b\n"
-       "WHERE b.episode = a.episode AND b.t = least(a.t + k.k, n.last) AND a.pos < (SELECT count(*) FROM traj) // 64 * 64")
+@query("WITH {traj}, n AS (SELECT episode, max(t) AS last FROM traj GROUP BY episode), rows AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM traj),\n"
+       "kept AS (SELECT * FROM rows JOIN n USING (episode) WHERE pos < (SELECT count(*) FROM traj) // 64 * 64),\n"
+       "c AS (SELECT b.value AS v0, b.k::DOUBLE AS v1 FROM kept a, range(4) k(k), traj b WHERE b.episode = a.episode AND b.t = least(a.t + k.k, a.last)),\n"
+       "l AS (SELECT 'actions' AS key, 0 AS dim, v0 AS v FROM c UNION ALL SELECT 'actions', 1, v1 FROM c UNION ALL SELECT 'state', 0, k::DOUBLE FROM kept UNION ALL SELECT 'state', 1, value FROM kept UNION ALL SELECT 'state', 2, value - k FROM kept),\n" + QUANTILES + """
+SELECT key, dim::BIGINT AS dim, round(mean, 6) AS mean, round(std, 6) AS std, q01, q99 FROM (SELECT key, dim, avg(v) AS mean, stddev_pop(v) AS std FROM l GROUP BY key, dim) JOIN q USING (key, dim)""")
 def agg4_norm_stats_job(spark, d):
+    """Whole batches of samples, both keys, moments and quantiles: the look-ahead is staged, as it is read several times."""
     from kinelake.operators.sampling import batches
+    from kinelake.plans.pipelines import compute_norm_stats
+
+    k = F.col("k").cast("double")
+    chunks = windows.action_chunks(traj(spark, d).withColumns({"state": F.array(k, "value", F.col("value") - k), "action": F.array("value", k)}), 4, out="actions")
+    kept = batches(A.dense_positions(chunks.select("event_id", "state", "actions"), "event_id"), 64)
+    stats = compute_norm_stats(kept)
+    rows = stats.select("key", F.posexplode(F.arrays_zip("mean", "std", "q01", "q99")).alias("dim", "s"))
+    return rows.select("key", long("dim").alias("dim"), *(r6(f"s.{c}").alias(c) for c in ("mean", "std", "q01", "q99")))
+
 
-    chunks = windows.action_chunks(traj(spark, d), 4, action="value")
-    kept = batches(A.dense_positions(chunks, "event_id", 8), 64)
-    values = A.dimensions(kept.select(F.transform("chunk", lambda v: F.array(v)).alias("x")), {"actions": F.col("x")})
-    return A.moments(values).select("n", r6("mean").alias("mean"), r6("std").alias("std"))
+@query("WITH {traj}, " + LONG + " SELECT key, dim::BIGINT AS dim, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS low, max(v) AS high, count(*)::BIGINT AS n FROM l GROUP BY key, dim")
+def agg1_merged_moments(spark, d):
+    """Statistics of parts by type of event, merged: as when data is added."""
+    x = F.array("value", F.col("k").cast("double"))
+    parts = [A.moments(A.dimensions(traj(spark, d).filter(F.col("event_type") == t).select(x.alias("x")), {"actions": F.col("x")})) for t in ("click", "view", "error", "signup", "purchase")]
+    return A.merged_moments(reduce(DataFrame.unionByName, parts)).withColumns({"mean": r6("mean"), "std": r6("std")})
 
 
 SHARDS = """shards AS (SELECT r_name AS suite, c_mktsegment AS category, c_custkey // 100 AS shard, count(*) AS total_count, count(*) FILTER (c_acctbal > 3000) AS success_count
@@ -112,7 +132,7 @@ KEYED = "rows AS (SELECT l_partkey AS key, l_orderkey AS file, l_linenumber AS p
 def agg14_last_wins_positions(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("at"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("q"), F.col("l_suppkey").alias("supp"))
     last = A.last_wins(rows, "key", "file", "at", "price", "q", "supp").select("key", "file", "price")
-    return A.dense_positions(last, "key", 8).select("key", "file", "price", long("pos").alias("pos"))
+    return A.dense_positions(last, "key").select("key", "file", "price", long("pos").alias("pos"))
 
 
 @query("WITH " + KEYED + " SELECT key, file, price FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY file, pos, price, q, supp) AS r FROM rows) WHERE r = 1")
@@ -161,12 +181,12 @@ def agg20_prediction_quality(spark, d):
     return p.groupBy("label").agg(r6(F.avg(V.cosine(F.col("x"), F.col("y")))).alias("cos_sim"), r6(F.avg(ratio)).alias("norm_ratio"), r6(F.stddev_samp(F.log(ratio))).alias("norm_log_std"))
 
 
-@query("""WITH w AS (SELECT vec_id % 5 AS batch, vec_id // 5 % 4 AS head, vec_id // 20 % 5 AS query, i - 1 AS key, embedding[i]::DOUBLE AS weight FROM embeddings, range(1, 33) r(i)),
+@query("""WITH w AS (SELECT vec_id % 5 AS batch, vec_id // 5 % 4 AS head, vec_id // 20 % 5 AS query, i - 1 AS key, embedding[i]::DOUBLE AS weight FROM embeddings, range(1, 65) r(i)),
 q AS (SELECT batch, query, key, avg(weight) AS w FROM w GROUP BY 1, 2, 3), k AS (SELECT batch, key, avg(w) AS w FROM q GROUP BY 1, 2)
 SELECT batch, key // 16 AS camera, key % 16 // 4 AS row, key % 4 AS "column", round(w, 6) AS w FROM k""")
 def agg21_attention_grid(spark, d):
-    w = vectors(spark, d, 32).select((F.col("vec_id") % 5).alias("batch"), F.floor(F.col("vec_id") / 5 % 4).alias("head"), F.floor(F.col("vec_id") / 20 % 5).alias("query"), F.posexplode("x").alias("key", "weight"))
-    g = A.attention_grid(w, 2)
+    w = vectors(spark, d).select((F.col("vec_id") % 5).alias("batch"), F.floor(F.col("vec_id") / 5 % 4).alias("head"), F.floor(F.col("vec_id") / 20 % 5).alias("query"), F.posexplode("x").alias("key", "weight"))
+    g = A.attention_grid(w, 4)
     return g.select("batch", *(long(c).alias(c) for c in ("camera", "row", "column")), r6("w").alias("w"))
 
 

@@ -6,6 +6,7 @@ from kinelake.functions import texts, vectors as V
 from kinelake.operators import project as P
 from kinelake.plans import pipelines
 from kinelake.plans.registry import exploded, long, query, r6, table, traj, vectors
+from kinelake.sources import shared
 
 
 def nested(spark, d):
@@ -58,15 +59,15 @@ def prj7_prj8_groups(spark, d):
     return s.transform(P.compose(*g.inputs)).transform(P.compose(*g.outputs))
 
 
-@query("SELECT vec_id, i - 1 AS pos, round(CASE WHEN i = 8 THEN label::DOUBLE ELSE embedding[i]::DOUBLE END, 6) AS v FROM embeddings, range(1, 9) r(i)")
+@query("SELECT vec_id, i - 1 AS pos, round(CASE WHEN i = 65 THEN label::DOUBLE ELSE embedding[i]::DOUBLE END, 6) AS v FROM embeddings, range(1, 66) r(i)")
 def prj9_joined(spark, d):
-    v = vectors(spark, d, 7)
+    v = vectors(spark, d)
     return exploded(v.withColumn("a", P.joined(F.col("x"), F.array(F.col("label").cast("double")))), "a", "vec_id").withColumn("v", r6("v"))
 
 
 @query("SELECT a.vec_id, c AS row, i - 1 AS pos, round((c + 1) * a.embedding[i]::DOUBLE, 6) AS v FROM embeddings a, range(2) x(c), range(1, 8) r(i)")
 def prj10_first_dims(spark, d):
-    v = vectors(spark, d, 12).withColumn("actions", F.array("x", F.transform("x", lambda a: a * 2)))
+    v = vectors(spark, d).withColumn("actions", F.array("x", F.transform("x", lambda a: a * 2)))
     rows = v.select("vec_id", F.posexplode(V.first_dims(F.col("actions"), 7)).alias("row", "a"))
     return rows.select("vec_id", long("row").alias("row"), F.posexplode("a").alias("pos", "v")).select("vec_id", "row", long("pos").alias("pos"), r6("v").alias("v"))
 
@@ -88,7 +89,10 @@ def prj13_aloha_masks(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.explode(P.aloha_masks(images)).alias("camera", "mask"))
 
 
-@query()
+PICK = "('0x' || substr(md5(episode || ':' || {}), 1, 8))::BIGINT % {}"
+
+
+@query("WITH {traj} SELECT episode, t, " + PICK.format(1, 2) + " AS camera, " + PICK.format(2, 3) + " AS instruction FROM traj")
 def prj14_pick_per_episode(spark, d):
     return traj(spark, d).select("episode", "t", P.pick_per_episode(F.col("episode"), 1, 2).alias("camera"), P.pick_per_episode(F.col("episode"), 2, 3).alias("instruction"))
 
@@ -103,19 +107,19 @@ def prj16_every(spark, d):
     return exploded(vectors(spark, d).withColumn("a", V.every(F.col("x"), 3)), "a", "vec_id").withColumn("v", r6("v"))
 
 
-@query("SELECT vec_id, pos, round((b::DOUBLE) / 255 * 2 - 1, 6) AS v FROM (SELECT vec_id, i - 1 AS pos, floor((embedding[i]::DOUBLE + 1) * 100) AS b FROM embeddings, range(1, 9) r(i))")
+@query("SELECT vec_id, pos, round((b::DOUBLE) / 255 * 2 - 1, 6) AS v FROM (SELECT vec_id, i - 1 AS pos, floor((embedding[i]::DOUBLE + 1) * 100) AS b FROM embeddings, range(1, 65) r(i))")
 def prj18_observation(spark, d):
     from kinelake.sources.readers import observation
 
     img = F.create_map(F.lit("base"), F.transform("x", lambda v: texts.byte_to_unit(F.floor((v + 1) * 100))))
-    s = vectors(spark, d, 8).select("vec_id", img.alias("image"), F.create_map(F.lit("base"), F.lit(True)).alias("image_mask"), F.col("x").alias("state"))
+    s = vectors(spark, d).select("vec_id", img.alias("image"), F.create_map(F.lit("base"), F.lit(True)).alias("image_mask"), F.col("x").alias("state"))
     return exploded(observation(s).filter(F.col("image_masks")["base"]).select("vec_id", F.col("images")["base"].alias("a")), "a", "vec_id").withColumn("v", r6("v"))
 
 
-@query("SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS {n}" for i, n in enumerate(["left_0", "left_1", "left_2", "right_0", "right_1"])) + " FROM embeddings")
+@query("SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS {n}" for i, n in enumerate([f"{side}_{i}" for side in ("left", "right") for i in range(32)])) + " FROM embeddings")
 def prj17_prj19_spread(spark, d):
-    s = P.spread(F.col("x"), [("left", 3), ("right", 2)])
-    v = vectors(spark, d, 5).withColumn("rollout_id", F.lit(1)).select("vec_id", *s, "rollout_id").drop("rollout_id")
+    s = P.spread(F.col("x"), [("left", 32), ("right", 32)])
+    v = vectors(spark, d).withColumn("rollout_id", F.lit(1)).select("vec_id", *s, "rollout_id").drop("rollout_id")
     return v.withColumns({c: r6(c) for c in v.columns[1:]})
 
 
@@ -128,6 +132,7 @@ def pipe1_chunk_delta_normalize(spark, d):
     """Episodes, look-ahead, deltas, statistics by position, normalised rows."""
     samples = pipelines.training_frames(traj(spark, d).withColumn("action", F.col("value")), None, 4)
     deltas = samples.select("episode", "t", F.transform("actions", lambda a: a - F.col("value")).alias("x"))
+    deltas = shared.staged(deltas, "deltas")  # read twice: for the statistics and for the rows
     from kinelake.operators import aggregates
 
     moments = aggregates.moments(aggregates.dimensions(deltas, {"actions": F.col("x")}))
@@ -146,7 +151,7 @@ def pipe2_round_trip(spark, d):
     return exploded(got.select("vec_id", F.slice(F.col("actions")[0], 1, 7).alias("a")), "a", "vec_id").withColumn("v", F.round("v", 5))
 
 
-@query("SELECT vec_id, 'Task: pick up, State: ' || array_to_string(list_transform(embedding[1:3]::DOUBLE[], lambda v: floor((v + 1) * 128)::BIGINT), ' ') || ';' || chr(10) AS prompt_text FROM embeddings")
+@query("SELECT vec_id, 'Task: pick up, State: ' || array_to_string(list_transform(embedding::DOUBLE[], lambda v: floor((v + 1) * 128)::BIGINT), ' ') || ';' || chr(10) AS prompt_text FROM embeddings")
 def pipe3_model_inputs(spark, d):
-    s = vectors(spark, d, 3).select("vec_id", F.col("x").alias("state"), F.lit(" Pick_Up ").alias("prompt"))
+    s = vectors(spark, d).select("vec_id", F.col("x").alias("state"), F.lit(" Pick_Up ").alias("prompt"))
     return s.transform(pipelines.model_inputs("fast", 32)).select("vec_id", "prompt_text")

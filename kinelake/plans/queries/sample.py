@@ -11,10 +11,13 @@ from kinelake.plans.registry import long, query, table, traj, vectors
 KEY = "(event_id * 7919 + 42 * 104729 + event_id % 97 * 15485863) % 2147483647"
 
 
-@query()
+@query("SELECT i AS episode, i AS back, n FROM (SELECT count(DISTINCT user_id) AS n FROM events), LATERAL (SELECT unnest(range(0, n)) AS i)")
 def ord1_permutation(spark, d):
+    """Every episode has one new place, and from there the way back; the places themselves are held against NumPy's in the tests."""
     n = traj(spark, d).select("episode").distinct().count()
-    return S.permutation(spark, n, 42)
+    p = S.permutation(spark, n, 42)
+    places = spark.range(n).select(F.col("id").alias("new_episode"))
+    return places.join(p, "new_episode", "left").select("episode", F.col("episode").alias("back"), F.lit(n).cast("long").alias("n"))
 
 
 @query("WITH {traj}, " + ORDER + ", n AS (SELECT count(*) AS n FROM ep) SELECT s AS subset, episode FROM ord, n, (VALUES ('full', 1.0), ('quarter', 0.25), ('twentieth', 0.05), ('hundredth', 0.01)) v(s, r) WHERE new_episode < greatest(1, round_even(n * r::DOUBLE, 0))")
@@ -27,13 +30,13 @@ def ord3_shuffled(spark, d):
     return S.shuffled(table(spark, d, "events"), "event_id", 42).select("event_id", S.shuffle_key(F.col("event_id"), 42).alias("place"))
 
 
-@query("""WITH p AS (SELECT event_type AS dataset, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS size FROM events WHERE event_type IN ('click', 'view', 'error')),
-q AS (SELECT *, CASE dataset WHEN 'click' THEN 600 WHEN 'view' THEN 300 ELSE 100 END AS quota FROM p)
+@query("""WITH p AS (SELECT event_type AS dataset, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS size, 2 * count(*) OVER () AS total FROM events),
+q AS (SELECT *, round_even(total * CASE dataset WHEN 'click' THEN 0.4 WHEN 'view' THEN 0.3 WHEN 'error' THEN 0.15 WHEN 'signup' THEN 0.1 ELSE 0.05 END::DOUBLE, 0)::BIGINT AS quota FROM p)
 SELECT dataset, event_id, e AS epoch FROM q, LATERAL (SELECT unnest(range(0, ceil((quota - pos) / size)::BIGINT)) AS e) WHERE quota > pos""")
 def ord4_quota_mixture(spark, d):
     pos = long(F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1)
-    e = table(spark, d, "events").filter("event_type IN ('click', 'view', 'error')").select(F.col("event_type").alias("dataset"), "event_id", pos.alias("pos"))
-    return S.quota_mixture(e, {"click": 0.6, "view": 0.3, "error": 0.1}, 1000).select("dataset", "event_id", "epoch")
+    e = table(spark, d, "events").select(F.col("event_type").alias("dataset"), "event_id", pos.alias("pos"))
+    return S.quota_mixture(e, {"click": 0.4, "view": 0.3, "error": 0.15, "signup": 0.1, "purchase": 0.05}, 2 * e.count()).select("dataset", "event_id", "epoch")
 
 
 @query("SELECT s_suppkey, e AS epoch FROM supplier, range(3) r(e)")
@@ -43,20 +46,20 @@ def ord5_repeated(spark, d):
 
 @query("SELECT pos // 64 AS batch, count(*) AS n, min(event_id) AS first FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events) WHERE pos < (SELECT count(*) FROM events) // 64 * 64 GROUP BY 1")
 def ord6_ord7_batches(spark, d):
-    e = dense_positions(table(spark, d, "events").select("event_id"), "event_id", 8)
+    e = dense_positions(table(spark, d, "events").select("event_id"), "event_id")
     return S.batches(e, 64).groupBy("batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
 @query("SELECT rank, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 8 AS rank FROM orders) GROUP BY 1")
 def ord8_ord9_strided(spark, d):
-    o = dense_positions(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 8)
+    o = dense_positions(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
     return S.strided(o, 8).groupBy("rank").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
 
 
 @query("SELECT worker, count(*) AS n, min(s_suppkey) AS first FROM (SELECT s_suppkey, least((row_number() OVER (ORDER BY s_suppkey) - 1) // ((SELECT count(*) FROM supplier) // 7), 6) AS worker FROM supplier) GROUP BY 1")
 def ord10_contiguous(spark, d):
     s = table(spark, d, "supplier")
-    p = dense_positions(s.select("s_suppkey"), "s_suppkey", 4)
+    p = dense_positions(s.select("s_suppkey"), "s_suppkey")
     return p.withColumn("worker", S.contiguous(F.col("pos"), F.lit(s.count()), 7)).groupBy("worker").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first"))
 
 
@@ -83,10 +86,11 @@ def ord14_sample_k(spark, d):
     return S.sample_k(table(spark, d, "events"), 100, "event_id", 42).select("event_id")
 
 
-@query("SELECT vec_id, arg_min(c, {'e': abs(embedding[1]::DOUBLE - c / 64.0), 'c': c})::BIGINT AS best FROM embeddings, range(-64, 65) r(c) GROUP BY vec_id")
+@query("SELECT vec_id, arg_min(c, {'e': round(list_sum(list_transform(embedding::DOUBLE[], lambda v: abs(v - c / 64.0))), 9), 'c': c})::BIGINT AS best FROM embeddings, range(-64, 65) r(c) GROUP BY vec_id")
 def ord15_nearest_candidate(spark, d):
-    v = vectors(spark, d, 1).select("vec_id", F.col("x")[0].alias("v"), F.explode(F.sequence(F.lit(-64).cast("long"), F.lit(64).cast("long"))).alias("best"))
-    return S.nearest_candidate(v.withColumn("e", F.abs(F.col("v") - F.col("best") / 64.0)), "vec_id", "best", "e")
+    v = vectors(spark, d).select("vec_id", "x", F.explode(F.sequence(F.lit(-64).cast("long"), F.lit(64).cast("long"))).alias("best"))
+    error = F.round(F.aggregate("x", F.lit(0.0), lambda s, x: s + F.abs(x - F.col("best") / 64.0)), 9)
+    return S.nearest_candidate(v.select("vec_id", "best", error.alias("e")), "vec_id", "best", "e")
 
 
 @query("SELECT name, levenshtein(name, 'NATION_11x')::BIGINT AS distance FROM (SELECT n_name AS name FROM nation) ORDER BY 2, 1 LIMIT 1")

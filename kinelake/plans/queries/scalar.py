@@ -1,52 +1,86 @@
 """Vector, text and image functions over the test tables."""
 
+from importlib.util import find_spec
+
 from pyspark.sql import functions as F
 
 from kinelake.functions import texts as X
 from kinelake.functions import vectors as V
 from kinelake.plans.registry import exploded, long, query, r6, table, traj, vectors
 
-V4 = "SELECT vec_id, i - 1 AS pos, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 5) r(i)"
+ALL = "SELECT vec_id, i - 1 AS pos, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)"
 
 
 def out(df, c, *keys):
     return exploded(df.withColumn("__a", c), "__a", *keys).withColumn("v", r6("v"))
 
 
-def sql4(expression: str) -> str:
-    """SQL for an expression of x, pos over the first four dimensions."""
-    return f"SELECT vec_id, pos, round({expression}, 6) AS v FROM ({V4})"
+def sql_of(expression: str) -> str:
+    """SQL for an expression of x, pos over all dimensions."""
+    return f"SELECT vec_id, pos, round({expression}, 6) AS v FROM ({ALL})"
 
 
-MEAN, STD, Q01, Q99 = [0.01, 0.02, -0.01, 0.0, 0.5], [0.1, 0.2, 0.12, 0.11, 1.0], [-0.3, -0.28, -0.31, -0.25, -1.0], [0.3, 0.29, 0.31, 0.27, 1.0]
+#: Statistics of 65 dimensions, one more than the vectors have; ``SOME`` of them where the rest is to stay as it is.
+MEAN, STD = [i % 7 / 100 for i in range(65)], [0.1 + i % 5 / 50 for i in range(65)]
+Q01, Q99, SOME = [-0.3 - i % 3 / 100 for i in range(65)], [0.3 + i % 4 / 100 for i in range(65)], 50
 at = lambda xs: str(xs) + "[pos + 1]"
 
 
-@query(sql4(f"(x - {at(MEAN)}) / ({at(STD)} + 1e-6)"))
+@query(sql_of(f"(x - {at(MEAN)}) / ({at(STD)} + 1e-6)"))
 def vec1_normalize_z(spark, d):
-    return out(vectors(spark, d, 4), V.normalize_z(F.col("x"), V.doubles(MEAN), V.doubles(STD)), "vec_id")
+    return out(vectors(spark, d), V.normalize_z(F.col("x"), V.doubles(MEAN), V.doubles(STD)), "vec_id")
 
 
-@query(sql4(f"(x - {at(Q01)}) / ({at(Q99)} - {at(Q01)} + 1e-6) * 2 - 1"))
+@query(sql_of(f"(x - {at(Q01)}) / ({at(Q99)} - {at(Q01)} + 1e-6) * 2 - 1"))
 def vec2_vec5_normalize_q(spark, d):
-    return out(vectors(spark, d, 4), V.normalize_q(F.col("x"), V.doubles(Q01), V.doubles(Q99)), "vec_id")
+    return out(vectors(spark, d), V.normalize_q(F.col("x"), V.doubles(Q01), V.doubles(Q99)), "vec_id")
 
 
-@query(sql4(f"CASE WHEN pos < 3 THEN x * ({at(STD)} + 1e-6) + {at(MEAN)} ELSE x * (1 + 1e-6) END"))
+@query(sql_of(f"CASE WHEN pos < {SOME} THEN x * ({at(STD)} + 1e-6) + {at(MEAN)} ELSE x * (1 + 1e-6) END"))
 def vec3_unnormalize_z(spark, d):
-    return out(vectors(spark, d, 4), V.unnormalize_z(F.col("x"), V.doubles(MEAN[:3]), V.doubles(STD[:3])), "vec_id")
+    return out(vectors(spark, d), V.unnormalize_z(F.col("x"), V.doubles(MEAN[:SOME]), V.doubles(STD[:SOME])), "vec_id")
 
 
-@query(sql4(f"CASE WHEN pos < 3 THEN (x + 1) / 2 * ({at(Q99)} - {at(Q01)} + 1e-6) + {at(Q01)} ELSE x END"))
+@query(sql_of(f"CASE WHEN pos < {SOME} THEN (x + 1) / 2 * ({at(Q99)} - {at(Q01)} + 1e-6) + {at(Q01)} ELSE x END"))
 def vec4_unnormalize_q(spark, d):
-    return out(vectors(spark, d, 4), V.unnormalize_q(F.col("x"), V.doubles(Q01[:3]), V.doubles(Q99[:3])), "vec_id")
+    return out(vectors(spark, d), V.unnormalize_q(F.col("x"), V.doubles(Q01[:SOME]), V.doubles(Q99[:SOME])), "vec_id")
+
+
+@query(sql_of(f"(x - {at(MEAN)}) / ({at(STD)} + 1e-6)").replace(" FROM (", ", true AS outward_fails FROM ("))
+def vec6_strictness(spark, d):
+    """Inward, statistics of a column that isn't there are ignored; outward they are an error."""
+    from kinelake.plans.pipelines import normalize
+
+    v = vectors(spark, d)
+    stats = {"x": {"mean": MEAN, "std": STD}, "actions": {"mean": MEAN, "std": STD}}
+    try:
+        v.transform(normalize(stats, False, inverse=True))
+        fails = False
+    except ValueError:
+        fails = True
+    return exploded(v.transform(normalize(stats, False)), "x", "vec_id").select("vec_id", "pos", r6("v").alias("v"), F.lit(fails).alias("outward_fails"))
+
+
+@query(sql_of(f"(x - {at(Q01)}) / ({at(Q99)} - {at(Q01)} + 1e-6) * 2 - 1").replace(" FROM (", ", true AS fails_without FROM ("))
+def vec7_needs_quantiles(spark, d):
+    """Normalising by quantiles needs both of them for every key."""
+    from kinelake.plans.pipelines import normalize
+
+    fails = 0
+    for stats in ({"q01": Q01}, {"q99": Q99}, {"mean": MEAN, "std": STD}):
+        try:
+            normalize({"x": stats}, True)
+        except ValueError:
+            fails += 1
+    v = vectors(spark, d).transform(normalize({"x": {"q01": Q01, "q99": Q99}}, True))
+    return exploded(v, "x", "vec_id").select("vec_id", "pos", r6("v").alias("v"), F.lit(fails == 3).alias("fails_without"))
 
 
-CHUNKS = "SELECT a.vec_id, c.c AS row, i - 1 AS pos, b.embedding[i]::DOUBLE AS a, a.embedding[i]::DOUBLE AS s FROM embeddings a, range(2) c(c), range(1, 5) r(i), embeddings b WHERE b.vec_id = a.vec_id + c.c"
+CHUNKS = "SELECT a.vec_id, c.c AS row, i - 1 AS pos, b.embedding[i]::DOUBLE AS a, a.embedding[i]::DOUBLE AS s FROM embeddings a, range(2) c(c), range(1, 65) r(i), embeddings b WHERE b.vec_id = a.vec_id + c.c"
 
 
 def chunked(spark, d):
-    v = vectors(spark, d, 4)
+    v = vectors(spark, d)
     pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id", "left")
     return pairs.withColumn("actions", F.filter(F.array("x", "y"), lambda a: a.isNotNull()))
 
@@ -56,7 +90,7 @@ def rows_of(df, c):
     return rows.select("vec_id", long("row").alias("row"), F.posexplode("a").alias("pos", "v")).select("vec_id", "row", long("pos").alias("pos"), r6("v").alias("v"))
 
 
-@query(f"SELECT vec_id, row, pos, round(CASE WHEN pos < 2 OR pos = 3 THEN a - CASE WHEN pos IN (0, 1) THEN s ELSE 0 END ELSE a END, 6) AS v FROM ({CHUNKS})")
+@query(f"SELECT vec_id, row, pos, round(a - CASE WHEN pos IN (0, 1) THEN s ELSE 0 END, 6) AS v FROM ({CHUNKS})")
 def vec8_vec10_delta_actions(spark, d):
     return rows_of(chunked(spark, d), V.delta_actions(F.col("actions"), F.col("x"), V.make_bool_mask(2, -1)))
 
@@ -66,9 +100,9 @@ def vec9_absolute_actions(spark, d):
     return rows_of(chunked(spark, d), V.absolute_actions(F.col("actions"), F.col("x"), V.make_bool_mask(2, -1)))
 
 
-@query("SELECT vec_id, i AS pos, round(CASE WHEN i < 4 THEN embedding[i + 1]::DOUBLE ELSE 0 END, 6) AS v FROM embeddings, range(7) r(i)")
+@query("SELECT vec_id, i AS pos, round(CASE WHEN i < 64 THEN embedding[i + 1]::DOUBLE ELSE 0 END, 6) AS v FROM embeddings, range(70) r(i)")
 def vec11_pad(spark, d):
-    return out(vectors(spark, d, 4), V.pad(F.col("x"), 7), "vec_id")
+    return out(vectors(spark, d), V.pad(F.col("x"), 70), "vec_id")
 
 
 @query("SELECT vec_id, i - 1 AS pos, round([1, -1, -1, 1, 1, 1, 1, 1, -1, -1, 1, 1, 1, 1][i] * embedding[i]::DOUBLE, 6) AS v FROM embeddings, range(1, 15) r(i)")
@@ -90,17 +124,17 @@ def vec15_axis_angle(spark, d):
     return out(vectors(spark, d, 4), V.quat_to_axis_angle(F.transform("x", lambda v: v * 8.0)), "vec_id")
 
 
-@query(sql4("CASE WHEN pos = 3 THEN CASE WHEN x * 10 > 0.5 THEN 1 ELSE 0 END ELSE greatest(-1, least(1, x * 10)) END"))
+@query(sql_of("CASE WHEN pos = 63 THEN CASE WHEN x * 10 > 0.5 THEN 1 ELSE 0 END ELSE greatest(-1, least(1, x * 10)) END"))
 def vec16_binarize(spark, d):
-    return out(vectors(spark, d, 4), V.binarize_gripper(F.transform("x", lambda v: v * 10.0)), "vec_id")
+    return out(vectors(spark, d), V.binarize_gripper(F.transform("x", lambda v: v * 10.0)), "vec_id")
 
 
-N4 = "greatest(sqrt(list_sum(list_transform(embedding[1:4]::DOUBLE[], lambda v: v * v))), 1e-6)"
+NORM = "greatest(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v))), 1e-6)"
 
 
-@query(f"SELECT vec_id, i - 1 AS pos, round(embedding[i]::DOUBLE / {N4} * 3, 6) AS v FROM embeddings, range(1, 5) r(i)")
+@query(f"SELECT vec_id, i - 1 AS pos, round(embedding[i]::DOUBLE / {NORM} * 3, 6) AS v FROM embeddings, range(1, 65) r(i)")
 def vec17_match_magnitude(spark, d):
-    return out(vectors(spark, d, 4), V.match_magnitude(F.col("x"), "constant", 3.0), "vec_id")
+    return out(vectors(spark, d), V.match_magnitude(F.col("x"), "constant", 3.0), "vec_id")
 
 
 @query("""WITH c AS (SELECT a.vec_id, a.label::BIGINT AS label, list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) AS c
@@ -189,9 +223,9 @@ def vec28_interpolate(spark, d):
     return out(table(spark, d, "supplier"), V.interpolate(F.col("s_acctbal"), F.col("s_suppkey").cast("double"), 10), "s_suppkey")
 
 
-@query(sql4("CASE WHEN pos = 1 THEN 5 WHEN pos = 3 THEN 4 ELSE x END"))
+@query(sql_of("CASE WHEN pos = 1 THEN 5 WHEN pos = 3 THEN 4 ELSE x END"))
 def vec29_put_along(spark, d):
-    return out(vectors(spark, d, 4), V.put_along(F.col("x"), F.array(F.lit(1), F.lit(3), F.lit(1)), V.doubles([2, 4, 3])), "vec_id")
+    return out(vectors(spark, d), V.put_along(F.col("x"), F.array(F.lit(1), F.lit(3), F.lit(1)), V.doubles([2, 4, 3])), "vec_id")
 
 
 WS = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -212,9 +246,9 @@ def str3_digitize(spark, d):
     return table(spark, d, "events").select("event_id", X.digitize(v).alias("bin"))
 
 
-@query("SELECT vec_id, 'Task: pick ' || label || ', State: ' || array_to_string(list_transform(embedding[1:4]::DOUBLE[], lambda v: floor((v + 1) * 128)::BIGINT), ' ') || ';' || chr(10) || 'Action: ' AS prompt FROM embeddings")
+@query("SELECT vec_id, 'Task: pick ' || label || ', State: ' || array_to_string(list_transform(embedding::DOUBLE[], lambda v: floor((v + 1) * 128)::BIGINT), ' ') || ';' || chr(10) || 'Action: ' AS prompt FROM embeddings")
 def str4_prompts(spark, d):
-    v = vectors(spark, d, 4)
+    v = vectors(spark, d)
     return v.select("vec_id", X.state_prompt(F.concat(F.lit("pick "), F.col("label").cast("string")), F.col("x"), True).alias("prompt"))
 
 
@@ -232,7 +266,7 @@ def str6_masks(spark, d):
     return a.select("episode", "pos", "v.ar", "v.loss")
 
 
-@query("SELECT p_partkey, i - 1 AS pos, ('0x' || substr(hex(encode(p_name || ' é')), 2 * i - 1, 2))::BIGINT AS v FROM part, range(1, 60) r(i) WHERE i <= strlen(p_name || ' é')")
+@query("SELECT p_partkey, i - 1 AS pos, ('0x' || substr(hex(encode(p_name || ' é')), 2 * i - 1, 2))::BIGINT AS v FROM part, LATERAL (SELECT unnest(range(1, strlen(p_name || ' é') + 1)) AS i)")
 def str7_tokens(spark, d):
     from kinelake.plans.pipelines import TOKENIZERS
 
@@ -240,6 +274,21 @@ def str7_tokens(spark, d):
     return exploded(table(spark, d, "part").withColumn("a", t), "a", "p_partkey")
 
 
+if find_spec("tokenizers") and find_spec("public_tokenizers"):
+
+    @query("SELECT doc_id, md5(coalesce(text, '')) AS digest, true AS same_count FROM documents")
+    def str7_library_tokens(spark, d):
+        """A real vocabulary, both ways: texts come back, and as many tokens as were counted."""
+        import public_tokenizers
+
+        from kinelake.plans.pipelines import library_tokenizer
+
+        encode, decode = library_tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
+        t = table(spark, d, "documents").select("doc_id", encode(F.coalesce("text", F.lit(""))).alias("tokens"))
+        back = t.select("doc_id", "tokens", decode(F.col("tokens")).alias("text"))
+        return back.select("doc_id", F.md5("text").alias("digest"), (F.size("tokens") == F.size(encode(F.col("text")))).alias("same_count"))
+
+
 @query("SELECT event_id, 257152 - 1 - 128 - event_id AS token, event_id AS back FROM events")
 def str8_action_tokens(spark, d):
     t = X.action_token(F.col("event_id"), 257152)
@@ -270,10 +319,10 @@ def str12_safe_name(spark, d):
     return table(spark, d, "documents").select("doc_id", X.safe_name(F.col("text")).alias("name"))
 
 
-@query("""WITH s AS (SELECT doc_id, replace(substr(text, 1, 300), ' ', '_') AS s FROM documents), n AS (SELECT doc_id, s, 'rollout_' || s || '_success.mp4' AS name FROM s)
+@query("""WITH s AS (SELECT doc_id, replace(text, ' ', '_') AS s FROM documents), n AS (SELECT doc_id, s, 'rollout_' || s || '_success.mp4' AS name FROM s)
 SELECT doc_id, CASE WHEN strlen(name) > 250 THEN 'rollout_' || substr(s, 1, 217) || '_' || substr(md5(s), 1, 12) || '_success.mp4' ELSE name END AS name FROM n""")
 def str13_video_name(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.video_name(F.substring("text", 1, 300), F.lit("success")).alias("name"))
+    return table(spark, d, "documents").select("doc_id", X.video_name(F.col("text"), F.lit("success")).alias("name"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '/a/b/backup/wandit_cache__x' || o_custkey WHEN 1 THEN '/a/b/backup/wan21dit_cache__x' || o_custkey WHEN 2 THEN '/a/b/cosmosdit_post_cache__x' || o_custkey ELSE '/a/b/other' || o_custkey || '__merged' END AS prefix FROM orders""")
@@ -307,7 +356,7 @@ def img1_resize_geometry(spark, d):
     return table(spark, d, "orders").select("o_orderkey", *(long(c).alias(n) for n, c in g.items()))
 
 
-@query("SELECT vec_id, pos, b::BIGINT AS byte, round(b / 255.0 * 2 - 1, 6) AS unit FROM (SELECT vec_id, pos, CAST(trunc((x + 1) / 2 * 255) AS BIGINT) AS b FROM (" + V4 + "))")
+@query("SELECT vec_id, pos, b::BIGINT AS byte, round(b / 255.0 * 2 - 1, 6) AS unit FROM (SELECT vec_id, pos, CAST(trunc((x + 1) / 2 * 255) AS BIGINT) AS b FROM (" + ALL + "))")
 def img2_img3_bytes(spark, d):
-    p = exploded(vectors(spark, d, 4), "x", "vec_id").withColumn("byte", X.float_to_byte((F.col("v") + 1) / 2))
+    p = exploded(vectors(spark, d), "x", "vec_id").withColumn("byte", X.float_to_byte((F.col("v") + 1) / 2))
     return p.select("vec_id", "pos", "byte", r6(X.byte_to_unit(F.col("byte"))).alias("unit"))

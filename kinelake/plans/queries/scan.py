@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from kinelake.operators import aggregates, windows
 from kinelake.plans.queries.aggregate import SHARDS, action_values, shards, sums
 from kinelake.plans.queries.window import KEPT, ORDER, episode_order, ranges
-from kinelake.plans.registry import long, query, table, traj
+from kinelake.plans.registry import exploded, long, query, table, traj
 from kinelake.sources import readers, shared, sinks
 
 
@@ -17,9 +17,9 @@ def src1_src2_frames(spark, d):
     return time_offset(f, 2, "value").select("episode", "t", "value", F.coalesce("ahead", F.lit(-1.0)).alias("ahead"), F.round(F.lit(2 / 15), 6).alias("seconds"))
 
 
-@query("SELECT o_orderkey AS episode_index, o_orderpriority AS task, o_custkey AS length FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey AS episode_index, o_orderpriority AS task, o_custkey AS length FROM orders")
 def src3_json_lines(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 10 = 0")
+    o = table(spark, d, "orders")
     lines = o.select(F.to_json(F.struct(F.col("o_orderkey").alias("episode_index"), F.array("o_orderpriority").alias("tasks"), F.col("o_custkey").alias("length"))).alias("value"))
     path = shared.new_path(spark, "lines")
     lines.unionByName(spark.createDataFrame([("",), ("   ",)], "value string")).write.text(path)
@@ -49,22 +49,26 @@ def src6_equal_lengths(spark, d):
     return readers.equal_lengths(e, "a", "b").select("o_custkey", long(F.size("a")).alias("n"))
 
 
-@query("WITH {traj} SELECT episode AS trajectory_id, t AS base_index FROM traj WHERE t % 8 = 0")
+@query("WITH {traj} SELECT episode AS trajectory_id, t AS base_index FROM traj")
 def src9_steps(spark, d):
-    return shared.staged(traj(spark, d).filter("t % 8 = 0").select(F.col("episode").alias("trajectory_id"), F.col("t").alias("base_index")), "steps")
+    return shared.staged(traj(spark, d).select(F.col("episode").alias("trajectory_id"), F.col("t").alias("base_index")), "steps")
 
 
-@query("SELECT event_id AS step, value FROM events WHERE event_id < 500")
+@query("SELECT event_id AS step, value FROM events")
 def src10_snk8_recorded_steps(spark, d):
     from kinelake.operators.project import flatten
 
-    e = table(spark, d, "events").filter("event_id < 500").select(F.concat(F.lit("step_"), F.col("event_id").cast("string")).alias("path"), F.struct(F.struct("value").alias("state")).alias("inputs"))
+    e = table(spark, d, "events").select(F.concat(F.lit("step_"), F.col("event_id").cast("string")).alias("path"), F.struct(F.struct("value").alias("state")).alias("inputs"))
     return readers.recorded_steps(shared.staged(flatten(e), "steps")).select("step", F.col("`inputs/state/value`").alias("value"))
 
 
-@query()
+@query("""WITH h AS (SELECT i AS index, name, j AS pos, ('0x' || substr(md5(i || ':' || j || ':' || name), 1, 6))::BIGINT AS h
+FROM range(64) a(i), (VALUES ('state', 8), ('tokens', 4), ('mask', 2)) v(name, n), range(8) b(j) WHERE j < n)
+SELECT index, name, pos, CASE name WHEN 'state' THEN h / 8388608.0::DOUBLE - 1 WHEN 'tokens' THEN h % 2048 ELSE 0 END::DOUBLE AS v FROM h""")
 def src11_fake_samples(spark, d):
-    return readers.fake_samples(spark, 64, {"state": ("float", 8), "tokens": ("int", 4), "mask": ("bool", 2)})
+    s = readers.fake_samples(spark, 64, {"state": ("float", 8), "tokens": ("int", 4), "mask": ("bool", 2)})
+    parts = [exploded(s, name, "index").select("index", F.lit(name).alias("name"), "pos", F.col("v").cast("double")) for name in ("state", "tokens", "mask")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN 1 WHEN event_type LIKE 'e%' OR event_type LIKE 'c%' THEN 2 ELSE -1 END::BIGINT AS expiry FROM events")
@@ -85,10 +89,8 @@ def snk1_norm_stats(spark, d):
 @query("WITH {traj}, " + ORDER + """, o AS (SELECT *, sum(length) OVER (ORDER BY new_episode) - length AS off FROM ord)
 SELECT new_episode AS episode_index, t AS frame_index, (off + t)::BIGINT AS index, value, new_episode // 1000 AS chunk FROM traj JOIN o USING (episode)""")
 def snk2_snk4_rewritten_frames(spark, d):
-    from pyspark.sql import Window
-
-    order = episode_order(spark, d)
-    numbers = order.select(F.col("episode").alias("old"), F.col("new_episode").alias("new"), (F.sum("length").over(Window.orderBy("new_episode")) - F.col("length")).alias("offset"))
+    order = aggregates.running_total(episode_order(spark, d), "new_episode", F.col("length"), "offset")
+    numbers = order.select(F.col("episode").alias("old"), F.col("new_episode").alias("new"), "offset")
     f = traj(spark, d).select(F.col("episode").alias("episode_index"), F.col("t").alias("frame_index"), F.lit(0).cast("long").alias("index"), "value")
     root = shared.new_path(spark, "dataset")
     sinks.write_frames(sinks.renumbered(f, numbers), root)
@@ -117,10 +119,10 @@ def snk5_numbered_frames(spark, d):
     return sinks.numbered_frames(table(spark, d, "events").select("event_id", "user_id"), order="event_id", key="user_id").select("event_id", "episode_index", "frame_index")
 
 
-@query("SELECT key, pos, v FROM (SELECT p_partkey AS key, row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_retailprice AS v FROM part WHERE p_partkey % 3 <> 1)")
+@query("SELECT p_partkey * 7919 % 1000003 AS key, row_number() OVER (ORDER BY p_partkey * 7919 % 1000003) - 1 AS pos, p_retailprice AS v FROM part")
 def snk7_positions(spark, d):
-    p = table(spark, d, "part").filter("p_partkey % 3 <> 1").select(F.col("p_partkey").alias("key"), F.col("p_retailprice").alias("v"))
-    return shared.staged(aggregates.dense_positions(p, "key", 8), "cache").select("key", long("pos").alias("pos"), "v")
+    p = table(spark, d, "part").select((F.col("p_partkey") * 7919 % 1000003).alias("key"), F.col("p_retailprice").alias("v"))
+    return shared.staged(aggregates.dense_positions(p, "key"), "cache").select("key", long("pos").alias("pos"), "v")
 
 
 @query("SELECT (max(o_orderkey) + 1)::BIGINT AS next FROM orders")

@@ -72,8 +72,8 @@ def stm5_stm7_stream_stats(spark, d):
     stats = S.StreamStats()
     q = S.with_hooks(_stream(spark, values, "values"), stats.update).option("checkpointLocation", shared.new_path(spark, "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    mean, std = stats.moments()["value", 0]
-    return spark.createDataFrame([("value", stats.sums["value", 0][0], round(mean, 6), round(std, 6))], "key string, n bigint, mean double, std double")
+    n, mean, std = stats.parts["value", 0]
+    return spark.createDataFrame([("value", n, round(mean, 6), round(std, 6))], "key string, n bigint, mean double, std double")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")

@@ -61,12 +61,11 @@ ord AS (SELECT episode, length, row_number() OVER (ORDER BY (episode * 7919 + 42
 
 
 def episode_order(spark, d):
-    from pyspark.sql import Window
-
+    from kinelake.operators.aggregates import dense_positions
     from kinelake.operators.sampling import shuffle_key
 
-    ep = traj(spark, d).groupBy("episode").agg(F.count("*").alias("length"))
-    return ep.withColumn("new_episode", long(F.row_number().over(Window.orderBy(shuffle_key(F.col("episode"), 42), "episode")) - 1))
+    ep = traj(spark, d).groupBy("episode").agg(F.count("*").alias("length")).withColumn("at", shuffle_key(F.col("episode"), 42))
+    return dense_positions(ep, ["at", "episode"]).select("episode", "length", F.col("pos").alias("new_episode"))
 
 
 @query("WITH {traj}, " + ORDER + """ SELECT episode, t, new_episode, t AS frame_index,
@@ -122,16 +121,16 @@ def win12_offsets(spark, d):
     return exploded(windows.at_offsets(traj(spark, d), [-8, -4, 0, 4], value="value"), "values", "episode", "t")
 
 
-@query("SELECT vec_id, pos, round(exp(-0.1 * pos) / 8.396425892405, 6) AS v FROM embeddings, (SELECT unnest(range(16)) AS pos) x".replace("8.396425892405", "(SELECT sum(exp(-0.1 * i)) FROM range(16) r(i))"))
+@query("SELECT vec_id, pos, round(exp(-0.1 * pos) / 8.396425892405, 6) AS v FROM embeddings, (SELECT unnest(range(64)) AS pos) x".replace("8.396425892405", "(SELECT sum(exp(-0.1 * i)) FROM range(64) r(i))"))
 def win13_decay_weights(spark, d):
-    return exploded(vectors(spark, d, 16).withColumn("w", windows.decay_weights(F.col("x"), 0.1)), "w", "vec_id").withColumn("v", r6("v"))
+    return exploded(vectors(spark, d).withColumn("w", windows.decay_weights(F.col("x"), 0.1)), "w", "vec_id").withColumn("v", r6("v"))
 
 
-TOKENS = "tok AS (SELECT episode AS seq, t AS pos, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS ar, k % 5 <> 0 AS valid FROM traj WHERE t < 12)"
+TOKENS = "tok AS (SELECT episode AS seq, t AS pos, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS ar, k % 5 <> 0 AS valid FROM traj)"
 
 
 def tokens(spark, d):
-    return traj(spark, d).filter("t < 12").select(F.col("episode").alias("seq"), F.col("t").alias("pos"), F.expr("CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END").alias("ar"), F.expr("k % 5 <> 0").alias("valid"))
+    return traj(spark, d).select(F.col("episode").alias("seq"), F.col("t").alias("pos"), F.expr("CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END").alias("ar"), F.expr("k % 5 <> 0").alias("valid"))
 
 
 @query("WITH {traj}, " + TOKENS + ", c AS (SELECT *, sum(ar) OVER (PARTITION BY seq ORDER BY pos) AS b FROM tok) SELECT x.seq, x.pos AS i, y.pos AS j, y.b <= x.b AND x.valid AND y.valid AS attends FROM c x JOIN c y ON x.seq = y.seq")
