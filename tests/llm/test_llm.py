@@ -488,6 +488,29 @@ def test_small_and_no_pages(spark):
 # 7. Substring dedup.
 
 
+def are_copies(rows, got):
+    """Each factor's words are those of an earlier place, and what factors don't cover is kept."""
+    text = defaultdict(list)
+    for i, t in rows:
+        text[i].append((t or "").encode().split())
+    for r in got:
+        for w in text[r["doc_id"]]:
+            if len(w) == r["n_words"] and b" ".join(x for k, x in enumerate(w) if not any(f["start"] <= k < f["start"] + f["words"] for f in r["factors"])) == r["kept_text"].encode():
+                break
+        else:
+            raise AssertionError(r)
+        end = 0
+        for f in r["factors"]:
+            assert f["start"] >= end and f["words"] > 0
+            end = f["start"] + f["words"]
+            own = w[f["start"] : end]
+            sources = [x for x in text[f["ref_id"]] if x[f["ref_start"] : f["ref_start"] + f["words"]] == own]
+            if f["ref_id"] == r["doc_id"]:
+                assert w in sources and f["ref_start"] < f["start"]
+            else:
+                assert sources and (f["ref_id"] is None or (r["doc_id"] is not None and f["ref_id"] < r["doc_id"]))
+
+
 def removed(rows, length):
     """Rows of (id or null, text) in order of ids, null first; those of one id aren't earlier than each other."""
     seen, out = {}, []
@@ -516,7 +539,8 @@ def test_substring_dedup(spark, chunk, monkeypatch):
     rows += [(60, "a " * 70), (61, "a b " * 40), (62, rows[20][1]), (63, rows[20][1].replace("amber", "AMBER")), (64, " ".join(passage.split()[5:30])), (65, ""), (66, None)]
     rows = [(i * 7 % 67, t) for i, t in rows]
     got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
-    assert Counter(map(tuple, got)) == removed([(i, t or "") for i, t in rows], 20)
+    assert Counter(tuple(r)[:4] for r in got) == removed([(i, t or "") for i, t in rows], 20)
+    are_copies(rows, got)
 
 
 @pytest.mark.parametrize("chunk", [2_000_000, 7])
@@ -525,14 +549,29 @@ def test_substring_dedup_tells_rows_of_one_id_apart(spark, chunk, monkeypatch):
     thirty = sentence(30, 1)
     rows = [(None, f"{thirty} {thirty}"), (None, sentence(80, 2)), (1, f"{thirty} {thirty} end"), (1, sentence(80, 3)), (1, sentence(80, 3)), (2, sentence(80, 3)), (2, f"{sentence(40, 4)} {sentence(80, 3)}"), (2, "a " * 50), (None, "b " * 50), (3, "a b " * 30)]
     got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
-    assert Counter(map(tuple, got)) == removed(rows, 20)
+    assert Counter(tuple(r)[:4] for r in got) == removed(rows, 20)
+    are_copies(rows, got)
     by = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in got)
     assert by[None, 80, 0] == 1 and by[1, 80, 0] == 2
 
 
 def test_substring_dedup_edges(edges, empty):
     got = substring_dedup.substring_dedup(edges).collect()
-    assert Counter(map(tuple, got)) == removed(texts(), 20)
+    assert Counter(tuple(r)[:4] for r in got) == removed(texts(), 20)
+    are_copies(texts(), got)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6), st.integers(0, 3), st.integers(0, 40)), max_size=12))
+def test_factors_are_the_greedy_parse(matches):
+    """Of the matches that cover the next word, the one that ends last; together they cover what matches do."""
+    length = 4
+    got = substring_dedup.factors(*(np.array([m[k] for m in matches], np.int64) for k in (0, 1, 2)), np.zeros(len(matches), np.int64), np.array([m[3] for m in matches], np.int64), length)
+    covered = {x for pos, n, *_ in matches for x in range(pos, pos + n + length - 1)}
+    assert {x for start, n, *_ in got for x in range(start, start + n)} == covered and sum(n for _, n, *_ in got) == len(covered)
+    for start, n, of, at in got:
+        assert max(p + k + length - 1 for p, k, *_ in matches if p <= start < p + k + length - 1) <= start + n
+        assert any(of == r and p - q == start - at for p, _, r, q in matches)
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
