@@ -91,12 +91,14 @@ def merged(doc, row, pos, n, ref_doc, ref_row, ref_pos) -> tuple[np.ndarray, ...
         return tuple(columns)
     order = np.lexsort([pos, pos - ref_pos, ref_row, ref_doc, row, doc])
     doc, row, pos, n, ref_doc, ref_row, ref_pos = (c[order] for c in columns)
-    new = pos[1:] > pos[:-1] + n[:-1]
+    other = np.zeros(len(doc), bool)  # another document, reference or distance between them
     for c in (doc, row, ref_doc, ref_row, pos - ref_pos):
-        new |= c[1:] != c[:-1]
-    at = np.flatnonzero(np.r_[True, new])
+        other[1:] |= c[1:] != c[:-1]
+    line = other.cumsum() << 40
+    end = np.maximum.accumulate(line + pos + n) - line  # the furthest end on this line so far
+    at = np.flatnonzero(np.r_[True, other[1:] | (pos[1:] > end[:-1])])
     last = np.r_[at[1:], len(doc)] - 1
-    return doc[at], row[at], pos[at], pos[last] + n[last] - pos[at], ref_doc[at], ref_row[at], ref_pos[at]
+    return doc[at], row[at], pos[at], end[last] - pos[at], ref_doc[at], ref_row[at], ref_pos[at]
 
 
 def factors(pos, n, ref_doc, ref_row, ref_pos, length: int) -> list[tuple[int, int, int, int]]:
