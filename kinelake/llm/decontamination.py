@@ -89,9 +89,10 @@ class Index:
 
     def __init__(self, items: list[tuple]):
         self.number: dict[str, int] = {}
-        self.items = {}
+        self.ids = [item for item, _ in items]
+        self.items = {}  # by place in the block, as ids may repeat or lack
         self.seeds: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
+        for item, (_, text) in enumerate(items):
             words = [self.number.setdefault(w, len(self.number) + 1) for w in _WORDS((text or "").lower())]
             if words:
                 self.items[item] = own = np.array(words, np.uint64)
@@ -127,7 +128,7 @@ class Index:
             keep = inside | np.r_[False, inside[:-1]]
             t = tiles(np.where(inside, doc0, np.uint64(0))[keep], own, min(SEED, len(own)))
             if (share := sum(k for _, _, k in t) / len(own)) >= least:
-                found.append((item, share, len(t)))
+                found.append((self.ids[item], share, len(t)))
         return found
 
 
@@ -135,13 +136,14 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """A row for each document and item of which it covers ``least`` or more: ``doc_id, item_id, coverage, tiles``.
 
     Null and empty texts, and items without words, match nothing; an item of
-    fewer words than a seed must occur whole. Repeated rows give repeated rows;
+    fewer words than a seed must occur whole. Repeated documents give repeated
+    rows; repeated items count once, and texts that share an item's id by themselves;
     an empty table on either side gives none, and a document that covers no item
     so far has no row; other columns are not read.
     """
     spark = df.sparkSession
     docs = common.documents(df, id_col, text_col)
-    items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[item_text_col].alias("text"))
+    items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[item_text_col].alias("text")).distinct()
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, coverage double, tiles int"
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0

@@ -35,6 +35,9 @@ def fill_targets(sources: DataFrame, weights: list[float], share: float, most: f
     size and the excess is dealt out again by weight; the end of that is one
     level L with target = min(most * size, L * weight). Sources are taken by
     most * size / weight; L is the first at which those before are full.
+
+    One task sorts the sources, a row of some 40 bytes each: as many as there
+    are names, which doesn't grow with the documents of a source.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     n = F.lit(len(weights))

@@ -636,6 +636,15 @@ def test_runs_of_one_word_are_tiled_quickly():
     assert time.time() - start < 5
 
 
+def test_contaminated_rows_that_repeat_or_lack_an_id(spark):
+    item = sentence(30, 7)
+    long = f"{sentence(9000, 8)} {item} {sentence(9000, 9)}"
+    rows = [(None, item), (None, "clean words"), (1, item), (1, item), (1, sentence(30, 11)), (2, long), (3, item.upper()), (5, f"{sentence(28, 13)} {sentence(25, 12)}")]
+    bench = spark.createDataFrame([(1, item), (1, item), (None, sentence(25, 12)), (4, None), (1, sentence(28, 13))], "item_id bigint, text string")
+    got = decontamination.contaminated(table(spark, [(*r, "en", "s") for r in rows]), bench).collect()
+    assert Counter((r["doc_id"], r["item_id"], r["coverage"]) for r in got) == Counter([(None, 1, 1.0), (1, 1, 1.0), (1, 1, 1.0), (2, 1, 1.0), (3, 1, 1.0), (5, 1, 1.0), (5, None, 1.0)])
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     rows = [(i, sentence(30, i), "en", "s") for i in range(20)]
     bench = spark.createDataFrame([(i, sentence(30, i)) for i in range(0, 20, 2)], "item_id bigint, text string")
@@ -662,6 +671,8 @@ def test_html(page, text):
 
 def test_html_pages(spark):
     rows = [(i, "u", h, "x", "y") for i, (h, _) in enumerate(HTML)]
+    twice = spark.createDataFrame([(7, "u", "<p>one text</p>"), (7, "u", "<p>one text</p>"), (7, "v", "<p>other text</p>"), (None, None, "<p>no id</p>")], "page_id bigint, url string, html string")
+    assert Counter(map(tuple, html_extraction.extract_text(twice).collect())) == Counter([(7, "u", "one text")] * 2 + [(7, "v", "other text"), (None, None, "no id")])
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars string")
     assert {r["page_id"]: r["text"] for r in html_extraction.extract_text(df).collect()} == {i: t for i, (_, t) in enumerate(HTML)}
     assert html_extraction.extract_text(df.limit(0)).count() == 0
