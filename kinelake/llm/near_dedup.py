@@ -35,7 +35,7 @@ from kinelake.llm.components import components
 
 MINIMA, BITS, BANDS, ROWS, SIGMAS = 128, 4, 24, 5, 4.5
 #: Bands of the stars; signatures in a block; texts in a block, and their shingles.
-STAR_BANDS, BLOCK_CLASSES, BLOCK_TEXTS, BLOCK_SHINGLES = 8, 4096, 256, 1_000_000
+STAR_BANDS, BLOCK_CLASSES, BLOCK_TEXTS, BLOCK_SHINGLES = 8, 1024, 256, 1_000_000
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
