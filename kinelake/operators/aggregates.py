@@ -152,7 +152,7 @@ def running_total(rows: DataFrame, key: str | list[str], value: Column | None =
 
     Nothing is sorted in one task: Spark deals the rows out by ranges of about
     ``range_rows``, each is summed by itself, and moved by the sums of those
-    before. Rows of one key are in the order of a hash of all columns, so a key
+    before. Rows of one key are in the order of a hash of their columns, so a key
     that repeats very often is parted, too, and reruns agree. The rows are written
     to the shared folder first, so they are computed once.
     """
@@ -161,7 +161,8 @@ def running_total(rows: DataFrame, key: str | list[str], value: Column | None =
     rows = staged(rows, "rows")
     n = max(1, min(MOST_RANGES, -(-rows.count() // range_rows)))
     order = [*keys, "__tie"]
-    dealt = rows.withColumns({"__tie": F.xxhash64(*rows.columns), "__value": value}).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    plain = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    dealt = rows.withColumns({"__tie": F.xxhash64(*plain), "__value": value}).repartitionByRange(n, *order).sortWithinPartitions(*order)
     dealt = staged(dealt.withColumn("__part", F.spark_partition_id()), "ranges")
     total, before = 0, []
     for r in dealt.groupBy("__part").agg(F.sum("__value").alias("s")).orderBy("__part").collect():  # a row a range
