@@ -3,7 +3,8 @@
 A text's tokens are those of its pre-tokens, so its count is a sum of lengths.
 Tier one is a compact hash table that is broadcast once: the lengths of the
 ``table_entries`` most frequent pre-tokens in a sample of ``sample_rows``
-documents, the first that Spark finds. The sample decides what is looked up
+documents, the first that Spark finds; its texts (64 KB each at most) reach the
+driver. The sample decides what is looked up
 quickly, never what is counted. Tier two is a cache in each Python worker: a
 pre-token that the table lacks is encoded once by the library and kept; the
 cache is emptied when it holds ``cache_entries``. No pre-token is ever shuffled,
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from kinelake.llm import common
 
+SAMPLE_BYTES = 1 << 16
 #: The characters of everyday texts, by kind; a text with any other goes to the library whole.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ȳΑ-ΡΣ-ϵϷ-ϿЀ-ҁぁ-ゖァ-ヺ一-龥가-힣"
 NUMBERS = "0-9²³¹¼-¾"
@@ -64,20 +66,18 @@ def written(piece: str) -> str:
     return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTES)
 
 
-def frequent(texts: DataFrame, entries: int) -> list[str]:
-    """The pre-tokens (of 64 characters at most) that are most frequent in a few ``texts``, counted in one task."""
+def frequent(texts: list[str], entries: int) -> list[str]:
+    """The pre-tokens (of 64 characters at most) that are most frequent in a few ``texts``."""
+    found: Counter[str] = Counter()
+    for text in texts:
+        if PLAIN.fullmatch(text):
+            found.update(p for p in PATTERN.findall(text) if len(p) <= 64)
+    return [p for p, _ in found.most_common(entries)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
-        for batch in batches:
-            for text in common.each(batch.column(0)):
-                if PLAIN.fullmatch(text):
-                    found.update(p for p in PATTERN.findall(text) if len(p) <= 64)
-                if len(found) > 20 * entries:
-                    found = Counter(dict(found.most_common(10 * entries)))
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found.most_common(entries)], pa.string())], ["piece"])
 
-    return texts.coalesce(1).mapInArrow(run, "piece string").toArrow().column("piece").to_pylist()
+def sample(docs: DataFrame, rows: int) -> list[str]:
+    """The first ``rows`` texts of ``SAMPLE_BYTES`` at most that Spark finds; it reads no more partitions than it needs."""
+    return [r["text"] for r in docs.filter(F.octet_length("text") <= SAMPLE_BYTES).select("text").take(rows)]
 
 
 def lengths_of(spec: str, pieces: list[str]) -> dict[str, int]:
@@ -129,7 +129,7 @@ def counter(key: str, spec, table, cache_entries: int):
     return count
 
 
-def token_counts(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 1_000_000, table_entries: int = 50_000, sample_rows: int = 2000) -> DataFrame:
+def token_counts(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", cache_entries: int = 1_000_000, table_entries: int = 50_000, sample_rows: int = 1000) -> DataFrame:
     """Tokens of every whole text: ``doc_id, n_bytes, n_tokens``.
 
     ``tokenizer_path``: a BPE file for the tokenizers library, on the driver; the
@@ -139,7 +139,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     docs = common.documents(df, id_col, text_col)
-    pieces = frequent(docs.select("text").limit(sample_rows), table_entries) if splits_by_pattern(spec) else []
+    pieces = frequent(sample(docs, sample_rows), table_entries) if splits_by_pattern(spec) else []
     b = df.sparkSession.sparkContext.broadcast((spec, lengths_of(spec, pieces)))
     key = f"{hash(spec)}:{hash(tuple(pieces))}:{cache_entries}"
 
