@@ -49,13 +49,15 @@ def merged_moments(parts: DataFrame) -> DataFrame:
     return parts.join(whole, ["key", "dim"]).groupBy("key", "dim").agg(F.first("__mean").alias("mean"), spread.alias("std"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
 
 
-def histogram_quantiles(values: DataFrame, quantiles: dict[str, float], bins: int = BINS) -> DataFrame:
+def histogram_quantiles(values: DataFrame, quantiles: dict[str, float], bins: int = BINS, known: DataFrame | None = None) -> DataFrame:
     """The left edge of the first of ``bins`` equal bins in which the count reaches the quantile's share.
 
-    Two passes: the range, then counts by bin. The range (a row a dimension)
-    joins back by key; Spark broadcasts it when its size allows.
+    Two passes: the range (or ``known`` moments, which have it), then counts by
+    bin. The range (a row a dimension) joins back by key; Spark broadcasts it when
+    its size allows.
     """
-    bounds = values.groupBy("key", "dim").agg((F.min("value") - PADDING).alias("low"), (F.max("value") + PADDING).alias("high"), F.count("value").alias("n"))
+    known = moments(values) if known is None else known
+    bounds = known.select("key", "dim", (F.col("low") - PADDING).alias("low"), (F.col("high") + PADDING).alias("high"), "n")
     width = (F.col("high") - F.col("low")) / bins
     at = F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("low")) / width)).cast("long")
     counts = values.join(bounds, ["key", "dim"]).groupBy("key", "dim", "low", "high", "n", at.alias("bin")).agg(F.count("*").alias("c"))
@@ -66,7 +68,8 @@ def histogram_quantiles(values: DataFrame, quantiles: dict[str, float], bins: in
 
 def norm_stats(values: DataFrame) -> DataFrame:
     """A row a key: ``mean, std, q01, q99`` as vectors. Fewer than two vectors are an error."""
-    both = moments(values).join(histogram_quantiles(values, {"q01": 0.01, "q99": 0.99}), ["key", "dim"])
+    known = staged(moments(values), "moments")  # a row a dimension; the values are gone through twice in all
+    both = known.join(histogram_quantiles(values, {"q01": 0.01, "q99": 0.99}, known=known), ["key", "dim"])
     few = F.raise_error(F.lit("statistics need two vectors at least")).cast("double")
     both = both.withColumn("mean", F.when(F.col("n") < 2, few).otherwise(F.col("mean")))
     lists = F.array_sort(F.collect_list(F.struct("dim", "mean", "std", "q01", "q99")))

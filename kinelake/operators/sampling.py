@@ -81,6 +81,18 @@ def batches(df: DataFrame, size: int, *, position: str = "pos", drop_last: bool
     return out
 
 
+def whole_batches(df: DataFrame, size: int, key: str) -> DataFrame:
+    """The rows that full batches of ``size`` take in the order of a distinct key; no row is numbered.
+
+    Only the last batch can be short: its rows, fewer than ``size``, are found from the end.
+    """
+    n = df.count()
+    if n < size:
+        raise ValueError(f"{n} rows are fewer than a batch of {size}")
+    rest = df.select(key).orderBy(F.desc(key)).limit(n % size).collect() if n % size else []
+    return df.filter(F.col(key) < F.lit(rest[-1][0])) if rest else df
+
+
 def numbered(df: DataFrame, key: str) -> DataFrame:
     return dense_positions(df, key)
 

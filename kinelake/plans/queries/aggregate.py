@@ -42,13 +42,13 @@ def agg2_histogram_quantiles(spark, d):
 SELECT key, dim::BIGINT AS dim, round(mean, 6) AS mean, round(std, 6) AS std, q01, q99 FROM (SELECT key, dim, avg(v) AS mean, stddev_pop(v) AS std FROM l GROUP BY key, dim) JOIN q USING (key, dim)""")
 def agg4_norm_stats_job(spark, d):
     """Whole batches of samples, both keys, moments and quantiles: the look-ahead is staged, as it is read several times."""
-    from kinelake.operators.sampling import batches
+    from kinelake.operators.sampling import whole_batches
     from kinelake.plans.pipelines import compute_norm_stats
+    from kinelake.sources.shared import staged
 
     k = F.col("k").cast("double")
     chunks = windows.action_chunks(traj(spark, d).withColumns({"state": F.array(k, "value", F.col("value") - k), "action": F.array("value", k)}), 4, out="actions")
-    kept = batches(A.dense_positions(chunks.select("event_id", "state", "actions"), "event_id"), 64)
-    stats = compute_norm_stats(kept)
+    stats = compute_norm_stats(whole_batches(staged(chunks.select("event_id", "state", "actions"), "samples"), 64, "event_id"))
     rows = stats.select("key", F.posexplode(F.arrays_zip("mean", "std", "q01", "q99")).alias("dim", "s"))
     return rows.select("key", long("dim").alias("dim"), *(r6(f"s.{c}").alias(c) for c in ("mean", "std", "q01", "q99")))
 

@@ -281,6 +281,15 @@ def test_batches_drop_the_tail(spark):
         sampling.batches(p, 11)
 
 
+def test_whole_batches(spark):
+    p = spark.range(3, 113).select((F.col("id") * 37 % 1009).alias("key")).repartition(3)
+    want = {r["key"] for r in sampling.batches(aggregates.dense_positions(p, "key"), 32).collect()}
+    assert {r["key"] for r in sampling.whole_batches(p, 32, "key").collect()} == want and len(want) == 96
+    assert sampling.whole_batches(p, 10, "key").count() == 110
+    with pytest.raises(ValueError):
+        sampling.whole_batches(p, 111, "key")
+
+
 def test_logging_windows(spark):
     steps = spark.range(201).select(F.col("id").alias("step"), F.lit(1.0).alias("loss"))
     assert [r["steps"] for r in aggregates.logged_means(steps, 100, ["loss"], []).orderBy("window").collect()] == [1, 100, 100]
