@@ -172,14 +172,21 @@ def test_library_tokens(spark):
     assert [(r["x"], r["back"]) for r in got] == [(None if t is None else tok.encode(t, add_special_tokens=False).ids, t) for t in texts_]
 
 
-def test_running_stats(spark):
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(np.arange(12).reshape(4, 3))]
-    values = aggregates.dimensions(spark.createDataFrame(rows, "i int, x array<double>"), {"x": F.col("x")})
-    m = aggregates.moments(values).orderBy("dim").collect()
-    assert [r["mean"] for r in m] == [4.5, 5.5, 6.5]
-    assert all(abs(r["std"] - 3.3541) < 1e-4 for r in m)
+def test_moments_of_a_ragged_table(spark):
+    """Against NumPy, with matrices beside vectors and a null that doesn't count."""
+    rng = np.random.default_rng(11)
+    xs, ys = rng.normal(3, 2, (37, 5)), rng.normal(-1, 0.1, (37, 2, 3))
+    df = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in zip(xs, ys, strict=True)] + [(None, None)], "x array<double>, y array<array<double>>")
+    values = aggregates.dimensions(df, {"vector": F.col("x"), "matrix": F.col("y")})
+    got = {(r["key"], r["dim"]): r for r in aggregates.moments(values).collect()}
+    for key, want in (("vector", xs), ("matrix", ys.reshape(-1, 3))):
+        for dim in range(want.shape[1]):
+            r, column = got.pop((key, dim)), want[:, dim]
+            assert (r["mean"], r["std"]) == (pytest.approx(column.mean()), pytest.approx(column.std()))
+            assert (r["low"], r["high"], r["n"]) == (column.min(), column.max(), len(column))
+    assert not got
     with pytest.raises(Exception, match="two vectors at least"):
-        aggregates.norm_stats(values.filter("value < 3")).collect()
+        aggregates.norm_stats(aggregates.dimensions(df.limit(1), {"vector": F.col("x")})).collect()
 
 
 def test_histogram_quantile_is_the_left_edge(spark):
@@ -302,11 +309,15 @@ def test_broker(spark):
     assert [r["t"] for r in got if r["infers"]] == [0, 3, 6]
 
 
-@pytest.mark.parametrize(("h", "w", "to", "expected"), [(10, 10, (20, 20), (20, 20)), (30, 30, (15, 15), (15, 15)), (50, 50, (50, 50), (50, 50)), (256, 320, (60, 80), (60, 75))])
-def test_image_geometry(spark, h, w, to, expected):
+@pytest.mark.parametrize(("h", "w", "to"), [(480, 640, (224, 224)), (7, 91, (32, 16)), (1000, 3, (48, 64)), (121, 121, (11, 11)), (224, 224, (224, 224))])
+def test_image_geometry(spark, h, w, to):
+    """The picture keeps its shape as far as whole pixels go, touches two edges, and lies in the middle."""
     g = spark.range(1).select(*(c.alias(n) for n, c in texts.resize_with_pad(F.lit(h), F.lit(w), *to).items())).first()
-    assert (g["height"], g["width"]) == expected
     assert (g["top"] + g["height"] + g["bottom"], g["left"] + g["width"] + g["right"]) == to
+    scale = min(to[0] / h, to[1] / w)
+    assert abs(g["height"] - h * scale) <= 1 and abs(g["width"] - w * scale) <= 1
+    assert g["height"] == to[0] or g["width"] == to[1]
+    assert 0 <= g["bottom"] - g["top"] <= 1 and 0 <= g["right"] - g["left"] <= 1
 
 
 @pytest.mark.parametrize("x", [1, 1.5, "hé", True, None, b"ab", [1, [2.0]], {"a": {"b": 1}}, float("inf"), np.float32(2), np.arange(6, dtype=np.int16).reshape(2, 3), np.array([math.nan]), np.array(["a", "bc"]), np.array(True)])
