@@ -40,28 +40,21 @@ def test_ranges_join_by_key(spark, sf_dir):
     assert "NestedLoop" not in p and "CartesianProduct" not in p
 
 
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_nested_loops(spark, sf_dir, name):
-    """One row of statistics may be joined without a key; nothing else."""
-    p = plan(QUERIES[name](spark, sf_dir))
-    assert "CartesianProduct" not in p and ("BroadcastNestedLoop" not in p or name == "pipe1_chunk_delta_normalize")
-
-
 #: These gather what is small by meaning: totals and summaries, orders of names, the k rows asked for.
 SMALL = re.compile("agg9|agg16|agg20|agg23|ord12|ord13|ord14|ord16|snk3|snk9|snk10|win6|ord3|fil13|agg24|agg12|fil12|pipe1")
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if not SMALL.match(n)])
-def test_no_table_is_gathered_in_one_task(spark, sf_dir, name):
-    """A window or sort of everything in one partition, but for the merging of partial aggregates."""
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plans_scale(spark, sf_dir, name):
+    """No nested loops, but for one row of statistics; no window or sort of everything in one task."""
     p = plan(QUERIES[name](spark, sf_dir))
+    assert "CartesianProduct" not in p and ("BroadcastNestedLoop" not in p or name == "pipe1_chunk_delta_normalize")
+    if SMALL.match(name):
+        return
     lines = p.splitlines()
-    for i, line in enumerate(lines):
-        if "Exchange SinglePartition" in line:
-            above = lines[i - 1] if i else ""
-            assert "Aggregate" in above or "InputAdapter" in above, (name, above)
-            assert "Window" not in above and "Sort" not in above
+    for above, line in zip(lines, lines[1:], strict=False):
+        if "Exchange SinglePartition" in line:  # partial aggregates are merged there, and nothing else
+            assert ("Aggregate" in above or "InputAdapter" in above) and "Window" not in above and "Sort" not in above, above
 
 
 def test_masks_of_long_episodes_are_whole(spark):
