@@ -146,11 +146,11 @@ def last_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
-#: Rows in a range of ``running_total``, and the most ranges (a number each reaches the driver).
+#: Rows in a range of ``running_total`` (unless it is told another number), and the most ranges (a number each reaches the driver).
 RANGE_ROWS, MOST_RANGES = 1_000_000, 10_000
 
 
-def running_total(rows: DataFrame, key: str | list[str], value: Column | None = None, out: str = "before", range_rows: int = RANGE_ROWS) -> DataFrame:
+def running_total(rows: DataFrame, key: str | list[str], value: Column | None = None, out: str = "before", range_rows: int | None = None) -> DataFrame:
     """``out``: the sum of ``value`` (None: the count) over the rows before each in the order of a key.
 
     Nothing is sorted in one task: Spark deals the rows out by ranges of about
@@ -159,26 +159,29 @@ def running_total(rows: DataFrame, key: str | list[str], value: Column | None =
     that repeats very often is parted, too, and reruns agree. The rows are written
     to the shared folder first, so they are computed once.
     """
-    keys = [key] if isinstance(key, str) else key
+    keys, range_rows = [key] if isinstance(key, str) else key, range_rows or RANGE_ROWS
     value = F.lit(1).cast("long") if value is None else value
     rows = staged(rows, "rows")
     n = max(1, min(MOST_RANGES, -(-rows.count() // range_rows)))
     order = [*keys, "__tie"]
     plain = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
-    dealt = rows.withColumns({"__tie": F.xxhash64(*plain), "__value": value}).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = rows.withColumns({"__tie": F.xxhash64(*plain), "__value": value})
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("__value").over(w), F.lit(0).cast("long"))
+    if n == 1:  # one range, so one task anyway
+        return dealt.withColumn("__part", F.lit(0)).withColumn(out, within).select(*rows.columns, out)
+    dealt = dealt.repartitionByRange(n, *order).sortWithinPartitions(*order)
     dealt = staged(dealt.withColumn("__part", F.spark_partition_id()), "ranges")
     total, before = 0, []
     for r in dealt.groupBy("__part").agg(F.sum("__value").alias("s")).orderBy("__part").collect():  # a row a range
         before.append((r["__part"], total))
         total += r["s"] or 0
     offsets = rows.sparkSession.createDataFrame(before, "__part int, __offset bigint")
-    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = F.coalesce(F.sum("__value").over(w), F.lit(0).cast("long"))
     placed = dealt.withColumn("__within", within).join(F.broadcast(offsets), "__part")  # MOST_RANGES rows at most
     return placed.select(*rows.columns, (F.col("__offset") + F.col("__within")).alias(out))
 
 
-def dense_positions(rows: DataFrame, key: str | list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+def dense_positions(rows: DataFrame, key: str | list[str], range_rows: int | None = None) -> DataFrame:
     """``pos``: the place of each row in the order of a key, from 0."""
     return running_total(rows, key, out="pos", range_rows=range_rows)
 

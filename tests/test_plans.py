@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.operators import filters, project, windows
+from kinelake.operators import aggregates, filters, project, windows
 from kinelake.plans import queries as _filled  # noqa: F401
 from kinelake.plans.registry import QUERIES, table, traj
 from kinelake.sources import shared
@@ -45,8 +45,12 @@ SMALL = re.compile("agg9|agg16|agg20|agg23|ord12|ord13|ord14|ord16|snk3|snk9|snk
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_plans_scale(spark, sf_dir, name):
-    """No nested loops, but for one row of statistics; no window or sort of everything in one task."""
+def test_plans_scale(spark, sf_dir, name, monkeypatch):
+    """No nested loops, but for one row of statistics; no window or sort of everything in one task.
+
+    Ranges are small, so that these tables have several, as large ones do.
+    """
+    monkeypatch.setattr(aggregates, "RANGE_ROWS", 20)
     p = plan(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in p and ("BroadcastNestedLoop" not in p or name == "pipe1_chunk_delta_normalize")
     if SMALL.match(name):
