@@ -50,7 +50,7 @@ def test_plans_scale(spark, sf_dir, name, monkeypatch):
 
     Ranges are small, so that these tables have several, as large ones do.
     """
-    monkeypatch.setattr(aggregates, "RANGE_ROWS", 20)
+    monkeypatch.setattr(aggregates, "RANGE_ROWS", 4)
     p = plan(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in p and ("BroadcastNestedLoop" not in p or name == "pipe1_chunk_delta_normalize")
     if SMALL.match(name):
