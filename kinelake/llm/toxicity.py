@@ -30,7 +30,7 @@ from kinelake.llm import common
 
 #: Letters of the beginnings of words that are terms.
 PREFIXES = (3, 4, 5, 6)
-BUCKETS, FACTORS, SURE_Z, SHORT, DECAY, EPOCHS = 1 << 20, 8, 3.0, 2, np.float32(1e-3), 30
+BUCKETS, FACTORS, SURE_Z, SHORT, DECAY, EPOCHS = 1 << 20, 8, 7.0, 2, np.float32(1e-3), 15
 _WORDS = re.compile(r"\w+").findall
 
 
