@@ -36,4 +36,7 @@ PAGES = [
     """<html><body><div class="login"><a href="/in">Log in</a></div><div class="promo">Two for the price of one until Friday.</div>
 <div class="notice"><main-><h1>How the old clock was mended</h1><p>The clock in the tower had stood still for eleven years when the town found a maker who knew its works.</p><p>She cut two wheels anew and hung the weights on <a href="/rope">rope</a> instead of wire, and it has gone well since.</p></main-></div>
 <div class="share"><a href="#">Send</a> <a href="#">Save</a></div><div class="notice">This site will be closed for repairs tonight.</div><footer>Town paper</footer></body></html>""",
+    """<html><body><div>Harbour gazette</div><div><a href="/today">Today</a> <a href="/past">Past issues</a></div>
+<main-><div class="story"><div>Ferry stops for the winter</div><div>The small ferry to the island will not run between the first of November and the end of March, the owner said.</div><div>Fewer than ten people a day had used it last winter, and the engine needs work that cannot be done afloat.</div><div>Mail and milk will be brought over by the pilot boat, weather allowing, on three mornings of each week.</div></div></main->
+<div><a href="/up">To the top</a></div><div>Made by hand</div></body></html>""",
 ]

@@ -686,6 +686,26 @@ def test_a_telling_class_of_the_frame_keeps_the_article(kind):
         assert html_extraction.main_text(page) == text
 
 
+NAV, FOOT = "<nav><ul><li><a href='/'>Home</a><li><a href='/x'>News of the day</a></ul></nav>", "<footer><p>Copyright 2020 by the firm. All rights reserved.</p></footer>"
+BODY = "<h1>Title here</h1><p>First paragraph of the article, with several words in it.</p><p>Second one that goes on for a while &amp; ends.</p>"
+COMMENTS = "<section id='comments'><h3>Comments</h3>" + "<div class='comment'><p>I do not agree with this at all, because it is wrong.</p></div>" * 8 + "</section>"
+SIDE = "<div class='sidebar'><h3>Popular</h3><p>Some teaser text that is quite long and speaks of many things that no one asked for.</p><p>Another teaser that is also long.</p></div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='cookie-banner'><p>We use cookies to give you the best of our site, please accept.</p></div>{NAV}<article>{BODY}</article>{SIDE}{COMMENTS}{FOOT}",
+    f"{NAV}{SIDE}<div class='post'>{BODY}{COMMENTS}</div><div class='related'><ul><li><a href='/1'>Other article one</a></ul></div>{FOOT}",
+    f"<form id='page' action='/'>{NAV}<div>{BODY}</div>{FOOT}<input type=hidden></form>",
+    f"<header><h2>Site name</h2><p>The best site of all.</p></header><article><header>{BODY.split('<p>')[0]}</header>{BODY[BODY.index('<p>'):]}</article>",
+    f"{NAV}<article><div class='notice'>Subscribers only: please log in.</div>{BODY.replace('<p>Second', '<aside>Advert: buy now</aside><div class=ad><p>Buy these shoes today</p></div><p>Second')}</article>",
+    f"<div role='navigation'><a href=/>Home</a> <a href=/n>News</a></div><div role='main'>{BODY}</div><div role='contentinfo'>Imprint and all that</div>",
+    f"{NAV}<div class='text'>{BODY.replace('<p>', '<div>').replace('</p>', '</div>')}</div>{FOOT}",
+    f"<BODY>{NAV.upper()}<DIV CLASS=entry>{BODY}</DIV><div class='pagination'><a href=/2>Next</a></div></BODY>",
+])
+def test_layouts(page):
+    assert html_extraction.main_text(page) == "Title here First paragraph of the article, with several words in it. Second one that goes on for a while & ends."
+
+
 def test_pages_without_an_article_have_no_text():
     for page in ("<nav><ul><li>Home</ul></nav><footer>Imprint of the firm</footer>", "<div class='ad'>Buy two, get one for free this week only.</div><form>Name <input></form>", "<div class='comments'><p>I agree with this</p></div>"):
         assert html_extraction.main_text(page) == ""
