@@ -20,7 +20,8 @@ Only DataFrame functions run on the data.
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,22 +38,26 @@ def prefix(key: Column, depth: int) -> Column:
 def grow_directory(keys: DataFrame, capacity: int) -> list[int]:
     """The bucket of each of the directory's 2^depth slots, from distinct ``key``.
 
-    A histogram over the longest prefixes (bounded by 2^MOST_DEPTH rows, whatever
-    the data) says how full a bucket of any depth is.
+    A histogram over prefixes, a few bits longer than evenly spread keys need,
+    says how full a bucket of any depth is; it is taken again with longer ones
+    while that doesn't do (2^MOST_DEPTH rows at most, whatever the data).
     """
-    fine = keys.groupBy(prefix(F.col("key"), MOST_DEPTH).alias("p")).count().toArrow()
-    upto = np.zeros(2**MOST_DEPTH + 1, np.int64)
-    upto[1 + fine.column("p").to_numpy()] = fine.column("count").to_numpy()
-    upto = upto.cumsum()
-    slots, depth = [(0, 0)], 0  # (local depth, prefix)
-
-    def is_over(local: int, p: int) -> bool:
-        step = MOST_DEPTH - local
-        return upto[(p + 1) << step] - upto[p << step] > capacity
-
-    while depth < MOST_DEPTH and (over := {s for s in set(slots) if is_over(*s)}):
-        depth += 1
-        slots = [(s[0] + 1, 2 * s[1] + bit) if s in over else s for s in slots for bit in (0, 1)]
+    seen = min(MOST_DEPTH, (keys.count() // capacity).bit_length() + 3)
+    while True:
+        fine = {r["p"]: r["count"] for r in keys.groupBy(prefix(F.col("key"), seen).alias("p")).count().collect()}
+        upto = [0, *accumulate(fine.get(p, 0) for p in range(2**seen))]
+        slots, depth = [(0, 0)], 0  # (local depth, prefix)
+
+        def is_over(local: int, p: int) -> bool:
+            step = seen - local  # noqa: B023
+            return upto[(p + 1) << step] - upto[p << step] > capacity  # noqa: B023
+
+        while depth < seen and (over := {s for s in set(slots) if is_over(*s)}):
+            depth += 1
+            slots = [(s[0] + 1, 2 * s[1] + bit) if s in over else s for s in slots for bit in (0, 1)]
+        if seen == MOST_DEPTH or not any(is_over(*s) for s in set(slots)):
+            break
+        seen = min(MOST_DEPTH, seen + 3)
     order = {s: i for i, s in enumerate(dict.fromkeys(slots))}
     return [order[s] for s in slots]
 
@@ -95,7 +100,7 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     same = docs.join(hot, "key")
     chains = same.groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).select("key", sha256(), "keep_id", "group_size")
     chains = common.staged(chains, "chains")
-    found = same.select("doc_id", "key", sha256()).join(chains, ["key", "sha"])
+    found = same.select("doc_id", "key", sha256()).join(F.broadcast(chains), ["key", "sha"])  # a thousand keys at most
 
     columns = ["doc_id", "sha", "keep_id", "group_size"]
     return index.select(*columns).unionByName(found.select(*columns)).select(

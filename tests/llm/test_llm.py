@@ -132,6 +132,16 @@ def test_directory_doubles_only_full_buckets(spark):
     assert max(r["count"] for r in counts) <= 100 and sum(r["count"] for r in counts) == 3000
 
 
+def test_directory_of_uneven_keys(spark, monkeypatch):
+    """Keys of one long prefix: the histogram is taken again with longer ones, as far as the directory goes."""
+    keys = spark.range(2000).select((F.col("id") * 2**46).alias("key"))
+    directory = exact_dedup.grow_directory(keys, 100)
+    counts = keys.groupBy(exact_dedup.bucket(F.col("key"), directory).alias("b")).count().collect()
+    assert max(r["count"] for r in counts) <= 100 and len(set(directory)) < 60
+    monkeypatch.setattr(exact_dedup, "MOST_DEPTH", 4)
+    assert len(exact_dedup.grow_directory(keys, 100)) == 16
+
+
 @pytest.mark.parametrize("capacity", [10, 100_000])
 def test_a_bucket_has_one_owner(spark, capacity):
     """The directory decides which task compares a text; that the largest keys go another way changes no row."""
