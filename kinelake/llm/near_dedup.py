@@ -240,7 +240,11 @@ def _columns(table: pa.Table) -> dict[str, np.ndarray]:
 
 
 def open_blocks(classes: DataFrame, large: int) -> DataFrame:
-    """Blocks of the buckets that hold several components: ``band, i, j, side, number, comp`` and the class's own columns."""
+    """Blocks of the buckets that hold several components: ``band, i, j, side, number, comp`` and the class's own columns.
+
+    Components are told apart by 64-bit hashes, whatever ids are.
+    """
+    classes = classes.withColumn("comp", F.xxhash64("comp"))
     bands = classes.select("doc_id", "comp", F.posexplode("bands").alias("number", "band"))
     several = common.staged(bands.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("band", "n"), "open")
     members = common.staged(common.join_hot(bands, several, ["band"], F.col("n") >= large), "unsettled")
@@ -257,7 +261,7 @@ def open_blocks(classes: DataFrame, large: int) -> DataFrame:
     across = F.when(F.col("mains") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("mains") - 1, F.lit(0))), lambda x: F.struct(F.col("own").alias("i"), (-x - 1).alias("j"), F.lit(0).alias("side")))).otherwise(F.array())
     mains = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct(x.alias("i"), (-F.col("own") - 1).alias("j"), F.lit(1).alias("side")))
     blocks = placed.withColumn("own", own).select("band", "number", "doc_id", F.explode(F.when(is_main, mains).otherwise(F.concat(within, across))).alias("at"))
-    signed = classes.select("doc_id", F.xxhash64("comp").alias("comp"), "n_shingles", "packed", "bands")
+    signed = classes.select("doc_id", "comp", "n_shingles", "packed", "bands")
     return blocks.join(signed, "doc_id").select("band", "at.i", "at.j", "at.side", "number", "comp", "n_shingles", "packed", "bands", "doc_id")
 
 
