@@ -50,9 +50,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the one with the smallest id stays; one without an id only if none has one."""
-    keyed = docs.select(_key(docs).alias("doc_id"), "text")
-    gone = common.staged(near_dedup(keyed, percent=PERCENT).filter("NOT kept").select(F.col("doc_id").alias("__key")).distinct(), "gone")
-    return common.without(docs, gone, _key(docs) == gone["__key"])
+    # Where every row has an id of its own, that is its key; else id and text are.
+    unique = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
+    key = docs["doc_id"] if unique else _key(docs)
+    found = near_dedup(docs.select(key.alias("doc_id"), "text"), percent=PERCENT).filter("NOT kept")
+    gone = common.staged(found.select(F.col("doc_id").alias("__key")).distinct(), "gone")
+    return common.without(docs, gone, key == gone["__key"])
 
 
 def _key(docs: DataFrame) -> Column:
