@@ -15,9 +15,21 @@ from kinelake.sources.shared import new_path, shared_dir, ship, staged  # noqa:
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that go to Python at a time, unless the session asks for another number than Spark's own.
+BATCH_ROWS, SPARKS_OWN = 1000, "10000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the package to executors, and keeps batches of whole texts small: some are very long."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == SPARKS_OWN:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the columns ``doc_id`` and ``text`` (null: empty); other columns can't clash."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 

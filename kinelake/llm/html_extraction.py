@@ -245,7 +245,7 @@ def extract_text(df: DataFrame, *, id_col: str = "page_id", html_col: str = "htm
     an unclosed script or comment with the page; nesting may be of any depth. Repeated rows give repeated
     rows, an empty table none; other columns are not read.
     """
-    common.ship(df.sparkSession)
+    common.prepare(df.sparkSession)
 
     @F.pandas_udf("string")
     def extract(pages):

@@ -106,7 +106,7 @@ def identify(df: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_co
     without a letter, and when nothing is learned. Repeated rows are judged
     alike; an empty table gives no rows.
     """
-    common.ship(df.sparkSession)
+    common.prepare(df.sparkSession)
     langs, table = learn(known.select("doc_id", "text", "lang").dropna(subset=["text", "lang"]), per_language)
     model = df.sparkSession.sparkContext.broadcast((langs, table))
 

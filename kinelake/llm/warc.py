@@ -372,7 +372,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    common.ship(spark)
+    common.prepare(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
