@@ -97,10 +97,15 @@ def threshold(wanted: int, rows: int) -> int | None:
     return None if wanted >= rows else wanted * 2**64 // rows - 2**63
 
 
+def below(hash_col: Column | str, wanted: int, rows: int) -> Column:
+    """Whether a row's 64-bit hash is among about ``wanted`` of ``rows``."""
+    t = threshold(wanted, rows)
+    return F.lit(True) if t is None else F.col(hash_col) < F.lit(t).cast("long") if isinstance(hash_col, str) else hash_col < F.lit(t).cast("long")
+
+
 def drawn(key: str, wanted: int, rows: int) -> Column:
     """Whether a row's key is among about ``wanted`` of ``rows``, by its hash."""
-    t = threshold(wanted, rows)
-    return F.lit(True) if t is None else F.xxhash64(key) < F.lit(t).cast("long")
+    return below(F.xxhash64(key), wanted, rows)
 
 
 def without(df: DataFrame, gone: DataFrame, same: Column, most: int = 200_000) -> DataFrame:

@@ -16,6 +16,8 @@ _QUERIES = {
     8: ("decontamination", "op8_decontamination"),
     9: ("html_extraction", "op9_html_extraction"),
     10: ("near_dedup", "op10_near_dedup"),
+    11: ("lexical_search", "op11_lexical_search"),
+    12: ("secrets", "op12_secrets"),
     13: ("window_panes", "op13_window_panes"),
 }
 
