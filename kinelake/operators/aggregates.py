@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinelake.sources.shared import staged
 
+#: The bins of a histogram and what they reach beyond the range.
 BINS, PADDING = 5000, 1e-10
 #: The order in which categories are shown; others follow by name.
 CATEGORY_ORDER = ("Camera Viewpoints", "Robot Initial States", "Language Instructions", "Light Conditions", "Background Textures", "Sensor Noise", "Objects Layout")
@@ -52,11 +53,12 @@ def merged_moments(parts: DataFrame) -> DataFrame:
 def histogram_quantiles(values: DataFrame, quantiles: dict[str, float], bins: int = BINS, known: DataFrame | None = None) -> DataFrame:
     """The left edge of the first of ``bins`` equal bins in which the count reaches the quantile's share.
 
-    Two passes: the range (or ``known`` moments, which have it), then counts by
-    bin. The range (a row a dimension) joins back by key; Spark broadcasts it when
-    its size allows.
+    Two passes: the range (or ``known`` moments, a staged table that has it), then
+    counts by bin. The range, a row a dimension, is staged, so Spark knows how
+    small it is and broadcasts it; values never meet it by key, of which there
+    may be two.
     """
-    known = moments(values) if known is None else known
+    known = staged(moments(values), "moments") if known is None else known
     bounds = known.select("key", "dim", (F.col("low") - PADDING).alias("low"), (F.col("high") + PADDING).alias("high"), "n")
     width = (F.col("high") - F.col("low")) / bins
     at = F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("low")) / width)).cast("long")
@@ -115,14 +117,23 @@ def dense_counts(categories: DataFrame, counts: DataFrame, *, key: str = "catego
     return categories.join(counts, key, "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
-def latency_quantiles(ms: str = "ms") -> list[Column]:
-    """Aggregates: mean, deviation of the population, exact percentiles with interpolation."""
-    return [F.avg(ms).alias("mean"), F.stddev_pop(ms).alias("std"), *(F.percentile(ms, F.lit(p / 100)).alias(f"p{p}") for p in (25, 50, 75, 90, 95, 99))]
+def _with_quantiles(calls: DataFrame, group: str, ms: str, plain: list[Column], quantiles: dict[str, float]) -> DataFrame:
+    """A row a group on either side, so the join is as small as the result."""
+    from kinelake.operators.quantiles import exact_quantiles
 
+    calls = staged(calls.select(group, ms), "calls")
+    q = exact_quantiles(calls, [group], ms, quantiles).withColumnRenamed(group, "__group")
+    return calls.groupBy(group).agg(*plain).join(q, F.col(group).eqNullSafe(F.col("__group")), "left").drop("__group")
 
-def latency_summary(ms: str = "ms") -> list[Column]:
-    """Aggregates: mean, median, range, deviation of the sample (0 for one value), calls a second."""
-    return [F.avg(ms).alias("mean"), F.percentile(ms, F.lit(0.5)).alias("median"), F.min(ms).alias("low"), F.max(ms).alias("high"), F.coalesce(F.stddev_samp(ms), F.lit(0.0)).alias("std"), (1000.0 / F.avg(ms)).alias("hz")]
+
+def latency_quantiles(calls: DataFrame, group: str, ms: str = "ms") -> DataFrame:
+    """By group: mean, deviation of the population, exact percentiles with interpolation."""
+    return _with_quantiles(calls, group, ms, [F.avg(ms).alias("mean"), F.stddev_pop(ms).alias("std")], {f"p{p}": p / 100 for p in (25, 50, 75, 90, 95, 99)})
+
+
+def latency_summary(calls: DataFrame, group: str, ms: str = "ms") -> DataFrame:
+    """By group: mean, median, range, deviation of the sample (0 for one value), calls a second."""
+    return _with_quantiles(calls, group, ms, [F.avg(ms).alias("mean"), F.min(ms).alias("low"), F.max(ms).alias("high"), F.coalesce(F.stddev_samp(ms), F.lit(0.0)).alias("std"), (1000.0 / F.avg(ms)).alias("hz")], {"median": 0.5})
 
 
 def control_rates(means: DataFrame, horizon: int, *, mean_s: str = "mean_s") -> DataFrame:
@@ -212,9 +223,9 @@ def global_norm(x: str) -> Column:
 
 
 def mean_interval(df: DataFrame, ts: str, *keys: str) -> DataFrame:
-    """The mean time between successive stamps, and its inverse."""
-    gap = F.col(ts) - F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts))
-    return df.withColumn("__gap", gap).groupBy(*keys).agg(F.avg("__gap").alias("mean_dt"), (1 / F.avg("__gap")).alias("hz"))
+    """The mean time between successive stamps, and its inverse: what lies between all of them are the ends, so nothing is sorted."""
+    mean = (F.max(ts) - F.min(ts)) / F.nullif(F.count(ts) - 1, F.lit(0))
+    return df.groupBy(*keys).agg(mean.alias("mean_dt"), F.try_divide(F.lit(1), mean).alias("hz"))
 
 
 def attention_grid(weights: DataFrame, cameras: int) -> DataFrame:

@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelake.operators.scans import highest, segmented_scan
+
 
 def successful(path: Column) -> Column:
     return F.coalesce(path.rlike("success"), F.lit(False))
 
 
-def in_ranges(frames: DataFrame, ranges: DataFrame | None, *, key: str = "episode", t: str = "t") -> DataFrame:
+def in_ranges(frames: DataFrame, ranges: DataFrame | None, *, key: str = "episode", t: str = "t", range_rows: int | None = None) -> DataFrame:
     """Frames in a half-open range of their key; all without a table of ranges.
 
-    An equality on the key comes with the bounds, so this is a hash or merge
-    join at any size, never a nested loop.
+    A sweep over frames and ranges together, in the order of (key, t): a frame is
+    inside if any range that has begun ends later, and of those the scan carries
+    the latest end. So no frame meets a range as a pair, and a key with many of
+    both costs no more than others. Frames without key or time, and ranges
+    without key or bound, match nothing; overlapping ranges give a frame once.
     """
     if ranges is None:
         return frames
-    r = ranges.select(F.col(key).alias("__key"), "start", "end")
-    inside = (F.col(key) == F.col("__key")) & (F.col(t) >= F.col("start")) & (F.col(t) < F.col("end"))
-    return frames.join(r, inside, "left_semi")
+    own = frames.columns
+    starts = ranges.filter(F.col(key).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()).select(F.col(key).alias("__key"), F.col("start").alias("__t"), F.lit(0).alias("__kind"), F.col("end").alias("__end"))
+    rows = frames.filter(F.col(key).isNotNull() & F.col(t).isNotNull()).withColumns({"__key": F.col(key), "__t": F.col(t), "__kind": F.lit(1)})
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    swept = segmented_scan(both, ["__key"], ["__t", "__kind"], {"__reach": highest("__end")}, range_rows)
+    return swept.filter((F.col("__kind") == 1) & (F.col("__reach") > F.col("__t"))).select(*own)
 
 
 def until_failure(frames: DataFrame, ok: str, *, episode: str = "episode", t: str = "t") -> DataFrame:

@@ -4,26 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def merge(intervals: DataFrame, group: str) -> DataFrame:
-    """Overlapping and touching intervals become one."""
-    w = Window.partitionBy(group).orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.select(group, "start", "end").withColumn("__new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
-    numbered = marked.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(group, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
-
-
-def complement(merged: DataFrame, totals: DataFrame, group: str) -> DataFrame:
-    """What merged intervals leave of [0, ``total``); a group without any lacks all."""
-    zero = totals.select(group, F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
-    w = Window.partitionBy(group).orderBy("start", "end")
-    gaps = merged.select(group, "start", "end").unionByName(zero).withColumn("next", F.lead("start").over(w))
-    out = gaps.join(totals, group).select(group, F.col("end").alias("start"), F.least(F.coalesce("next", "total"), F.col("total")).alias("end"))
-    return out.filter(F.col("start") < F.col("end"))
+from kinelake.operators.scans import highest, last, segmented_scan
+
+
+def merge(intervals: DataFrame, group: str, range_rows: int | None = None) -> DataFrame:
+    """Overlapping and touching intervals become one.
+
+    An interval that starts beyond the ends of all before it begins a new one,
+    which ends where they all did when the next begins. Two scans, so a group may
+    have any number of intervals.
+    """
+    parts = segmented_scan(intervals.select(group, "start", "end"), [group], ["start", "end"], {"__before": highest("end")}, range_rows)
+    begun = parts.filter(F.coalesce(F.col("start") > F.col("__before"), F.lit(True))).select(group, "start", F.col("__before").alias("__ended"))
+    begun = segmented_scan(begun, [group], [F.desc("start")], {"end": last("__ended")}, range_rows).drop("__ended")
+    # The last of each group, a row a group, ends where the group does.
+    ends = intervals.groupBy(F.col(group).alias("__group")).agg(F.max("end").alias("__end"))
+    finals = begun.filter("end IS NULL").join(ends, F.col(group).eqNullSafe(F.col("__group"))).select(group, "start", F.col("__end").alias("end"))
+    return begun.filter("end IS NOT NULL").unionByName(finals)
+
+
+def complement(merged: DataFrame, totals: DataFrame, group: str, range_rows: int | None = None) -> DataFrame:
+    """What merged intervals leave of [0, ``total``); a group without any lacks all.
+
+    A gap ends where the next interval starts, or with the group, whose total
+    is a mark of its own in the scan, so that nothing is joined.
+    """
+    zero = F.lit(0).cast("long")
+    gaps = merged.select(group, "start", "end").unionByName(totals.select(group, zero.alias("start"), zero.alias("end")))
+    marks = gaps.withColumn("total", F.lit(None).cast("long")).unionByName(totals.select(group, F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.col("total").cast("long").alias("total")))
+    at = F.desc_nulls_first("start"), F.desc_nulls_first("end")  # from the group's end: its total, then its intervals
+    out = segmented_scan(marks, [group], at, {"next": last("start"), "whole": last("total")}, range_rows)
+    ends = out.filter("end IS NOT NULL AND whole IS NOT NULL").select(group, F.col("end").alias("start"), F.least(F.coalesce("next", "whole"), F.col("whole")).alias("end"))
+    return ends.filter(F.col("start") < F.col("end"))
 
 
 def coverage(merged: DataFrame, totals: DataFrame, group: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -67,6 +69,35 @@ def once_each(df: DataFrame, text: str, compute) -> DataFrame:
 
 
 def time_offset(frames: DataFrame, k: int, value: str, *, episode: str = "episode", t: str = "t", out: str = "ahead") -> DataFrame:
-    """The value ``k`` frames later; null beyond the end."""
-    other = frames.select(F.col(episode), (F.col(t) - k).alias(t), F.col(value).alias(out))
-    return frames.join(other, [episode, t], "left")
+    """The value of frame ``t + k``; null if there is none."""
+    w = Window.partitionBy(episode).orderBy(t).rangeBetween(k, k)
+    return frames.withColumn(out, F.first(value).over(w))
+
+
+def at_times(frames: DataFrame, offsets: Sequence[float], value: str, *, ts: str = "ts", tolerance: float = 1e-4, tie: str, episode: str = "episode", out: str = "values") -> DataFrame:
+    """For each frame and each of ``offsets`` (seconds), what its episode has at that time: an array of ``value, pad``.
+
+    The frame nearest to the wanted time counts, if it is within ``tolerance``
+    seconds; of equally near ones the earlier, and of equal stamps the least
+    ``tie``. Times before the first and after the last frame give that one, with
+    ``pad``; where frames were dropped and none is near, the value is null. A
+    window looks at the frames around the wanted time only, and all offsets share
+    one shuffle by episode. ``ts``: seconds, or a time stamp.
+    """
+    kind = frames.schema[ts].dataType.simpleString()
+    micros = F.unix_micros(F.col(ts).cast("timestamp")) if kind.startswith("timestamp") else F.round(F.col(ts) * 1_000_000).cast("long")
+    frame = lambda us: F.struct(us.alias("us"), F.col(tie).alias("tie"), F.col(value).alias("value"))
+    rows = frames.withColumn("__us", micros).withColumns({"__up": frame(F.col("__us")), "__down": frame(-F.col("__us"))})
+    whole = Window.partitionBy(episode)
+    rows = rows.withColumns({"__first": F.min("__up").over(whole), "__last": F.min("__down").over(whole)})
+    by_time, near = whole.orderBy("__us"), round(tolerance * 1_000_000)
+    shifts = [round(x * 1_000_000) for x in offsets]
+    rows = rows.withColumns({f"__{side}{i}": F.min(c).over(by_time.rangeBetween(a, b)) for i, us in enumerate(shifts) for side, c, a, b in (("before", "__down", us - near, us), ("after", "__up", us, us + near))})
+
+    def pick(i: int, us: int) -> Column:
+        before, after, target = F.col(f"__before{i}"), F.col(f"__after{i}"), F.col("__us") + us
+        nearest = F.when(after.isNull() | (target + before["us"] <= after["us"] - target), before["value"]).otherwise(after["value"])  # ``us`` is negative in ``before``
+        early, late = target < F.col("__first.us") - near, target > -F.col("__last.us") + near
+        return F.struct(F.when(early, F.col("__first.value")).when(late, F.col("__last.value")).otherwise(nearest).alias("value"), (early | late).alias("pad"))
+
+    return rows.withColumn(out, F.array(*(pick(i, us) for i, us in enumerate(shifts)))).select(*frames.columns, out)

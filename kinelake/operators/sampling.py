@@ -7,9 +7,12 @@ where a whole table is numbered.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from fractions import Fraction
+from math import lcm
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +22,11 @@ from kinelake.operators.aggregates import dense_positions
 def permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """``episode, new_episode``: NumPy's permutation of ``n`` episodes.
 
-    It is made on the driver, as only NumPy's generator gives it: 16 bytes an
-    episode, so up to some hundred million of them. ``shuffle_key`` has no bound.
+    It is made on the driver, as only NumPy's generator gives it: two arrays of 8
+    bytes an episode, which go to Spark as they are. ``shuffle_key`` has no bound.
     """
     p = np.random.default_rng(seed).permutation(n)
-    return spark.createDataFrame([(int(old), new) for new, old in enumerate(p)], "episode bigint, new_episode bigint")
+    return spark.createDataFrame(pa.table({"episode": p, "new_episode": np.arange(n)}))
 
 
 def shuffle_key(key: Column, seed: int) -> Column:
@@ -66,6 +69,75 @@ def quota_mixture(df: DataFrame, weights: Mapping[str, float], total: int, *, da
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).drop("__size")
 
 
+#: The longest schedule that ``interleaved`` makes on the driver: the common denominator of its weights.
+MOST_STEPS = 1_000_000
+
+
+def schedule(weights: Mapping[str, float]) -> list[str]:
+    """The order in which datasets take turns, to be repeated without end.
+
+    Any first n turns, over any number of rounds, hold less than one more or less
+    than weight * n of each dataset (the quota method: of the datasets that are
+    behind their share, the next turn goes to the one with the largest weight a
+    turn). Weights are taken as the decimal fractions they are written as.
+    """
+    parts = {k: Fraction(str(w)) for k, w in weights.items() if w > 0}
+    if sum(parts.values()) != 1:
+        raise ValueError(f"weights add up to {float(sum(parts.values()))}, not to one")
+    steps = lcm(*(f.denominator for f in parts.values()))
+    if steps > MOST_STEPS:
+        raise ValueError(f"these weights have a common denominator of {steps}, more than {MOST_STEPS}")
+    names, quota = list(parts), np.array([int(f * steps) for f in parts.values()])
+    taken, turns = np.zeros(len(names), np.int64), []
+    for n in range(1, steps + 1):
+        turn = int(np.argmax(np.where(taken * steps < quota * n, quota / (taken + 1), -1.0)))
+        taken[turn] += 1
+        turns.append(names[turn])
+    return turns
+
+
+def interleaved(df: DataFrame, weights: Mapping[str, float], total: int, *, dataset: str = "dataset", position: str = "pos") -> DataFrame:
+    """The first ``total`` rows of an endless weighted interleave: ``place`` (from 0) and ``epoch``.
+
+    Every dataset repeats without end, its rows in the order of ``position`` (dense,
+    from 0). As turns follow a schedule that repeats, a row's places follow from its
+    position alone: nothing is merged or sorted, and any prefix holds its share of
+    each dataset within one row. The schedule is a small table (a row a turn,
+    ``MOST_STEPS`` at most); a dataset with a weight must have rows.
+    """
+    turns = schedule(weights)
+    steps = len(turns)
+    count: dict[str, int] = {}
+    slots = []
+    for slot, name in enumerate(turns):
+        slots.append((name, count.get(name, 0), slot))
+        count[name] = count.get(name, 0) + 1
+    spark = df.sparkSession
+    sizes = df.filter(F.col(dataset).isin(*count)).groupBy(dataset).agg(F.count("*").alias("__size")).collect()  # no more than there are weights
+    if missing := sorted(set(count) - {r[0] for r in sizes}):
+        raise ValueError(f"no rows to draw from in {missing}")
+    known = F.create_map(*(x for name, n in sizes for x in (F.lit(name), F.struct(F.lit(n).alias("size"), F.lit(count[name]).alias("quota")))))
+    own = df.filter(F.col(dataset).isin(*count)).withColumn("__of", known[F.col(dataset)])
+    # The draws of a row: every ``size``-th of its dataset, as long as they may stand before ``total``.
+    most = (F.lit(total // steps + 1) * F.col("__of.quota") - F.col(position)) / F.col("__of.size")
+    epochs = F.when(most > 0, F.sequence(F.lit(0).cast("long"), F.ceil(most).cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+    draws = own.withColumn("epoch", F.explode(epochs)).withColumn("__k", F.col("epoch") * F.col("__of.size") + F.col(position))
+    draws = draws.withColumns({"__round": F.floor(F.col("__k") / F.col("__of.quota")), "__turn": F.col("__k") % F.col("__of.quota")})
+    table = spark.createDataFrame(slots, "__name string, __nth bigint, __slot bigint")
+    placed = draws.join(F.broadcast(table), (F.col(dataset) == F.col("__name")) & (F.col("__turn") == F.col("__nth")))  # MOST_STEPS rows
+    placed = placed.withColumn("place", F.col("__round") * steps + F.col("__slot")).filter(F.col("place") < total)
+    return placed.drop("__of", "__k", "__round", "__turn", "__name", "__nth", "__slot")
+
+
+def buffered(df: DataFrame, size: int, seed: int, *, place: str = "place", out: str = "at") -> DataFrame:
+    """``out``: a key whose order shuffles that of ``place`` (dense whole numbers) as a buffer of ``size`` rows does.
+
+    Rows move by less than ``size`` places either way, so a mixture stays one; no
+    row waits for others, and reruns agree. Sort by (``out``, ``place``).
+    """
+    return df.withColumn(out, F.col(place) + F.pmod(F.xxhash64(place, F.lit(seed)), F.lit(size)))
+
+
 def repeated(df: DataFrame, epochs: int) -> DataFrame:
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
 
@@ -121,9 +193,9 @@ def sample_k(df: DataFrame, k: int, key: str, seed: int) -> DataFrame:
     return df.orderBy(shuffle_key(F.col(key), seed), key).limit(k)
 
 
-def nearest_candidate(rows: DataFrame, key: str, candidate: str, error: str) -> DataFrame:
-    """The candidate of least error; of equals, the lowest."""
-    return rows.groupBy(key).agg(F.min_by(candidate, F.struct(error, candidate)).alias(candidate))
+def nearest_candidate(candidates: Column, error: Callable[[Column], Column]) -> Column:
+    """Of an array of candidates, the one of least error; of equals, the lowest. All of it happens within a row."""
+    return F.array_min(F.transform(candidates, lambda c: F.struct(error(c).alias("e"), c.alias("c"))))["c"]
 
 
 def closest_name(names: DataFrame, name: str, column: str = "name") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinelake.functions import vectors
 from kinelake.operators.aggregates import running_total
+from kinelake.operators.scans import last, segmented_scan
 
 
 def action_chunks(frames: DataFrame, horizon: int, *, episode: str = "episode", t: str = "t", action: str = "action", out: str = "chunk") -> DataFrame:
@@ -134,6 +135,36 @@ def causal_mask(tokens: DataFrame, *, sequence: str = "seq", position: str = "po
     return t.join(u, sequence).select(sequence, "i", "j", ((F.col("bj") <= F.col("bi")) & F.col("vi") & F.col("vj")).alias("attends"))
 
 
+def causal_prefixes(tokens: DataFrame, *, sequence: str = "seq", position: str = "pos", starts: str = "ar", valid: str = "valid") -> DataFrame:
+    """The causal mask with a row a token: ``seq, i, end, valid``.
+
+    As blocks only grow along a sequence, a token attends to all valid ones before
+    ``end``, where the next block starts (null: none does, so it is the sequence's
+    end), and to none if it isn't valid itself. Which are valid is a property of
+    keys, so it isn't repeated for each query: see ``valid_runs``. A long sequence
+    is scanned in ranges.
+    """
+    rows = tokens.select(sequence, F.col(position).alias("i"), F.col(valid).alias("valid"), F.when(F.col(starts) > 0, F.col(position)).alias("__start"))
+    return segmented_scan(rows, [sequence], [F.desc("i")], {"end": last("__start")}).select(sequence, "i", "end", "valid")
+
+
+def valid_runs(tokens: DataFrame, *, sequence: str = "seq", position: str = "pos", valid: str = "valid") -> DataFrame:
+    """``seq, start, end`` of the runs of valid tokens, in ranges where a sequence is long."""
+    rows = tokens.select(sequence, F.col(position).alias("i"), F.coalesce(valid, F.lit(False)).alias("valid"))
+    # A run starts after the last token that isn't valid, and is told by that.
+    rows = segmented_scan(rows.withColumn("__gap", F.when(~F.col("valid"), F.col("i"))), [sequence], ["i"], {"__after": last("__gap")})
+    runs_ = rows.filter("valid").groupBy(sequence, "__after").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("end"))
+    return runs_.drop("__after")
+
+
+def expand_mask(prefixes: DataFrame, valid_keys: DataFrame, *, sequence: str = "seq") -> DataFrame:
+    """``seq, i, j`` of all pairs that attend: for whom pairs are the result that is wanted."""
+    k = valid_keys.withColumnRenamed(sequence, "__seq")
+    seen = prefixes.withColumnRenamed("end", "__stop").filter("valid").join(k, (F.col(sequence) == F.col("__seq")) & (F.col("__stop").isNull() | (F.col("start") < F.col("__stop"))))
+    until = F.least(F.col("end"), F.coalesce("__stop", F.col("end")))
+    return seen.select(sequence, "i", F.explode(F.sequence(F.col("start"), until - 1)).alias("j"))
+
+
 def position_ids(tokens: DataFrame, *, sequence: str = "seq", position: str = "pos", valid: str = "valid") -> DataFrame:
     return tokens.withColumn("position_id", F.sum(F.col(valid).cast("long")).over(Window.partitionBy(sequence).orderBy(position)) - 1)
 

@@ -35,6 +35,24 @@ def agg2_histogram_quantiles(spark, d):
     return A.histogram_quantiles(action_values(spark, d), {"q01": 0.01, "q99": 0.99}).withColumns({"q01": r6("q01"), "q99": r6("q99")})
 
 
+GRID = """r AS (SELECT key, dim, min(v) AS low, max(v) AS high FROM l GROUP BY key, dim),
+e AS (SELECT *, (SELECT min(x) FROM range(-40, 20) g(x) WHERE floor(high / pow(2.0, x)) - floor(low / pow(2.0, x)) < 5000) AS e FROM r),
+h AS (SELECT key, dim, e, low, floor(v / pow(2.0, e)) AS cell, count(*) AS c FROM l JOIN e USING (key, dim) WHERE v IS NOT NULL GROUP BY ALL),
+u AS (SELECT *, sum(c) OVER (PARTITION BY key, dim ORDER BY cell) AS upto, sum(c) OVER (PARTITION BY key, dim) AS n FROM h)
+SELECT key, dim::BIGINT AS dim, round(min(CASE WHEN upto >= 0.01 * n THEN greatest(low, cell * pow(2.0, e)) END), 6) AS q01, round(min(CASE WHEN upto >= 0.99 * n THEN greatest(low, cell * pow(2.0, e)) END), 6) AS q99 FROM u GROUP BY key, dim"""
+
+
+@query("WITH {traj}, " + LONG + ", " + GRID)
+def agg2_merged_quantiles(spark, d):
+    """Histograms of parts by type of event, merged: as when data is added. Equal to that of the whole."""
+    from kinelake.operators import quantiles as Q
+
+    x = F.array("value", F.col("k").cast("double"))
+    parts = [Q.grid_histogram(A.dimensions(traj(spark, d).filter(F.col("event_type") == t).select(x.alias("x")), {"actions": F.col("x")})) for t in ("click", "view", "error", "signup", "purchase")]
+    merged = Q.merged_grids(reduce(DataFrame.unionByName, parts))
+    return Q.grid_quantiles(merged, {"q01": 0.01, "q99": 0.99}).withColumns({"q01": r6("q01"), "q99": r6("q99")})
+
+
 @query("WITH {traj}, n AS (SELECT episode, max(t) AS last FROM traj GROUP BY episode), rows AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM traj),\n"
        "kept AS (SELECT * FROM rows JOIN n USING (episode) WHERE pos < (SELECT count(*) FROM traj) // 64 * 64),\n"
        "c AS (SELECT b.value AS v0, b.k::DOUBLE AS v1 FROM kept a, range(4) k(k), traj b WHERE b.episode = a.episode AND b.t = least(a.t + k.k, a.last)),\n"
@@ -103,13 +121,13 @@ def agg9_per_suite(spark, d):
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, " + ", ".join(f"round(quantile_cont(value, 0.{p}), 6) AS p{p}" for p in (25, 50, 75, 90, 95, 99)) + " FROM events GROUP BY 1")
 def agg10_latency_quantiles(spark, d):
-    q = table(spark, d, "events").groupBy("event_type").agg(*A.latency_quantiles("value"))
+    q = A.latency_quantiles(table(spark, d, "events"), "event_type", "value")
     return q.select("event_type", *(r6(c).alias(c) for c in q.columns[1:]))
 
 
 @query("SELECT event_id % 5003 AS grp, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS low, max(value) AS high, round(coalesce(stddev_samp(value), 0), 6) AS std, round(1000 / avg(value), 6) AS hz FROM events GROUP BY 1")
 def agg11_latency_summary(spark, d):
-    q = table(spark, d, "events").groupBy((F.col("event_id") % 5003).alias("grp")).agg(*A.latency_summary("value"))
+    q = A.latency_summary(table(spark, d, "events").select((F.col("event_id") % 5003).alias("grp"), "value"), "grp", "value")
     return q.withColumns({c: r6(c) for c in ("mean", "median", "std", "hz")})
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kinelake.operators import joins as J
-from kinelake.plans.registry import long, query, table, traj
+from kinelake.plans.registry import exploded, long, query, table, traj
 
 
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, p_name AS prompt, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3")
@@ -74,6 +74,18 @@ def join11_once_each(spark, d):
     return J.once_each(p, "p_name", lambda t: t.withColumn("n", long(F.char_length("p_name")))).select("p_partkey", "p_name", "n")
 
 
+@query("""WITH {traj}, e AS (SELECT episode, t, event_id, value, epoch_us(ts) AS us FROM traj),
+lim AS (SELECT episode, min(us) AS lo, max(us) AS hi, arg_min(value, {'u': us, 'i': event_id}) AS first, arg_min(value, {'u': -us, 'i': event_id}) AS last FROM e GROUP BY episode),
+x AS (SELECT e.*, lim.* EXCLUDE (episode), pos, us + off AS target FROM e JOIN lim USING (episode), (VALUES (0, -172800000000), (1, 0), (2, 90000000000)) o(pos, off)),
+near AS (SELECT x.event_id, x.pos, arg_min(b.value, {'d': abs(b.us - target), 'u': b.us, 'i': b.event_id}) AS v FROM x JOIN e b ON b.episode = x.episode AND abs(b.us - target) <= 43200000000 GROUP BY 1, 2)
+SELECT episode, t, pos::BIGINT AS pos, CASE WHEN target < lo - 43200000000 THEN first WHEN target > hi + 43200000000 THEN last ELSE v END AS value, target < lo - 43200000000 OR target > hi + 43200000000 AS pad
+FROM x LEFT JOIN near USING (event_id, pos)""")
+def join12_at_times(spark, d):
+    """Two days before, now, and 25 hours later, with half a day of tolerance: stamps are irregular and have gaps."""
+    f = J.at_times(traj(spark, d), [-172800, 0, 90000], "value", tolerance=43200, tie="event_id")
+    return exploded(f, "values", "episode", "t").select("episode", "t", "pos", "v.value", "v.pad")
+
+
 @query("WITH {traj} SELECT episode, t, lead(value, 3) OVER (PARTITION BY episode ORDER BY t) AS ahead FROM traj")
 def join12_time_offset(spark, d):
     return J.time_offset(traj(spark, d).select("episode", "t", "value"), 3, "value").select("episode", "t", "ahead")

@@ -5,9 +5,19 @@ from pyspark.sql import functions as F
 
 from kinelake.operators import sampling as S
 from kinelake.operators.aggregates import category_rank, dense_positions
+from kinelake.operators.scans import segmented_scan, total
 from kinelake.plans.queries.window import ORDER, episode_order
 from kinelake.plans.registry import long, query, table, traj, vectors
 
+WEIGHTS = {"click": 0.4, "view": 0.3, "error": 0.15, "signup": 0.1, "purchase": 0.05}
+
+
+def placed_events(spark, d):
+    """Events with their place in their dataset; a dataset may hold most rows."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("dataset"), "event_id", F.lit(1).cast("long").alias("one"))
+    return segmented_scan(e, ["dataset"], ["event_id"], {"pos": total("one")}).select("dataset", "event_id", F.coalesce("pos", F.lit(0).cast("long")).alias("pos"))
+
+
 KEY = "(event_id * 7919 + 42 * 104729 + event_id % 97 * 15485863) % 2147483647"
 
 
@@ -34,9 +44,30 @@ def ord3_shuffled(spark, d):
 q AS (SELECT *, round_even(total * CASE dataset WHEN 'click' THEN 0.4 WHEN 'view' THEN 0.3 WHEN 'error' THEN 0.15 WHEN 'signup' THEN 0.1 ELSE 0.05 END::DOUBLE, 0)::BIGINT AS quota FROM p)
 SELECT dataset, event_id, e AS epoch FROM q, LATERAL (SELECT unnest(range(0, ceil((quota - pos) / size)::BIGINT)) AS e) WHERE quota > pos""")
 def ord4_quota_mixture(spark, d):
-    pos = long(F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1)
-    e = table(spark, d, "events").select(F.col("event_type").alias("dataset"), "event_id", pos.alias("pos"))
-    return S.quota_mixture(e, {"click": 0.4, "view": 0.3, "error": 0.15, "signup": 0.1, "purchase": 0.05}, 2 * e.count()).select("dataset", "event_id", "epoch")
+    e = placed_events(spark, d)
+    return S.quota_mixture(e, WEIGHTS, 2 * e.count()).select("dataset", "event_id", "epoch")
+
+
+@query("""WITH RECURSIVE q AS (SELECT [8, 6, 3, 2, 1] AS q, ['click', 'view', 'error', 'signup', 'purchase'] AS names),
+turns AS (SELECT 0 AS n, [0, 0, 0, 0, 0] AS a, 0 AS pick UNION ALL
+  SELECT n + 1, list_transform(a, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
+    SELECT n, a, list_position(s, list_max(s)) AS p FROM (
+      SELECT n, a, list_transform(a, lambda x, i: CASE WHEN x * 20 < q[i] * (n + 1) THEN q[i]::DOUBLE / (x + 1) ELSE -1.0 END) AS s FROM turns, q WHERE n < 20))),
+slots AS (SELECT names[pick] AS dataset, n - 1 AS slot, q[pick] AS quota, row_number() OVER (PARTITION BY pick ORDER BY n) - 1 AS nth FROM turns, q WHERE n > 0),
+p AS (SELECT event_type AS dataset, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS size, 2 * count(*) OVER () AS total FROM events),
+k AS (SELECT dataset, event_id, e AS epoch, e * size + pos AS k, total FROM p, LATERAL (SELECT unnest(range(0, 2 * total // size + 1)) AS e))
+SELECT dataset, event_id, epoch, k // quota * 20 + slot AS place FROM k JOIN slots USING (dataset) WHERE nth = k % quota AND k // quota * 20 + slot < total""")
+def ord4_interleaved(spark, d):
+    e = placed_events(spark, d)
+    return S.interleaved(e, WEIGHTS, 2 * e.count()).select("dataset", "event_id", "epoch", "place")
+
+
+@query("SELECT count(*) AS n, sum(place)::BIGINT AS total, true AS near FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS place FROM events)")
+def ord3_buffered(spark, d):
+    """A shuffle as by a buffer of 1000 rows: all rows are there, and none is 1000 places or more from its own."""
+    places = dense_positions(table(spark, d, "events").select("event_id"), "event_id").withColumnRenamed("pos", "place")
+    new = dense_positions(S.buffered(places, 1000, 42), ["at", "place"])
+    return new.agg(F.count("*").alias("n"), F.sum("place").alias("total"), (F.max(F.abs(F.col("pos") - F.col("place"))) < 1000).alias("near"))
 
 
 @query("SELECT s_suppkey, e AS epoch FROM supplier, range(3) r(e)")
@@ -88,9 +119,9 @@ def ord14_sample_k(spark, d):
 
 @query("SELECT vec_id, arg_min(c, {'e': round(list_sum(list_transform(embedding::DOUBLE[], lambda v: abs(v - c / 64.0))), 9), 'c': c})::BIGINT AS best FROM embeddings, range(-64, 65) r(c) GROUP BY vec_id")
 def ord15_nearest_candidate(spark, d):
-    v = vectors(spark, d).select("vec_id", "x", F.explode(F.sequence(F.lit(-64).cast("long"), F.lit(64).cast("long"))).alias("best"))
-    error = F.round(F.aggregate("x", F.lit(0.0), lambda s, x: s + F.abs(x - F.col("best") / 64.0)), 9)
-    return S.nearest_candidate(v.select("vec_id", "best", error.alias("e")), "vec_id", "best", "e")
+    candidates = F.sequence(F.lit(-64).cast("long"), F.lit(64).cast("long"))
+    error = lambda c: F.round(F.aggregate("x", F.lit(0.0), lambda s, x: s + F.abs(x - c / 64.0)), 9)
+    return vectors(spark, d).select("vec_id", S.nearest_candidate(candidates, error).alias("best"))
 
 
 @query("SELECT name, levenshtein(name, 'NATION_11x')::BIGINT AS distance FROM (SELECT n_name AS name FROM nation) ORDER BY 2, 1 LIMIT 1")

@@ -69,11 +69,11 @@ def episode_order(spark, d):
 
 
 @query("WITH {traj}, " + ORDER + """ SELECT episode, t, new_episode, t AS frame_index,
-(sum(length) OVER (ORDER BY new_episode RANGE UNBOUNDED PRECEDING) - length + t)::BIGINT AS index
-FROM (SELECT DISTINCT episode, new_episode, length FROM ord) o JOIN (SELECT episode, t FROM traj WHERE t = 0) USING (episode)""")
+(before + t)::BIGINT AS index
+FROM (SELECT episode, new_episode, sum(length) OVER (ORDER BY new_episode) - length AS before FROM ord) o JOIN (SELECT episode, t FROM traj) USING (episode)""")
 def win5_reindex(spark, d):
     order = episode_order(spark, d)
-    return windows.reindex(traj(spark, d).select("episode", "t"), order.select("episode", "new_episode")).filter("t = 0").select("episode", "t", "new_episode", "frame_index", "index")
+    return windows.reindex(traj(spark, d).select("episode", "t"), order.select("episode", "new_episode")).select("episode", "t", "new_episode", "frame_index", "index")
 
 
 @query("WITH {traj}, ep AS (SELECT episode, count(*) AS length FROM traj GROUP BY episode), o AS (SELECT *, sum(length) OVER (ORDER BY episode) - length AS off FROM ep)\n"
@@ -138,6 +138,16 @@ def win14_causal_mask(spark, d):
     return windows.causal_mask(tokens(spark, d))
 
 
+@query("WITH {traj}, " + TOKENS + ", c AS (SELECT *, sum(ar) OVER (PARTITION BY seq ORDER BY pos) AS b FROM tok), e AS (SELECT seq, b, max(pos) + 1 AS e FROM c GROUP BY 1, 2) SELECT seq, pos AS i, CASE WHEN e > (SELECT max(pos) FROM c y WHERE y.seq = c.seq) THEN -1 ELSE e END AS \"end\", valid FROM c JOIN e USING (seq, b)")
+def win14_causal_prefixes(spark, d):
+    return windows.causal_prefixes(tokens(spark, d)).withColumn("end", F.coalesce("end", F.lit(-1).cast("long")))
+
+
+@query("WITH {traj}, " + TOKENS + ", c AS (SELECT *, sum(ar) OVER (PARTITION BY seq ORDER BY pos) AS b FROM tok) SELECT x.seq, x.pos AS i, y.pos AS j FROM c x JOIN c y ON x.seq = y.seq WHERE y.b <= x.b AND x.valid AND y.valid")
+def win14_expanded_mask(spark, d):
+    return windows.expand_mask(windows.causal_prefixes(tokens(spark, d)), windows.valid_runs(tokens(spark, d)))
+
+
 @query("WITH {traj}, " + TOKENS + " SELECT seq, pos, (sum(CASE WHEN valid THEN 1 ELSE 0 END) OVER (PARTITION BY seq ORDER BY pos) - 1)::BIGINT AS position_id FROM tok")
 def win15_position_ids(spark, d):
     return windows.position_ids(tokens(spark, d)).select("seq", "pos", "position_id")
