@@ -17,10 +17,12 @@ query gives the same records.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -42,6 +44,8 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    # Commits by rename: the other manager starts processes for each of the many small files where Hadoop has no native library.
+    "spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager",
 }
 
 
@@ -155,6 +159,8 @@ def revised_panes(rows: DataFrame, batches: int, *, due: int = DUE, closed: int
     """
     spark = rows.sparkSession
     common.prepare(spark)
+    # The operators go along as they are: the driver's worker, which sets up their state, doesn't see files sent to executors.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     root = common.new_path(spark, "panes")
     shard = F.pmod(F.xxhash64("click_id", "hour", "kind"), F.lit(shards)).cast("int")
     zero = F.lit(0)
