@@ -9,7 +9,12 @@ all tiles of that length are marked at once, so texts that repeat one word cost
 no more than others. As tiles may come in any order, reordered passages are
 found as well. The share of the item's words under tiles is its coverage.
 
-The benchmark is cut into blocks of about ``BLOCK_BYTES`` by a hash of its ids.
+Every window of a seed's length inside a tile is a shared seed, so the words of
+an item under shared seeds are a bound of its coverage. Pairs are tiled only
+where that reaches what is asked for, so openings that many items share cost
+little.
+
+The benchmark is cut into blocks of about ``BLOCK_BYTES`` by a hash of ids and texts.
 One at a time is broadcast; the documents are scanned once for each block. A
 benchmark of any size is thus covered in full, memory holds a block, and
 documents never move.
@@ -91,38 +96,60 @@ class Index:
         self.number: dict[str, int] = {}
         self.ids = [item for item, _ in items]
         self.items = {}  # by place in the block, as ids may repeat or lack
-        self.seeds: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
+        places: dict[int, list[tuple]] = defaultdict(list)  # by the seed's length: hashes, items, and where in the item
         for item, (_, text) in enumerate(items):
             words = [self.number.setdefault(w, len(self.number) + 1) for w in _WORDS((text or "").lower())]
             if words:
                 self.items[item] = own = np.array(words, np.uint64)
                 k = min(SEED, len(own))
-                for h in common.gram_hashes(own, k).tolist():
-                    self.seeds[k][h].add(item)
-        self.sorted = {k: np.sort(np.fromiter(x, np.uint64, len(x))) for k, x in self.seeds.items()}
+                grams = common.gram_hashes(own, k)
+                places[k].append((grams, np.full(len(grams), item), np.arange(len(grams))))
+        self.seeds = {}
+        for k, found in places.items():
+            grams, item, at = map(np.concatenate, zip(*found, strict=True))
+            order = np.lexsort((at, item, grams))
+            hashes, first = np.unique(grams[order], return_index=True)
+            self.seeds[k] = hashes, np.r_[first, len(order)], item[order], at[order]
+
+    def reached(self, item: np.ndarray, place: np.ndarray, k: int, least: float) -> list[int]:
+        """The items of which shared seeds (item, where in it) lie over a share of ``least`` or more."""
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        begins = np.r_[True, item[1:] != item[:-1]]
+        gap = np.r_[np.where(begins[1:], k, np.minimum(place[1:] - place[:-1], k)), k]  # words under a seed before the next one starts
+        first = np.flatnonzero(begins)
+        words = np.add.reduceat(gap, first)
+        sizes = np.array([len(self.items[i]) for i in item[first].tolist()])
+        return item[first][words >= least * sizes - 1e-9].tolist()
 
     def covered(self, text: str, least: float) -> list[tuple]:
         """(item, coverage, tiles) of the items of which ``text`` covers a share of ``least`` or more."""
         get = self.number.get
         doc = np.array([get(w, 0) for w in _WORDS(text.lower())], np.uint64)
-        hits: dict[object, list] = defaultdict(list)  # item: where its seeds start, and their length
-        for k, own in self.sorted.items():
-            if len(doc) >= k:
-                grams = common.gram_hashes(doc, k)
-                at = np.minimum(np.searchsorted(own, grams), len(own) - 1)
-                start = np.flatnonzero(own[at] == grams)
-                values, number = np.unique(grams[start], return_inverse=True)
-                for x, h in enumerate(values.tolist()):
-                    for item in self.seeds[k][h]:
-                        hits[item].append((start[number == x], k))
+        hits: dict[int, tuple] = {}  # item: where its seeds start in the document, and their length
+        for k, (hashes, first, item_of, place) in self.seeds.items():
+            if len(doc) < k:
+                continue
+            grams = common.gram_hashes(doc, k)
+            at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+            start = np.flatnonzero(hashes[at] == grams)
+            if not len(start):
+                continue
+            seed = at[start]
+            shared = np.unique(seed)
+            sizes = first[shared + 1] - first[shared]
+            entry = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - first[shared], sizes)
+            for item in self.reached(item_of[entry], place[entry], k, least):
+                own = np.isin(grams[start], common.gram_hashes(self.items[item], k))
+                hits[item] = start[own], k
         found = []
         for item in sorted(hits):
             own = self.items[item]
             # Only words under seeds can be in tiles; a 0 parts those that aren't neighbours.
             near = np.zeros(len(doc) + 2, np.int64)
-            for start, k in hits[item]:
-                near[start] += 1
-                near[start + k] -= 1
+            start, k = hits[item]
+            near[start] += 1
+            near[start + k] -= 1
             inside = near.cumsum()[:-1] > 0
             doc0 = np.r_[doc, np.uint64(0)]
             keep = inside | np.r_[False, inside[:-1]]
@@ -150,7 +177,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     blocks = -(-size // BLOCK_BYTES)
 
     def scan(block: int) -> DataFrame:
-        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES
         shared = spark.sparkContext.broadcast([tuple(r) for r in own])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
