@@ -13,6 +13,10 @@ and each is scanned as a sequence of its own. A suspect's sum is weighed by how
 often text under its words is main text, as learned from the labelled pages, and
 by its part of the page: if its region wins all the same, it was the article's
 frame after all, and the page is scanned again with it as an ordinary element.
+
+The region may miss the ends of an article, where lines are short or linked. So it
+is extended to the ends of an element that encloses most of it, if that is an
+article by name, or if it holds a few words more than the region.
 """
 
 from __future__ import annotations
@@ -47,6 +51,8 @@ VOID = {*"area base br col embed hr img input link meta param source track wbr".
 INLINE = {*"a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()}
 #: Start tags that end an open element of the same kind.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that are an article by name, and those that are the page itself.
+ARTICLES, PAGE = {"article", "main"}, {"", "html", "body"}
 #: Never a suspect.
 FRAMES = {"html", "body", "main"}
 
@@ -68,6 +74,15 @@ def telling_words(name: str, attributes: str, in_article: bool) -> frozenset[str
     return frozenset(found)
 
 
+class Element:
+    """An open element of the page, but inline ones."""
+
+    __slots__ = ("name", "parent", "depth")
+
+    def __init__(self, name: str, parent: Element | None):
+        self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
+
+
 class Suspect:
     """An element that the page is scanned without; ``words`` is empty if it can't hold main text at all.
 
@@ -86,20 +101,20 @@ class Suspect:
             s = s.parent
 
 
-def tokens(page: str, cleared: frozenset[int] = frozenset()) -> Iterator[tuple[str, str, Suspect | None]]:
-    """(kind, text, innermost suspect): kind names a tag, or a text's block, with ``+a`` if linked.
+def tokens(page: str, cleared: frozenset[int] = frozenset()) -> Iterator[tuple[str, str, Suspect | None, Element]]:
+    """(kind, text, innermost suspect, innermost element): kind names a tag, or a text's block, with ``+a`` if linked.
 
     ``cleared``: where elements start that aren't suspects. The state of the
     element that is open is kept on the stack, so a token costs the same at any depth.
     """
-    # Name, block, whether linked, whether in an article, suspect.
-    stack: list[tuple[str, str, bool, bool, Suspect | None]] = [("", "body", False, False, None)]
+    # Name, block, whether linked, whether in an article, suspect, element.
+    stack: list[tuple[str, str, bool, bool, Suspect | None, Element]] = [("", "body", False, False, None, Element("", None))]
     open_names: Counter[str] = Counter()
     at, n = 0, len(page)
 
     def text(s: str):
-        _, block, linked, _, suspect = stack[-1]
-        return f"w:{block}" + "+a" * linked, html.unescape(s), suspect
+        _, block, linked, _, suspect, element = stack[-1]
+        return f"w:{block}" + "+a" * linked, html.unescape(s), suspect, element
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -119,21 +134,21 @@ def tokens(page: str, cleared: frozenset[int] = frozenset()) -> Iterator[tuple[s
                     open_names[shut] -= 1
                     if shut == name:
                         break
-            yield f"t:{name}", "", stack[-1][4]
+            yield f"t:{name}", "", stack[-1][4], stack[-1][5]
             continue
         while stack[-1][0] in CLOSES.get(name, ()):
             open_names[stack.pop()[0]] -= 1
-        _, block, linked, in_article, suspect = stack[-1]
+        _, block, linked, in_article, suspect, element = stack[-1]
         if name in OUTSIDE:
             suspect = Suspect(m.start(), name, frozenset(), suspect)
         elif m.start() not in cleared and (words := telling_words(name, m[3], in_article)):
             suspect = Suspect(m.start(), name, words, suspect)
-        yield f"t:{name}", "", suspect
+        yield f"t:{name}", "", suspect, element
         if name in RAW:  # to its end tag, or to the end of the page
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else n
         elif name not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((name, block if name in INLINE else name, linked or name == "a", in_article or name in ("article", "main"), suspect))
+            stack.append((name, block if name in INLINE else name, linked or name == "a", in_article or name in ("article", "main"), suspect, element if name in INLINE else Element(name, element)))
             open_names[name] += 1
 
 
@@ -146,7 +161,7 @@ def weights() -> tuple[dict[str, float], dict[str, float]]:
     inside, other, under, main_under = Counter(), Counter(), Counter(), Counter()
     for page in PAGES:
         mark = None
-        for kind, s, suspect in tokens(page):
+        for kind, s, suspect, _ in tokens(page):
             if kind == "t:main-":
                 mark = page.index("<main->") if mark is None else -1
                 continue
@@ -166,6 +181,8 @@ def weights() -> tuple[dict[str, float], dict[str, float]]:
 
 #: Of words and tags that the labelled pages lack; of a whole element that is left out.
 WORD, TAG, LEFT_OUT = 0.5, -0.5, -1.0
+#: An element that encloses so much of the region's words may extend it; one that isn't an article by name, by so many words.
+ENCLOSED, MORE = 0.8, 8
 #: Words that count beside those seen under a telling word; the weighed sums that a suspect and a reader's comment need.
 UNSEEN, LEAST, LEAST_COMMENT = 50, 0.15, 1.0
 
@@ -176,17 +193,69 @@ class Scan:
     def __init__(self):
         self.found, self.run, self.start, self.sum, self.best = [], 0.0, 0, 0.0, (0, 0)
 
-    def add(self, score: float, kind: str, s: str) -> None:
-        self.found.append((kind, s))
+    def add(self, score: float, kind: str, s: str, element: Element) -> None:
+        self.found.append((kind, s, element))
         self.run += score
         if self.run <= 0:
             self.run, self.start = 0.0, len(self.found)
         elif self.run > self.sum:
             self.sum, self.best = self.run, (self.start, len(self.found))
 
+    def extended(self) -> tuple[int, int]:
+        """The best region, to the ends of what it is the main part of.
+
+        Of the elements around most of the region, the innermost article by name
+        gives its ends; without one, every element that adds a few words, most of
+        them not linked.
+        """
+        start, end = self.best
+        inside, all_words, linked = Counter(), Counter(), Counter()
+        for i, (kind, s, element) in enumerate(self.found):
+            if kind[0] == "w" and (n := len(s.split())):
+                all_words[element] += n
+                linked[element] += n * kind.endswith("+a")
+                inside[element] += n * (start <= i < end)
+        words = sum(inside.values())
+        if not words:
+            return start, end
+        parents, todo = set(), list(all_words)
+        while todo:
+            element = todo.pop()
+            if element not in parents:
+                parents.add(element)
+                if element.parent:
+                    todo.append(element.parent)
+        for element in sorted(parents, key=lambda e: -e.depth):
+            if element.parent:
+                for sums in (inside, all_words, linked):
+                    sums[element.parent] += sums[element]
+        around = max((e for e in parents if inside[e] >= ENCLOSED * words), key=lambda e: e.depth)
+        whole = None
+        while around and around.name not in PAGE:
+            if around.name in ARTICLES:
+                whole = around
+                break
+            if all_words[around] - inside[around] <= MORE and 2 * linked[around] <= all_words[around]:
+                whole = around
+            around = around.parent
+        if whole is None:
+            return start, end
+        own = {whole: True}
+        for i, (kind, _, element) in enumerate(self.found):
+            path = []
+            while element and element not in own and element.depth > whole.depth:
+                path.append(element)
+                element = element.parent
+            is_own = bool(element) and own.get(element, False)
+            own.update(dict.fromkeys(path, is_own))
+            if is_own and kind[0] == "w":
+                start, end = min(start, i), max(end, i + 1)
+        return start, end
+
     def text(self) -> str:
         parts = []
-        for kind, s in self.found[self.best[0] : self.best[1]]:
+        start, end = self.extended()
+        for kind, s, _ in self.found[start:end]:
             if kind[0] == "w":
                 parts.append(s)
             elif kind[2:] not in INLINE:
@@ -198,13 +267,13 @@ def scans(page: str, cleared: frozenset[int]) -> dict[Suspect | None, Scan]:
     """A scan of the page and of each suspect, without the suspects inside."""
     known, _ = weights()
     found: dict[Suspect | None, Scan] = {None: Scan()}
-    for kind, s, suspect in tokens(page, cleared):
+    for kind, s, suspect, element in tokens(page, cleared):
         scan = found.get(suspect)
         if scan is None:
             scan = found[suspect] = Scan()
-            found.setdefault(suspect.parent, Scan()).add(LEFT_OUT, f"t:{suspect.name}", "")  # so that an advert doesn't part an article
+            found.setdefault(suspect.parent, Scan()).add(LEFT_OUT, f"t:{suspect.name}", "", element)  # so that an advert doesn't part an article
         if suspect is None or suspect.words:
-            scan.add(len(s.split()) * known.get(kind, WORD) if kind[0] == "w" else known.get(kind, TAG), kind, s)
+            scan.add(len(s.split()) * known.get(kind, WORD) if kind[0] == "w" else known.get(kind, TAG), kind, s, element)
     return found
 
 
