@@ -73,7 +73,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often: ``copies``, in place of a column of that name. Documents of one hash go together."""
+    """The documents that the mix takes, with how often: ``copies``, in place of a column of that name."""
     return mixed(docs)
 
 
