@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kinelake.operators import windows
 from kinelake.plans.registry import query, r6, table, traj
 from kinelake.sources import shared
+from kinelake.streaming import brokers as B
 from kinelake.streaming import sessions as S
 
 
@@ -65,6 +66,31 @@ def stm1_stream_broker(spark, d):
     return spark.read.schema("session bigint, t bigint, position bigint, infers boolean").parquet(path)
 
 
+@query("WITH {traj} SELECT episode AS session, t, (t + episode % 5) % 5 AS position, (t + episode % 5) % 5 = 0 AS infers FROM traj")
+def stm1_session_broker(spark, d):
+    """Sessions that go on from a table, over a stream in event time; a last stamp lets all that waits go."""
+    steps = traj(spark, d).select(F.col("episode").alias("session"), "t", F.col("ts").cast("timestamp").alias("ts"))
+    begun = shared.staged(steps.select("session").distinct().withColumn("n", F.col("session") % 5), "begun")
+    path, out, state = (shared.new_path(spark, x) for x in ("steps", "brokered", "state"))
+    steps.write.parquet(path)
+    end = steps.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(F.lit(-1).cast("long").alias("session"), F.lit(0).cast("long").alias("t"), "ts")
+
+    def run():
+        stream = spark.readStream.schema(steps.schema).parquet(path)
+        q = B.session_broker(stream, 5, idle_ms=10**12, initial=begun)
+        q.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    before = spark.conf.get(B.STATE_STORE[0])
+    spark.conf.set(*B.STATE_STORE)
+    try:
+        run()
+        end.write.mode("append").parquet(path)
+        run()
+    finally:
+        spark.conf.set(B.STATE_STORE[0], before)
+    return spark.read.schema("session bigint, t bigint, position bigint, infers boolean").parquet(out).filter("session >= 0")
+
+
 @query("WITH {traj} SELECT 'value' AS key, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM traj")
 def stm5_stm7_stream_stats(spark, d):
     """Statistics of a stream, merged after each micro-batch."""

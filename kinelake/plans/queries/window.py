@@ -13,6 +13,17 @@ def win1_action_chunks(spark, d):
     return exploded(windows.action_chunks(traj(spark, d), 8, action="value"), "chunk", "episode", "t")
 
 
+@query("""WITH {traj}, n AS (SELECT episode, max(t) AS last FROM traj GROUP BY episode)
+SELECT a.episode, a.t, k.k AS pos, b.value AS v FROM traj a JOIN n USING (episode), (SELECT unnest(range(8)) AS k) k, traj b
+WHERE b.episode = a.episode AND b.t = least(a.t + k.k, n.last)""")
+def win1_trajectory_chunks(spark, d):
+    """The same by a function of the episode, which sees it as a stream of batches."""
+    from kinelake.operators.trajectories import chunker, trajectory_map
+
+    f = trajectory_map(traj(spark, d).select("episode", "t", "value"), chunker(8, "value"), "episode bigint, t bigint, chunk array<double>")
+    return exploded(f, "chunk", "episode", "t")
+
+
 #: Movement in coarse steps, so that there are idle frames; rounding keeps halves out.
 MOVES = "array(floor(value / 60), floor(k / 50))"
 IDLE = """moves AS (SELECT episode, t, floor(value / 60) AS a, floor(k / 50) AS b FROM traj),
