@@ -854,3 +854,74 @@ def test_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(names, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
     assert math.isfinite(len(names))
+
+
+# What the rules of earlier rounds left open.
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "own"])
+def test_mixing_without_ids_comes_near_its_targets(spark, ids):
+    """Ids that lack or repeat, and texts that repeat, some in a third of all rows."""
+    texts = ["same words in every row"] * 400 + [sentence(3 + i % 5, i) for i in range(800)]
+    rows = [(None if ids == "null" else 1 if ids == "one" else i, t, "en", "aabbccd"[i % 7]) for i, t in enumerate(texts)]
+    df = table(spark, rows).repartition(3)
+    sized = mixing.mix_sources(df).collect()
+    taken = defaultdict(int)
+    for r in sized:
+        taken[r["source_size"], r["target"]] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    assert len(sized) == len(rows) and len(taken) == 4
+    for (_, target), n in taken.items():
+        assert abs(n - target) <= 3.5  # half of the longest text, which a row either takes or leaves
+    whole = mixing.mixed(df)
+    assert whole.select(F.sum(F.col("copies") * F.size(F.split("text", " ")))).first()[0] == sum(r["taken"] for r in sized)
+    again = Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_sources(df.repartition(5)).collect())
+    assert again == Counter((r["doc_id"], r["size"], r["taken"]) for r in sized)
+
+
+def test_items_with_one_opening_cost_little():
+    import time
+
+    rng = np.random.default_rng(5)
+    opening, words_ = "choose the one correct answer from the list below ", [f"w{i}" for i in range(3000)]
+    items = [(i, opening + " ".join(rng.choice(words_, 20))) for i in range(5000)]
+    index = decontamination.Index(items)
+    doc = opening + " ".join(rng.choice(words_, 400))
+    start = time.time()
+    assert index.covered(doc, 0.5) == []
+    assert time.time() - start < 0.5
+    (found,) = index.covered(doc + " " + items[7][1].removeprefix(opening), 0.5)
+    assert found[0] == 7
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abc ", max_size=30), min_size=1, max_size=4), st.text("abc ", max_size=60), st.sampled_from([0.3, 0.5, 1.0]))
+def test_the_bound_by_seeds_loses_nothing(items, doc, least):
+    index = decontamination.Index(list(enumerate(items)))
+    assert index.covered(doc, least) == [x for x in index.covered(doc, 0.0) if x[1] >= least]
+
+
+MAIN = "The rain that fell in the hills on Sunday night filled the small river so quickly that two of its bridges were closed."
+MENU = '<nav><ul><li><a href="/">Home</a></li><li><a href="/w">World</a></li></ul></nav><div class="menu"><a href="/1">One</a><a href="/2">Two</a></div>'
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<article><header><h1>Rain</h1><span>By</span> <span>Jo</span></header><p>{MAIN}</p></article>", f"Rain By Jo {MAIN}"),
+        (f'<article><p><a href="/x">Weather desk</a></p><p>{MAIN}</p></article>', f"Weather desk {MAIN}"),
+        (f'<article><p>{MAIN}</p><h2>Sources</h2><ul><li><a href="/a">Water office</a></li><li><a href="/b">Town hall</a></li></ul></article>', f"{MAIN} Sources Water office Town hall"),
+        (f'<div class="story"><div><div>{MAIN}</div><hr><div>End.</div></div></div>', f"{MAIN} End."),
+        (f'<div class="story"><div><div>{MAIN}<br><br><br><br>Ends.</div></div></div>', f"{MAIN} Ends."),
+        (f'<div id="page"><div><a href="/1">A</a> | <a href="/2">Other news of today</a> | <a href="/3">Contact us here</a></div><div class="x"><h1>Rain</h1><p>{MAIN}</p></div><div><a href="/5">Up to the top</a></div></div>', f"Rain {MAIN}"),
+        (f'<article><div class="ad">Buy two now.</div><p>{MAIN}</p><aside>More</aside><p>Ends.</p><div class="comments"><p>First!</p></div></article>', f"{MAIN} Ends."),
+    ],
+)
+def test_articles_keep_their_ends(body, text):
+    assert html_extraction.main_text(f"<html><body>{MENU}{body}<footer>&copy; Press</footer></body></html>") == text
+
+
+def test_folds_are_never_null(spark):
+    """Without an id a document isn't held out."""
+    df = spark.createDataFrame([(None,), (1,)], "doc_id long")
+    assert {r[0] for r in df.select(language.held_out_fold(F.col("doc_id"))).collect()} <= {True, False}

@@ -13,7 +13,8 @@ SQL = queries.oracle_sql()
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    con.execute("SET TimeZone = 'UTC'")
+    for t in ("documents", "pages", "benchmark", "clicks"):
         path = f"{sf_dir}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     cur = con.execute(SQL[name])
