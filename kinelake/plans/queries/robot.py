@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from kinelake.plans import robots
 from kinelake.plans.registry import query, r6, vectors
 
-IMAGE = F.struct(F.lit(480).alias("height"), F.lit(640).alias("width"), F.unhex(F.lit("0a0b0c")).alias("data"))
+def sized_image():
+    return F.struct(F.lit(480).alias("height"), F.lit(640).alias("width"), bytes_of(3).alias("data"))
 
 
 def stats(dims):
@@ -72,7 +73,7 @@ def pipe6_droid_round_trip(spark, d):
 def pipe7_aloha_round_trip(spark, d):
     """Two arms, one wrist camera, deltas, flipped joints, and grippers that leave and return by different ways."""
     own = F.array(F.slice("x", 1, 14), F.slice("x", 2, 14))
-    o = F.struct(F.struct(IMAGE.alias("top")).alias("images"), F.slice("x", 1, 14).alias("state"))
+    o = F.struct(F.struct(sized_image().alias("top")).alias("images"), F.slice("x", 1, 14).alias("state"))
     s = vectors(spark, d).select("vec_id", o.alias("observation"), own.alias("action"), F.lit("fold").alias("prompt"))
     config = robots.robot_config("aloha", "flow_state", stats(14))
     got = s.transform(config.training())

@@ -68,3 +68,16 @@ def test_masks_of_long_episodes_are_whole(spark):
     e.write.parquet(f"{d}/events.parquet")
     got = sorted(tuple(r) for r in QUERIES["str6_masks"](spark, d).collect())
     assert got == [(u, t, int(t >= 10), int(t >= 10)) for u, n in ((1, 10_020), (2, 3)) for t in range(n)]
+
+
+FEW = r"(?:dim|key|dataset|suite|event_type|name|g)#\d+L?"
+
+
+@pytest.mark.parametrize("name", ["agg2_histogram_quantiles", "agg4_norm_stats_job", "agg10_latency_quantiles", "ord4_quota_mixture", "ord4_interleaved", "int1_merge", "int2_complement", "int3_coverage", "ord15_nearest_candidate"])
+def test_few_keys_gather_no_rows(spark, sf_dir, name, monkeypatch):
+    """What is dealt out by a key of few values alone is summed up already, so no task gets a key's rows."""
+    monkeypatch.setattr(aggregates, "RANGE_ROWS", 4)
+    lines = plan(QUERIES[name](spark, sf_dir)).splitlines()
+    for line, below in zip(lines, lines[1:], strict=False):
+        if re.search(rf"Exchange hashpartitioning\({FEW}(?:, {FEW})*, \d+\)", line):
+            assert "Aggregate" in below, f"{line}\n{below}"
