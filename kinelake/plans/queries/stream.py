@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kinelake.operators import windows
+from kinelake.plans.queries.aggregate import GRID
 from kinelake.plans.registry import query, r6, table, traj
 from kinelake.sources import shared
 from kinelake.streaming import brokers as B
@@ -102,6 +103,19 @@ def stm5_stm7_stream_stats(spark, d):
     return spark.createDataFrame([("value", n, round(mean, 6), round(std, 6))], "key string, n bigint, mean double, std double")
 
 
+@query("WITH {traj}, l AS (SELECT 'value' AS key, 0 AS dim, value AS v FROM traj), " + GRID)
+def stm7_stream_quantiles(spark, d):
+    """Quantiles over a stream of several micro-batches, merged after each, by two queries one after the other."""
+    values = traj(spark, d).select(F.lit("value").alias("key"), F.lit(0).cast("long").alias("dim"), "value")
+    path, state = shared.new_path(spark, "values"), shared.new_path(spark, "state")
+    grids = S.StreamQuantiles(shared.new_path(spark, "grids"))
+    for half in (0, 1):  # the second query goes on where the first has ended
+        values.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == half).repartition(2).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(values.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        S.with_hooks(stream, S.StreamQuantiles(grids.path).update).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return grids.quantiles(spark, {"q01": 0.01, "q99": 0.99}).withColumns({"q01": r6("q01"), "q99": r6("q99")})
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def ext_windowed_counts(spark, d):
     """Extension: event-time windows; as a batch every window is complete."""

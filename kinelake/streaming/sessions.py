@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kinelake.operators import quantiles
+
 
 def broker_positions(steps: DataFrame, horizon: int, *, session: str = "session", t: str = "t") -> DataFrame:
     """``position`` in the chunk, whether the step ``infers`` a new one, and at which step the chunk was made."""
@@ -122,15 +124,15 @@ class StreamStats:
 
     def restore(self, spark: SparkSession) -> None:
         try:
-            rows = spark.read.parquet(self.path).collect()  # a row a dimension and update
+            found = spark.read.parquet(self.path)
         except AnalysisException as e:
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             return
-        self.epoch = max((r["epoch"] for r in rows), default=-1)
-        for r in rows:
-            if r["epoch"] == self.epoch:
-                self.parts[r["key"], r["dim"]] = (r["n"], r["mean"], r["std"])
+        self.epoch = found.agg(F.max("epoch")).first()[0]
+        self.epoch = -1 if self.epoch is None else self.epoch
+        for r in found.filter(F.col("epoch") == self.epoch).collect():  # a row a dimension
+            self.parts[r["key"], r["dim"]] = (r["n"], r["mean"], r["std"])
 
     def update(self, values: DataFrame, epoch: int | None = None) -> None:
         """``values``: ``key, dim, value``. A row a dimension reaches the driver."""
@@ -153,6 +155,47 @@ class StreamStats:
         return {k: (mean, std) for k, (_, mean, std) in self.parts.items()}
 
 
+class StreamQuantiles:
+    """Histograms over a stream's micro-batches, as a table: ``quantiles.merged_grids`` after each.
+
+    ``path`` holds a snapshot an epoch, made of the one before and the micro-batch;
+    the last two are kept. So a micro-batch that Spark hands over again makes the
+    same snapshot again, a new driver goes on from the newest, and the result is
+    that of all values at once, however they were cut. Nothing reaches the driver.
+    A path belongs to one checkpoint.
+    """
+
+    def __init__(self, path: str, bins: int = 5000) -> None:
+        self.path, self.bins = path, bins
+
+    def epochs(self, spark: SparkSession) -> list[int]:
+        """Of the snapshots there are, by the names of their folders."""
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n.removeprefix("epoch-")) for n in names if n.startswith("epoch-"))
+
+    def snapshot(self, spark: SparkSession, epoch: int) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/epoch-{epoch}")
+
+    def update(self, values: DataFrame, epoch: int) -> None:
+        """``values``: ``key, dim, value``."""
+        spark = values.sparkSession
+        before = [e for e in self.epochs(spark) if e < epoch]
+        grid = quantiles.grid_histogram(values, bins=self.bins)
+        if before:
+            grid = quantiles.merged_grids(self.snapshot(spark, before[-1]).unionByName(grid), bins=self.bins)
+        grid.write.mode("overwrite").parquet(f"{self.path}/epoch-{epoch}")
+        for old in before[:-1]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/epoch-{old}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def quantiles(self, spark: SparkSession, wanted: dict[str, float]) -> DataFrame:
+        """``key, dim`` and a column for each of ``wanted``."""
+        return quantiles.grid_quantiles(self.snapshot(spark, self.epochs(spark)[-1]), wanted)
+
+
 def windowed_counts(stream: DataFrame, *, ts: str = "ts", late: str = "10 minutes", length: str = "1 hour") -> DataFrame:
     """Extension: counts and sums by event-time window and type, with a watermark (needs a zoned time stamp)."""
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
