@@ -9,22 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.sources.shared import new_path, shared_dir, ship, staged  # noqa: F401
+from kinelake.sources.shared import new_path, shared_dir, ship, small_batches, staged  # noqa: F401
 
 #: White space between words: the space and U+0009 to U+000D. ``bytes.split()`` splits on just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows that go to Python at a time, unless the session asks for another number than Spark's own.
-BATCH_ROWS, SPARKS_OWN = 1000, "10000"
-
-
 def prepare(spark: SparkSession) -> None:
     """Sends the package to executors, and keeps batches of whole texts small: some are very long."""
     ship(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == SPARKS_OWN:
-        spark.conf.set(name, str(BATCH_ROWS))
+    small_batches(spark)
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

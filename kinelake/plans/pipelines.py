@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,29 +149,39 @@ def library_tokenizer(spark: SparkSession, path: str) -> tuple[Callable, Callabl
                 from sentencepiece import SentencePieceProcessor
 
                 sp = SentencePieceProcessor(model_proto=data)
-                _loaded[key] = sp.encode, sp.decode
+                _loaded[key] = (lambda ts: [sp.encode(t) for t in ts]), (lambda xs: [sp.decode(x) for x in xs])
             else:
                 from tokenizers import Tokenizer
 
                 tok = Tokenizer.from_str(data.decode("utf-8"))
                 tok.no_truncation()
                 tok.no_padding()
-                _loaded[key] = (lambda t: tok.encode(t, add_special_tokens=False).ids), (lambda ids: tok.decode(ids, skip_special_tokens=False))
+                _loaded[key] = (lambda ts: [e.ids for e in tok.encode_batch_fast(ts, add_special_tokens=False)]), (lambda xs: tok.decode_batch(xs, skip_special_tokens=False))
         return _loaded[key]
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         fn = loaded()[0]
-        return texts.map(lambda t: None if t is None else fn(t))
+        return _by_slices(texts, lambda ts: [np.array(x, np.int32) for x in fn(ts)])
 
     @F.pandas_udf("string")
     def decode(tokens: pd.Series) -> pd.Series:
         fn = loaded()[1]
-        return tokens.map(lambda x: None if x is None else fn([int(i) for i in x]))
+        return _by_slices(tokens, lambda xs: fn([x.tolist() for x in xs]))
 
     return encode, decode
 
 
+def _by_slices(values: pd.Series, fn: Callable[[list], list], size: int = 32) -> pd.Series:
+    """``fn`` over few values at a time, as what a library makes of them is many times their size. Null stays null."""
+    out = []
+    for i in range(0, len(values), size):
+        part = values.iloc[i : i + size].tolist()
+        made = iter(fn([x for x in part if x is not None]))
+        out += [None if x is None else next(made) for x in part]
+    return pd.Series(out, dtype=object)
+
+
 _loaded: dict = {}
 
 #: Tokenizers by name: a function from a text column to an array of tokens.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinelake.functions import texts as X
 from kinelake.functions import vectors as V
 from kinelake.plans.registry import exploded, long, query, r6, table, traj, vectors
+from kinelake.sources import shared
 
 ALL = "SELECT vec_id, i - 1 AS pos, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)"
 
@@ -284,9 +285,12 @@ if find_spec("tokenizers") and find_spec("public_tokenizers"):
         from kinelake.plans.pipelines import library_tokenizer
 
         encode, decode = library_tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
-        t = table(spark, d, "documents").select("doc_id", encode(F.coalesce("text", F.lit(""))).alias("tokens"))
-        back = t.select("doc_id", "tokens", decode(F.col("tokens")).alias("text"))
-        return back.select("doc_id", F.md5("text").alias("digest"), (F.size("tokens") == F.size(encode(F.col("text")))).alias("same_count"))
+        shared.small_batches(spark)
+        # A file may hold all texts in few row groups, so they are dealt out; each step is staged, else Spark runs it once for each use.
+        dealt = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
+        t = shared.staged(dealt.select("doc_id", encode("text").alias("tokens")), "tokens")
+        back = shared.staged(t.select("doc_id", F.size("tokens").alias("n"), decode("tokens").alias("text")), "texts")
+        return back.select("doc_id", F.md5("text").alias("digest"), (F.col("n") == F.size(encode("text"))).alias("same_count"))
 
 
 @query("SELECT event_id, 257152 - 1 - 128 - event_id AS token, event_id AS back FROM events")

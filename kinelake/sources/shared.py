@@ -10,6 +10,9 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that go to Python at a time, unless the session asks for another number than Spark's own.
+BATCH_ROWS, SPARKS_OWN = 1000, "10000"
+
 _roots: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -57,6 +60,13 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps batches of whole texts that go to Python small: some are very long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == SPARKS_OWN:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

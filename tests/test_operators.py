@@ -5,6 +5,7 @@ import math
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,25 @@ def test_library_tokens(spark):
     assert [(r["x"], r["back"]) for r in got] == [(None if t is None else tok.encode(t, add_special_tokens=False).ids, t) for t in texts_]
 
 
+def test_library_tokens_by_slices():
+    """The library gets few texts at a time, and nulls keep their places."""
+    sizes = []
+    out = pipelines._by_slices(pd.Series(["a", None, "b"] * 50, dtype=object), lambda xs: sizes.append(len(xs)) or [x * 2 for x in xs])
+    assert out.tolist() == ["aa", None, "bb"] * 50 and max(sizes) <= 32 and sum(sizes) == 100
+
+
+def test_library_tokens_run_once(spark, tmp_path):
+    """A table in one file is dealt out, and no call is repeated for a second use of its result."""
+    from kinelake.plans import queries, registry  # noqa: F401
+
+    if "str7_library_tokens" not in registry.QUERIES:
+        pytest.skip("no tokenizers here")
+    spark.createDataFrame([(i, f"text {i}" if i else None) for i in range(8)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES["str7_library_tokens"](spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("encode(") <= 2  # the call and its output's name
+    assert [r["same_count"] for r in df.collect()] == [True] * 8
+
+
 def test_moments_of_a_ragged_table(spark):
     """Against NumPy, with matrices beside vectors and a null that doesn't count."""
     rng = np.random.default_rng(11)
