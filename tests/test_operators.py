@@ -350,6 +350,20 @@ def test_wire(x):
         assert got == x
 
 
+def test_wire_in_small_batches(spark):
+    """Whole texts go to Python a thousand at a time, so a worker's memory doesn't grow with the table."""
+    from kinelake.plans import queries, registry  # noqa: F401
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        registry.QUERIES["wire1_arrays"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_wire_rejects_objects():
     with pytest.raises(ValueError):
         wire.dumps(np.array([object()]))
