@@ -1,18 +1,20 @@
 """Hourly panes over a stream, published once they are due and revised while they are open.
 
-Two operators with state, in one streaming query. ``Shard``s take the rows:
-there is a fixed number of them, and a row goes to one by a hash of its id, so a
-pane that holds a third of all rows is spread over all of them. A shard adds its
-rows up by pane and forwards nothing until a punctuation ends the batch; then it
-forwards what it has gathered for each pane, and the punctuation to those of the
-panes it knows that become due or closed by it. ``Merger``s, keyed by pane, combine the shards' deltas (a
-row a shard at most) and decide on the punctuation: what is published, revised,
-or closed. Rows of panes that are closed already need no state and pass by both.
+Each task adds the rows of its part of a micro-batch up by pane before they are
+shuffled, without state, so that of a pane that holds a third of all rows a row a
+task is moved. One operator with state, keyed by ``Shard``, takes these sums:
+there is a fixed number of shards, and a pane belongs to one by a hash. A shard
+adds what comes to its open panes and publishes nothing until a punctuation ends
+the batch; then it decides what is published, revised, or closed. Rows of panes
+that are closed already need no state and pass by.
 
 A batch is a folder of files, and the punctuation is its last file, so it ends
 the batch even if Spark cuts that into several micro-batches, and ends an empty
 one as well. Time is told by the punctuation only, never by a clock: a restarted
 query gives the same records.
+
+There is one operator because each start opens a store a partition and operator,
+and Spark 4.1 leaves some native memory of each (its statistics) with the executor.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -34,8 +36,8 @@ SHARDS, DUE, CLOSED = 24, 12, 48
 #: Stands for minus infinity: no row came before.
 NEVER = -(1 << 62)
 
-_ROWS = "shard int, hour bigint, kind string, click_id bigint, cents bigint, mark int, before bigint, watermark bigint, last int"
-_DELTAS = "hour bigint, kind string, batch bigint, watermark bigint, last int, n_rows bigint, cents bigint"
+_ROWS = "shard int, hour bigint, kind string, click_id bigint, cents bigint, mark int, watermark bigint, last int"
+_SUMS = "shard int, hour bigint, kind string, n_rows bigint, cents bigint, mark int, watermark bigint, last int"
 _RECORDS = "batch bigint, hour bigint, kind string, n_rows bigint, cents bigint, record string"
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -43,6 +45,9 @@ _SETTINGS = {
     # A start loads all stores anew anyway; those of earlier starts would stay on local disks, some MB each.
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # One cache and one limit of write buffers an executor, not some for each store.
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     # Commits by rename: the other manager starts processes for each of the many small files where Hadoop has no native library.
     "spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager",
@@ -62,8 +67,23 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row a pane of a task's rows, and the punctuation as it is."""
+    by, held = ["shard", "hour", "kind", "mark", "watermark", "last"], []
+    for part in batches:
+        held.append(part.groupby(by, as_index=False)["cents"].agg(n_rows="count", cents="sum"))
+        if len(held) == 64:
+            held = [_added(held, by)]
+    if held:
+        yield _added(held, by)[["shard", "hour", "kind", "n_rows", "cents", "mark", "watermark", "last"]]
+
+
+def _added(parts: list[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    return pd.concat(parts).groupby(by, as_index=False)[["n_rows", "cents"]].sum()
+
+
 class Shard(StatefulProcessor):
-    """Sums by open pane that aren't forwarded yet (0 rows: the pane is known, nothing is new).
+    """Open panes: their totals up to the last batch, what this batch has added so far, and whether they are published.
 
     Memory and state hold a row an open pane.
     """
@@ -72,68 +92,44 @@ class Shard(StatefulProcessor):
         self.batch, self.due, self.closed = batch, due, closed
 
     def init(self, handle) -> None:
-        self.open = handle.getListState("open", "hour bigint, kind string, n_rows bigint, cents bigint")
+        self.open = handle.getListState("open", "hour bigint, kind string, n_rows bigint, cents bigint, new_rows bigint, new_cents bigint, published boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        panes = {(hour, kind): (n, cents) for hour, kind, n, cents in self.open.get()}
+        panes = {(hour, kind): tuple(rest) for hour, kind, *rest in self.open.get()}
         mark = None
         for part in rows:
             marks = part[part["mark"] == 1]
             if len(marks):
-                mark = tuple(int(marks[c].iloc[0]) for c in ("before", "watermark", "last"))
-            sums = part[part["mark"] == 0].groupby(["hour", "kind"])["cents"].agg(["count", "sum"])
-            for pane, n, cents in zip(sums.index.tolist(), sums["count"].tolist(), sums["sum"].tolist(), strict=True):
-                had = panes.get(pane, (0, 0))
-                panes[pane] = had[0] + n, had[1] + cents
+                mark = int(marks["watermark"].iloc[0]), int(marks["last"].iloc[0])
+            new = part[part["mark"] == 0]
+            for hour, kind, n, cents in zip(*(new[c].tolist() for c in ("hour", "kind", "n_rows", "cents")), strict=True):
+                n0, cents0, n1, cents1, published = panes.get((hour, kind), (0, 0, 0, 0, False))
+                panes[hour, kind] = n0, cents0, n1 + n, cents1 + cents, published
         if mark:
-            out = self.deltas(panes, *mark)
-            if len(out):
-                yield out
-            _, watermark, last = mark
-            panes = {} if last else {p: (0, 0) for p in panes if watermark < p[0] + 1 + self.closed}
+            records, panes = self.ended(panes, *mark)
+            if records:
+                yield pd.DataFrame(records, columns=["batch", "hour", "kind", "n_rows", "cents", "record"])
         if panes:
-            self.open.put([(*pane, *sums) for pane, sums in panes.items()])
+            self.open.put([(*pane, *rest) for pane, rest in panes.items()])
         else:
             self.open.clear()
 
-    def deltas(self, panes: dict, before: int, watermark: int, last: int) -> pd.DataFrame:
-        """What is new, and the punctuation to each pane that it makes due, closes or ends."""
-        told = [(*p, n, cents) for p, (n, cents) in panes.items() if n or last or any(before < p[0] + 1 + x <= watermark for x in (self.due, self.closed))]
-        hour, kind, n, cents = zip(*told, strict=True) if told else ((), (), (), ())
-        return pd.DataFrame({"hour": hour, "kind": kind, "batch": self.batch, "watermark": watermark, "last": last, "n_rows": n, "cents": cents})
-
-    def close(self) -> None:
-        pass
-
-
-class Merger(StatefulProcessor):
-    """A pane's totals, and whether they are published."""
-
-    def __init__(self, due: int, closed: int):
-        self.due, self.closed = due, closed
-
-    def init(self, handle) -> None:
-        self.pane = handle.getValueState("pane", "n_rows bigint, cents bigint, published boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n = cents = 0
-        for r in rows:
-            n, cents, batch, watermark, last = n + r["n_rows"], cents + r["cents"], r["batch"], r["watermark"], r["last"]
-        had_n, had_cents, published = self.pane.get() or (0, 0, False)
-        now, out, end = (had_n + n, had_cents + cents), [], key[0] + 1
-        if not published:
-            if watermark >= end + self.due:
-                out, published = [(*now, "emit")], True
-            elif last:
-                out = [(*now, "final")]
-        elif n:
-            out = [(had_n, had_cents, "retract"), (*now, "replace")]
-        if last or watermark >= end + self.closed:
-            self.pane.clear()
-        elif n or out:
-            self.pane.update((*now, published))
-        for total, sum_, record in out:
-            yield Row(batch=batch, hour=key[0], kind=key[1], n_rows=total, cents=sum_, record=record)
+    def ended(self, panes: dict, watermark: int, last: int) -> tuple[list[tuple], dict]:
+        """What the end of the batch publishes and revises, and the panes that stay open."""
+        records, kept = [], {}
+        for (hour, kind), (n0, cents0, n, cents, published) in panes.items():
+            now, out = (n0 + n, cents0 + cents), []
+            if not published:
+                if watermark >= hour + 1 + self.due:
+                    out, published = [(*now, "emit")], True
+                elif last:
+                    out = [(*now, "final")]
+            elif n:
+                out = [(n0, cents0, "retract"), (*now, "replace")]
+            records += [(self.batch, hour, kind, *x) for x in out]
+            if not last and watermark < hour + 1 + self.closed:
+                kept[hour, kind] = (*now, 0, 0, published)
+        return records, kept
 
     def close(self) -> None:
         pass
@@ -159,26 +155,26 @@ def revised_panes(rows: DataFrame, batches: int, *, due: int = DUE, closed: int
     """
     spark = rows.sparkSession
     common.prepare(spark)
-    # The operators go along as they are: the driver's worker, which sets up their state, doesn't see files sent to executors.
+    # The operator goes along as it is: the driver's worker, which sets up its state, doesn't see files sent to executors.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     root = common.new_path(spark, "panes")
-    shard = F.pmod(F.xxhash64("click_id", "hour", "kind"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("hour", "kind"), F.lit(shards)).cast("int")
     zero = F.lit(0)
-    rows = rows.select(F.col("batch").cast("int"), shard.alias("shard"), *(F.col(c).cast(t).alias(c) for c, t in (("hour", "long"), ("kind", "string"), ("click_id", "long"), ("cents", "long"))), zero.alias("mark"), zero.cast("long").alias("before"), zero.cast("long").alias("watermark"), zero.alias("last"))
+    rows = rows.select(F.col("batch").cast("int"), shard.alias("shard"), *(F.col(c).cast(t).alias(c) for c, t in (("hour", "long"), ("kind", "string"), ("click_id", "long"), ("cents", "long"))), zero.alias("mark"), zero.cast("long").alias("watermark"), zero.alias("last"))
     rows.write.partitionBy("batch").parquet(f"{root}/batches")
     highest = dict(spark.read.schema(f"{_ROWS}, batch int").parquet(f"{root}/batches").groupBy("batch").agg(F.max("hour")).collect())  # a row a batch
-    before = watermark = NEVER
+    watermark = NEVER
     with settings(spark, _SETTINGS):
         for batch in range(batches):
-            feed(spark, root, batch, before, watermark, batch == batches - 1, due, closed, shards, files_per_trigger)
-            before, watermark = watermark, max(watermark, highest.get(batch, NEVER))
+            feed(spark, root, batch, watermark, batch == batches - 1, due, closed, shards, files_per_trigger)
+            watermark = max(watermark, highest.get(batch, NEVER))
     return spark.read.schema("batch bigint, hour bigint, click_id bigint, n_rows bigint, cents bigint, record string, kind string").parquet(f"{root}/records")
 
 
-def feed(spark: SparkSession, root: str, batch: int, before: int, watermark: int, last: bool, due: int, closed: int, shards: int, files_per_trigger: int | None) -> None:
+def feed(spark: SparkSession, root: str, batch: int, watermark: int, last: bool, due: int, closed: int, shards: int, files_per_trigger: int | None) -> None:
     """Hands the batch over, ends it by its punctuation, and runs the query over it."""
     none = F.lit(None)
-    mark = spark.range(0, shards, 1, 1).select(F.col("id").cast("int").alias("shard"), F.lit(0).cast("long").alias("hour"), F.lit("").alias("kind"), none.cast("long").alias("click_id"), F.lit(0).cast("long").alias("cents"), F.lit(1).alias("mark"), F.lit(before).cast("long").alias("before"), F.lit(watermark).cast("long").alias("watermark"), F.lit(int(last)).alias("last"))
+    mark = spark.range(0, shards, 1, 1).select(F.col("id").cast("int").alias("shard"), F.lit(0).cast("long").alias("hour"), F.lit("").alias("kind"), none.cast("long").alias("click_id"), F.lit(0).cast("long").alias("cents"), F.lit(1).alias("mark"), F.lit(watermark).cast("long").alias("watermark"), F.lit(int(last)).alias("last"))
     folder = f"{root}/fed"
     spark.read.schema(f"{_ROWS}, batch int").parquet(f"{root}/batches").filter(F.col("batch") == batch).drop("batch").write.mode("append").parquet(folder)
     mark.write.mode("append").parquet(folder)
@@ -188,8 +184,8 @@ def feed(spark: SparkSession, root: str, batch: int, before: int, watermark: int
     rows = source.parquet(folder)
     is_late = (F.col("mark") == 0) & (F.col("hour") + 1 + closed <= watermark)
     late = rows.filter(is_late).select(F.lit(batch).cast("long").alias("batch"), "hour", "click_id", F.lit(1).cast("long").alias("n_rows"), "cents", F.lit("late").alias("record"), "kind")
-    deltas = rows.filter(~is_late).groupBy("shard").transformWithStateInPandas(Shard(batch, due, closed), _DELTAS, "Append", "None")
-    records = deltas.groupBy("hour", "kind").transformWithState(Merger(due, closed), _RECORDS, "Append", "None")
+    panes = rows.filter(~is_late).select("shard", "hour", "kind", "cents", "mark", "watermark", "last").mapInPandas(sums, _SUMS)
+    records = panes.groupBy("shard").transformWithStateInPandas(Shard(batch, due, closed), _RECORDS, "Append", "None")
     records = records.select("batch", "hour", F.lit(-1).cast("long").alias("click_id"), "n_rows", "cents", "record", "kind")
     out = records.union(late).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
     out.option("path", f"{root}/records").option("checkpointLocation", f"{root}/checkpoint").start().awaitTermination()

@@ -239,6 +239,20 @@ def test_no_rows_no_records(spark):
     assert window_panes.revised_panes(empty, 2).count() == 0
 
 
+def test_panes_have_one_state_store_a_partition():
+    """Sums of a task are a row a pane; a store that a start opens leaves memory behind, so one operator has state."""
+    import inspect
+
+    import pandas as pd
+
+    part = pd.DataFrame({"shard": [0, 0, 1], "hour": [5, 5, 6], "kind": ["a", "a", "b"], "cents": [10, 20, 5], "mark": 0, "watermark": 0, "last": 0})
+    mark = pd.DataFrame({"shard": [0], "hour": [0], "kind": [""], "cents": [0], "mark": [1], "watermark": [7], "last": [1]})
+    (got,) = window_panes.sums(iter([part] * 100 + [part.iloc[:0], mark]))
+    rows = sorted(map(tuple, got[["mark", "hour", "kind", "n_rows", "cents"]].values.tolist()))
+    assert rows == [(0, 5, "a", 200, 3000), (0, 6, "b", 100, 500), (1, 0, "", 1, 0)]
+    assert inspect.getsource(window_panes.feed).count("transformWithState") == 1
+
+
 def test_new_queries_are_registered():
     assert {"op11_lexical_search", "op12_secrets", "op13_window_panes"} <= set(queries.queries())
     assert {"op11_lexical_search", "op13_window_panes"} <= set(queries.oracle_sql())
