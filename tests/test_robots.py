@@ -105,6 +105,45 @@ def test_sessions_wait_go_on_and_end(spark):
         spark.conf.unset(brokers.STATE_STORE[0])
 
 
+def test_sessions_share_the_store(spark, monkeypatch):
+    """Timers are those of shards, not of sessions; the null session, long waits and beginnings are as in the batch form."""
+    monkeypatch.setattr(brokers, "ROW_STEPS", 2)
+    path, out, state = (shared.new_path(spark, x) for x in ("steps", "out", "state"))
+    steps = spark.range(1000).select(F.expr("nullif(id % 200, 7) + 9007199254740993").alias("session"), F.expr("id DIV 200").alias("t"), F.timestamp_seconds(F.expr("1000 + (id * 37) % 5 + 10 * (id DIV 200)")).alias("ts"))
+    begun = steps.filter("t = 0 AND session % 2 = 0 OR session IS NULL").select("session", F.lit(3).alias("n")).distinct()
+    end = spark.sql("SELECT -1L AS session, 0L AS t, timestamp_seconds(9000) AS ts")
+    timers = []
+    spark.conf.set(*brokers.STATE_STORE)
+    try:
+        for rows in (steps.filter("t > 0"), steps.filter("t = 0"), end):
+            rows.write.mode("append").parquet(path)
+            stream = spark.readStream.schema(steps.schema).parquet(path)
+            q = brokers.session_broker(stream, 4, idle_ms=10**12, initial=begun, shards=16).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+            q.awaitTermination()
+            timers += [o["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress for o in p["stateOperators"]]
+    finally:
+        spark.conf.unset(brokers.STATE_STORE[0])
+    got = spark.read.schema("session long, t long, position long, infers boolean").parquet(out)
+    want = sessions.broker_positions(steps, 4).join(begun.select(F.col("session").alias("s"), "n"), F.col("session").eqNullSafe(F.col("s")), "left")
+    want = want.select("session", "t", F.pmod(F.col("position") + F.coalesce("n", F.lit(0)), F.lit(4)).alias("position")).withColumn("infers", F.col("position") == 0)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert 0 < max(timers) <= 16
+
+
+def test_steps_of_the_watermarks_millisecond_wait(spark):
+    path, out, state = (shared.new_path(spark, x) for x in ("steps", "out", "state"))
+    spark.conf.set(*brokers.STATE_STORE)
+    try:
+        for rows in ([("a", 1, 1000_000_400), ("b", 0, 999_000_000), ("z", 0, 1060_000_000)], [("a", 0, 1000_000_200)], [("z", 1, 9000_000_000)]):
+            spark.createDataFrame(rows, "session string, t long, us long").select("session", "t", F.timestamp_micros("us").alias("ts")).coalesce(1).write.mode("append").parquet(path)
+            stream = spark.readStream.schema("session string, t long, ts timestamp").parquet(path)
+            brokers.session_broker(stream, 4, late="60 seconds", shards=1).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(brokers.STATE_STORE[0])
+    got = {(r["session"], r["t"]): r["position"] for r in spark.read.schema("session string, t long, position long, infers boolean").parquet(out).collect()}
+    assert got == {("a", 0): 0, ("a", 1): 1, ("b", 0): 0, ("z", 0): 0}
+
+
 def test_batch_twin_agrees(spark):
     s = spark.createDataFrame([("a", i) for i in range(9)], "session string, t long")
     assert [r["position"] for r in sessions.broker_positions(s, 4).orderBy("t").collect()] == [0, 1, 2, 3, 0, 1, 2, 3, 0]
