@@ -19,8 +19,6 @@ the library's for every text and every file.
 
 from __future__ import annotations
 
-import json
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,42 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinelake.functions.pieces import PATTERN, PLAIN, loaded, specials, splits_by_pattern, written
 from kinelake.llm import common
 
 SAMPLE_BYTES = 1 << 16
-#: The characters of everyday texts, by kind; a text with any other goes to the library whole.
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ȳΑ-ΡΣ-ϵϷ-ϿЀ-ҁぁ-ゖァ-ヺ一-龥가-힣"
-NUMBERS = "0-9²³¹¼-¾"
-SPACES = "\t\n\r \xa0"
-OTHERS = "!-/:-@\\[-`{-~¡-©«-±´¶-¸»¿×÷϶‐-‧‰-⁞€"
-PLAIN = re.compile(f"[{LETTERS}{NUMBERS}{SPACES}{OTHERS}]*")
-#: The pattern by which byte-level vocabularies of this kind split texts, for these characters.
-PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[{OTHERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-#: Byte-level vocabularies write a byte as the Latin-1 character if that is visible, else as the next one from U+0100 on.
-VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-BYTES = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in VISIBLE)}
-
-
-def loaded(spec: str):
-    """The tokenizer, without the truncation and padding that its file may ask for."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_str(spec)
-    tok.no_truncation()
-    tok.no_padding()
-    return tok
-
-
-def splits_by_pattern(spec: str) -> bool:
-    """Whether the file takes texts as they are and splits them by ``PATTERN``."""
-    file = json.loads(spec)
-    split = file.get("pre_tokenizer") or {}
-    return not file.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
-
-
-def written(piece: str) -> str:
-    """A pre-token as byte-level vocabularies write it."""
-    return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTES)
 
 
 def frequent(texts: list[str], entries: int) -> list[str]:
@@ -108,9 +74,8 @@ def _lookup(key: str, spec, table, cache_entries: int) -> tuple:
     """The tokenizer, its special strings and the lengths of this worker process."""
     if key not in _worker:
         tok = loaded(spec)
-        special = [t["content"] for t in json.loads(spec).get("added_tokens") or []]
         _worker.clear()
-        _worker[key] = tok, re.compile("|".join(map(re.escape, special)) or "(?!)"), splits_by_pattern(spec) and Lengths(table, tok, cache_entries)
+        _worker[key] = tok, specials(spec), splits_by_pattern(spec) and Lengths(table, tok, cache_entries)
     return _worker[key]
 
 

@@ -6,12 +6,11 @@ import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.functions import texts, vectors
+from kinelake.functions import pieces, texts, vectors
 from kinelake.operators import aggregates, filters, project, windows
 from kinelake.operators.project import Group, Transform, compose
 
@@ -139,35 +138,15 @@ def library_tokenizer(spark: SparkSession, path: str) -> tuple[Callable, Callabl
     """
     with open(path, "rb") as f:
         data = f.read()
-    shared = spark.sparkContext.broadcast((hashlib.sha256(data).hexdigest(), path.endswith(".model"), data))
-
-    def loaded():
-        key, is_model, data = shared.value
-        if key not in _loaded:
-            _loaded.clear()
-            if is_model:
-                from sentencepiece import SentencePieceProcessor
-
-                sp = SentencePieceProcessor(model_proto=data)
-                _loaded[key] = (lambda ts: [sp.encode(t) for t in ts]), (lambda xs: [sp.decode(x) for x in xs])
-            else:
-                from tokenizers import Tokenizer
-
-                tok = Tokenizer.from_str(data.decode("utf-8"))
-                tok.no_truncation()
-                tok.no_padding()
-                _loaded[key] = (lambda ts: [e.ids for e in tok.encode_batch_fast(ts, add_special_tokens=False)]), (lambda xs: tok.decode_batch(xs, skip_special_tokens=False))
-        return _loaded[key]
+    file = spark.sparkContext.broadcast((hashlib.sha256(data).hexdigest(), path.endswith(".model"), data))
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
-        fn = loaded()[0]
-        return _by_slices(texts, lambda ts: [np.array(x, np.int32) for x in fn(ts)])
+        return _by_slices(texts, pieces.both_ways(*file.value)[0])
 
     @F.pandas_udf("string")
     def decode(tokens: pd.Series) -> pd.Series:
-        fn = loaded()[1]
-        return _by_slices(tokens, lambda xs: fn([x.tolist() for x in xs]))
+        return _by_slices(tokens, pieces.both_ways(*file.value)[1])
 
     return encode, decode
 
@@ -182,8 +161,6 @@ def _by_slices(values: pd.Series, fn: Callable[[list], list], size: int = 32) ->
     return pd.Series(out, dtype=object)
 
 
-_loaded: dict = {}
-
 #: Tokenizers by name: a function from a text column to an array of tokens.
 TOKENIZERS = {"bytes": byte_tokens}
 

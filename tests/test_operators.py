@@ -192,6 +192,31 @@ def test_library_tokens_run_once(spark, tmp_path):
     assert [r["same_count"] for r in df.collect()] == [True] * 8
 
 
+def test_library_gets_few_pieces():
+    """A piece goes to the library once while it is kept; tokens and texts are the library's, whatever the texts and numbers."""
+    pytest.importorskip("tokenizers")
+    from types import SimpleNamespace
+
+    from kinelake.functions import pieces
+
+    with open(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    tok, calls = pieces.loaded(spec), []
+    model = SimpleNamespace(tokenize=lambda p: calls.append(p) or tok.model.tokenize(p))
+    counted = SimpleNamespace(model=model, encode_batch_fast=lambda ts, **k: calls.extend(ts) or tok.encode_batch_fast(ts, **k))
+    encode = pieces.encoder(counted, spec)
+    assert [len(x) for x in encode(["pick up the cup, pick up the cup"] * 50)] == [9] * 50 and len(calls) == 6
+    rng = np.random.default_rng(4)
+    parts = ["'s", "don't", " ", "  ", "\n", "\t", "naïve", " Straße", "東京", "한글", " 12½", "😀", "e\u0301", "<|endoftext|>", "!?", " '", "\u2028", "\x00", "Ġ", ""]
+    made = ["".join(rng.choice(parts, rng.integers(9))) for _ in range(2000)]
+    want = [e.ids for e in tok.encode_batch(made, add_special_tokens=False)]
+    for entries in (1 << 19, 8):  # with 8, pieces are forgotten
+        assert [x.tolist() for x in pieces.encoder(tok, spec, entries)(made)] == want
+    ids = [rng.integers(0, 50300, rng.integers(9)).astype(np.int32) for _ in range(2000)]  # cut characters, the special one, and beyond the last
+    assert pieces.decoder(tok, spec, 3)(ids) == tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+    assert pieces.decoder(tok, spec)([np.array(x, np.int32) for x in want]) == tok.decode_batch(want, skip_special_tokens=False)
+
+
 def test_moments_of_a_ragged_table(spark):
     """Against NumPy, with matrices beside vectors and a null that doesn't count."""
     rng = np.random.default_rng(11)
